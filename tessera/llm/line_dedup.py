@@ -46,7 +46,7 @@ def drop_boilerplate(df: DataFrame, host, lines, out_col: str = "text", ratio: f
     base = df.select(*[F.col(f"`{c}`") for c in df.columns], host.alias(h), lines.alias(ls))
     hosts = base.where(F.col(h).isNotNull()).groupBy(h).agg(F.count("*").alias(pages)).where(F.col(pages) >= min_pages)
     seen = base.where(F.col(h).isNotNull()).select(h, F.explode(F.array_distinct(ls)).alias(line)).where(F.trim(F.col(line)) != "")
-    counts = seen.groupBy(h, line).agg(F.count("*").alias(n)).where(F.col(n) >= max(2, int(ratio * min_pages)))
+    counts = seen.groupBy(h, line).agg(F.count("*").alias(n)).where(F.col(n) >= max(1, int(ratio * min_pages)))
     boiler = counts.join(hosts, h).where(F.col(n) / F.col(pages) > ratio).groupBy(h).agg(F.collect_list(line).alias(bad))
     joined = base.join(boiler, h, "left")
     kept = F.when(F.col(bad).isNull(), F.col(ls)).otherwise(F.filter(ls, lambda x: ~F.array_contains(F.col(bad), x)))
