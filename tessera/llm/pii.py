@@ -138,7 +138,7 @@ def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     ``start`` counts characters from 0.
     """
     found = cut(found_spans(df, id_col, text_col))
-    edges = cut(found.groupBy("instance", F.explode("patterns").alias("pattern")).agg(F.max("seed").alias("sure")))
+    edges = cut(found.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.max("seed").alias("sure")))
     known = edges.groupBy("instance").agg(F.max("sure").alias("sure")).withColumn("score", F.col("sure").cast("double"))
     for k in range(rounds):
         last = k == rounds - 1

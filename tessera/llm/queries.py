@@ -132,19 +132,19 @@ WITH p AS (
   SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
          list_filter(list_transform(string_split(regexp_replace(regexp_replace(html,
            '<script[^>]*>[^<]*</script>|<style[^>]*>[^<]*</style>|<!--[^>]*-->|</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|table|article|nav|header|footer|body|html|head|title)(?:\s[^>]*)?/?>',
-           chr(10), 'gi'), '<[^>]*>', ' ', 'g'), chr(10)), x -> trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' ')), x -> x <> '') AS lines
+           chr(10), 'gi'), '<[^>]*>', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' ')), lambda x: x <> '') AS lines
   FROM pages
 ), hosts AS (
   SELECT host, count(*) AS pages FROM p WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= 4
 ), l AS (
-  SELECT page_id, url, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM p
+  SELECT page_id, url, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS nth FROM p
 ), boiler AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT page_id) AS n FROM l GROUP BY host, line) c JOIN hosts USING (host)
   WHERE n / pages > 0.5
 ), judged AS (
   SELECT l.*, boiler.line IS NOT NULL AS bad FROM l LEFT JOIN boiler ON l.host = boiler.host AND l.line = boiler.line
 ), done AS (
-  SELECT page_id, string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT bad) AS text, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_dropped
+  SELECT page_id, string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT bad) AS text, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_dropped
   FROM judged GROUP BY page_id
 )
 SELECT p.page_id, p.url, CASE WHEN p.lines IS NOT NULL THEN coalesce(d.text, '') END AS text,
@@ -170,8 +170,7 @@ f{k} AS (
          sum(w) OVER ({part} ORDER BY cap / w, l{k} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
   FROM n{k} {using}),
 m{k} AS (
-  SELECT *, min(CASE WHEN cap / w >= (budget - done) / rest THEN (budget - done) / rest END) OVER ({part}) AS lowest,
-         min_by((budget - done) / rest, cap / w) FILTER (WHERE cap / w >= (budget - done) / rest) OVER ({part}) AS water
+  SELECT *, min_by((budget - done) / rest, cap / w) FILTER (WHERE cap / w >= (budget - done) / rest) OVER ({part}) AS water
   FROM f{k}),
 b{k} AS (SELECT {keys}, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * w) END AS budget FROM m{k})"""
 
@@ -198,7 +197,7 @@ leaf AS (
 ), counted AS (
   SELECT *, epochs + CASE WHEN epochs < {EPOCHS} AND upto <= rest THEN 1 ELSE 0 END AS times FROM placed
 )
-SELECT doc_id, text, lang, source, n_chars, unnest(range(times))::INTEGER AS epoch FROM counted
+SELECT doc_id, text, lang, source, n_chars, unnest(range(times::BIGINT))::INTEGER AS epoch FROM counted
 """
 
 _CANON = r"""
@@ -217,12 +216,12 @@ def _like(glob: str) -> str:
 
 URL_SQL = (
     _CANON
-    + ", rules(id, kind, glob) AS (VALUES "
+    + ", rules(id, kind, likeness) AS (VALUES "
     + ", ".join(f"({i}, '{kind}', '{_like(glob)}')" for i, kind, glob in RULES)
     + """),
 hits AS (
   SELECT page_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, bool_or(kind = 'allow') AS allowed
-  FROM c JOIN rules ON canonical LIKE glob ESCAPE '!' GROUP BY page_id
+  FROM c JOIN rules ON canonical LIKE likeness ESCAPE '!' GROUP BY page_id
 )
 SELECT c.page_id, c.url, c.canonical, coalesce(ids, '') AS rule_ids,
        CASE WHEN ids IS NULL OR allowed THEN 'keep' ELSE 'block' END AS verdict
