@@ -1,0 +1 @@
+"""Knowledge-graph analytics on Spark DataFrames."""
