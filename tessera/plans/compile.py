@@ -344,7 +344,10 @@ class Compiler:
             elif kind == "graph":
                 sol = self.join(sol, self.nested(e[2], e[1]))
             elif kind == "select":
-                sol = self.join(sol, self.select(e[1], graph))
+                given, self.given = self.given, None
+                inner = self.select(e[1], graph)
+                self.given = given
+                sol = self.join(sol, inner)
         return sol
 
     def nested(self, group: list, graph) -> Solutions:
