@@ -71,17 +71,18 @@ def compare(op: str, a: E, b: E) -> E:
     elif a.kind == "num" or b.kind == "num":
         x, y = as_num(a), as_num(b)
     else:
-        na, nb, both = as_num(a), as_num(b), None
-        both = na.isNotNull() & nb.isNotNull()
         if a.kind == "str" or b.kind == "str" or op not in ("=", "!="):
             x, y = as_str(a), as_str(b)
         else:
             x, y = as_term(a), as_term(b)
-        ops = {"=": (na == nb, x == y), "!=": (na != nb, x != y), "<": (na < nb, x < y), ">": (na > nb, x > y), "<=": (na <= nb, x <= y), ">=": (na >= nb, x >= y)}
-        if a.kind == "str" or b.kind == "str":
-            return E("bool", ops[op][1])
-        return E("bool", F.when(both, ops[op][0]).otherwise(ops[op][1]))
-    return E("bool", {"=": x == y, "!=": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op])
+        by_text = _apply(op, x, y)
+        # numbers compare by value where both sides are numbers
+        return E("bool", by_text if a.kind == "str" or b.kind == "str" else F.coalesce(_apply(op, as_num(a), as_num(b)), by_text))
+    return E("bool", _apply(op, x, y))
+
+
+def _apply(op: str, x: Column, y: Column) -> Column:
+    return {"=": lambda: x == y, "!=": lambda: x != y, "<": lambda: x < y, ">": lambda: x > y, "<=": lambda: x <= y, ">=": lambda: x >= y}[op]()
 
 
 def math(op: str, a: E, b: E) -> E:

@@ -92,7 +92,7 @@ def datatype(t: Column) -> Column:
 
 def num(t: Column) -> Column:
     """Number of a numeric literal, else null."""
-    return F.when(F.rlike(t, F.lit(f'\\^\\^<{XSD}({"|".join(NUMERIC)})>$')), lex(t).try_cast("double"))
+    return F.regexp_extract(t, f'^"([^"]*)"\\^\\^<{XSD}(?:{"|".join(NUMERIC)})>$', 1).try_cast("double")
 
 
 def is_whole(t: Column) -> Column:

@@ -75,10 +75,15 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> D
         delta = checkpoint(step.join(seen, ["s", "o"], "left_anti"))
         if delta.isEmpty():
             break
-        seen = checkpoint(seen.union(delta))
+        seen = checkpoint(_plain(seen).union(_plain(delta)))
     return seen
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """(s, o) computed anew: constant columns otherwise carry constraints on attributes that are gone, which a union trips over."""
+    return df.select(F.concat("s", F.lit("")).alias("s"), F.concat("o", F.lit("")).alias("o"))
+
+
 def components(edges: DataFrame, max_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(node, root): the least node of each connected component, for all nodes with an edge.
 

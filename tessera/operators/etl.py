@@ -45,12 +45,14 @@ def load_config(path: str) -> dict:
 
 
 def clean(c: Column, replace: dict[str, str] | None = None) -> Column:
-    """A cell's text: whole numbers lose ``.0``, boolean words become True or False, patterns are replaced, then trimmed."""
-    number = F.regexp_replace(c, r"^\s*([+-]?[0-9]+)\.0+\s*$", "$1")
-    word = F.when(c.isin(TRUE), "True").when(c.isin(FALSE), "False").otherwise(number)
-    for pattern, text in (replace or {}).items():
-        word = F.regexp_replace(word, pattern, str(text))
-    return F.trim(word)
+    """A cell's text: numbers stay, whole ones without ``.0``; boolean words become True or False; in other texts
+    patterns are replaced, then they are trimmed."""
+    text = c
+    for pattern, by in (replace or {}).items():
+        text = F.regexp_replace(text, pattern, str(by))
+    number = F.trim(c)
+    whole = F.regexp_replace(number, r"^([+-]?[0-9]+)\.0+$", "$1")
+    return F.when(F.rlike(number, F.lit(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")), whole).when(c.isin(TRUE), "True").when(c.isin(FALSE), "False").otherwise(F.trim(text))
 
 
 def clean_table(df: DataFrame, config: dict | None = None) -> DataFrame:
@@ -328,7 +330,7 @@ def template_rows(df: DataFrame, text: str, macros: list[str], prefixes: dict[st
         out += plain(df, text[at : m.start()], row)
         bounds = [F.lit(int(x)) if x.isdigit() else row(re.sub(r"^value\[['\"](.*)['\"]\]$", r"\1", x)).try_cast("int") for x in _arguments(m[2])]
         low, high = (F.lit(0), bounds[0]) if len(bounds) == 1 else bounds[:2]
-        inner = df.where(high > low).withColumn("loop_index", F.explode(F.sequence(low, high - 1)).cast("string"))
+        inner = df.where(high > low).withColumn("loop_index", F.explode(F.sequence(low, high - 1))).withColumn("loop_index", F.col("loop_index").cast("string"))
         out += plain(inner, m[3], lambda n, v=m[1]: F.col("loop_index") if n == v else row(n))
         at = m.end()
     out += plain(df, text[at:], row)
