@@ -23,17 +23,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager=True)
+    # strings are computed anew: otherwise constant columns carry constraints on attributes that are gone, which later unions trip over
+    fresh = [F.concat(F.col(f"`{c}`"), F.lit("")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes]
+    return df.select(*fresh).checkpoint(eager=True)
 
 
-def reach(edges: list[tuple[str, str]], most: int = DRIVER_PAIRS) -> list[tuple[str, str]] | None:
-    """All pairs joined by one edge or more; None beyond ``most`` pairs."""
+def reach(edges: list[tuple[str, str]], most: int = DRIVER_PAIRS, starts: list[str] | None = None) -> list[tuple[str, str]] | None:
+    """All pairs joined by one edge or more (from ``starts`` only, if given); None beyond ``most`` pairs."""
     after = defaultdict(set)
     for a, b in edges:
         after[a].add(b)
     out = []
-    for a in after:
-        seen, todo = set(), list(after[a])
+    for a in list(after) if starts is None else starts:
+        seen, todo = set(), list(after.get(a, ()))
         while todo:
             x = todo.pop()
             if x not in seen:
@@ -65,9 +67,16 @@ def transitive(edges: DataFrame, max_rounds: int = MOST_ROUNDS, driver_edges: in
     return everything
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """Distinct (s, o): nodes reached by one edge or more from the seeds (column s)."""
+    spark = edges.sparkSession
     edges = edges.select("s", "o").distinct()
+    few = edges.limit(driver_edges + 1).collect()
+    if len(few) <= driver_edges:
+        starts = [r[0] for r in seeds.select("s").distinct().limit(driver_edges + 1).collect()]
+        pairs = reach([tuple(r) for r in few], starts=starts) if len(starts) <= driver_edges else None
+        if pairs is not None:
+            return spark.createDataFrame(pairs, "s string, o string")
     seen = checkpoint(seeds.select("s").distinct().join(edges, "s").select("s", "o").distinct())
     delta = seen
     for _ in range(max_rounds):
@@ -75,15 +84,10 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> D
         delta = checkpoint(step.join(seen, ["s", "o"], "left_anti"))
         if delta.isEmpty():
             break
-        seen = checkpoint(_plain(seen).union(_plain(delta)))
+        seen = checkpoint(seen.union(delta))
     return seen
 
 
-def _plain(df: DataFrame) -> DataFrame:
-    """(s, o) computed anew: constant columns otherwise carry constraints on attributes that are gone, which a union trips over."""
-    return df.select(F.concat("s", F.lit("")).alias("s"), F.concat("o", F.lit("")).alias("o"))
-
-
 def components(edges: DataFrame, max_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(node, root): the least node of each connected component, for all nodes with an edge.
 
