@@ -108,6 +108,11 @@ class Graph:
         out.prefixes = self.prefixes | other.prefixes
         return out
 
+    @classmethod
+    def building(cls, spark: SparkSession) -> "Graph":
+        """The bundled example vocabulary: a class tree with tags, equivalents and inverses."""
+        return cls.load(spark, os.path.join(HERE, "data", "building.ttl"))
+
     @staticmethod
     def extensions(folder: str = os.path.join(HERE, "data", "extensions")) -> list[str]:
         return sorted(os.path.splitext(os.path.basename(p))[0] for p in glob.glob(os.path.join(folder, "*.ttl")))
