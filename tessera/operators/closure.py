@@ -51,7 +51,7 @@ def transitive(edges: DataFrame, max_rounds: int = MOST_ROUNDS, driver_edges: in
     """Distinct (s, o) pairs joined by one edge or more; ``edges`` has the columns s and o, cycles are fine."""
     spark = edges.sparkSession
     edges = edges.select("s", "o")
-    few = edges.distinct().limit(driver_edges + 1).collect()
+    few = edges.limit(driver_edges + 1).collect()
     if len(few) <= driver_edges:
         pairs = reach([tuple(r) for r in few])
         if pairs is not None:
@@ -70,13 +70,14 @@ def transitive(edges: DataFrame, max_rounds: int = MOST_ROUNDS, driver_edges: in
 def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """Distinct (s, o): nodes reached by one edge or more from the seeds (column s)."""
     spark = edges.sparkSession
-    edges = edges.select("s", "o").distinct()
+    edges = edges.select("s", "o")
     few = edges.limit(driver_edges + 1).collect()
     if len(few) <= driver_edges:
         starts = [r[0] for r in seeds.select("s").distinct().limit(driver_edges + 1).collect()]
         pairs = reach([tuple(r) for r in few], starts=starts) if len(starts) <= driver_edges else None
         if pairs is not None:
             return spark.createDataFrame(pairs, "s string, o string")
+    edges = checkpoint(edges.distinct())
     seen = checkpoint(seeds.select("s").distinct().join(edges, "s").select("s", "o").distinct())
     delta = seen
     for _ in range(max_rounds):

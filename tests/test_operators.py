@@ -276,3 +276,33 @@ def test_projection(spark, onto):
         relational.tables(g.union(Graph.parse(spark, B + ":r2 a b:Room ; b:isLocationOf :ahu .").df), strict=True)
     assert {r["child"] for r in relational.class_tree(onto.df, EQUIPMENT).collect()} >= {b("VAV"), b("RVAV")}
     assert onto.match(None, SUBCLASS).count() > 5
+
+
+def test_alignment_reverse_lookup(spark):
+    from tessera.operators import vbis
+
+    alignment = Graph.parse(spark, B + """@prefix sh: <http://www.w3.org/ns/shacl#> .
+:s1 a sh:NodeShape ; sh:targetClass b:Fan ; sh:property [ sh:path b:hasAlignmentTag ; sh:pattern "ME-Fa.*" ] .
+:s2 a sh:NodeShape ; sh:targetClass b:VAV ; sh:or ( [ sh:class b:X ] [ sh:property [ sh:path b:hasAlignmentTag ; sh:pattern "ME-V.*|ME-Fa-T" ] ] ) .""").df
+    find = lambda tag: {r[0] for r in vbis.classes_of_tag(alignment, tag).collect()}
+    assert find("ME-Fa-1") == {b("Fan")} and find("ME-Fa-T") == {b("Fan"), b("VAV")} and find("EL") == set()
+    with pytest.raises(ValueError):
+        vbis.classes_of_tag(alignment, "ME-*")
+
+
+def test_device_model_in_rdf(spark, onto):
+    data = Graph.parse(spark, B + ":p1 a :sensorPoint ; :tagged :sensor , :point , :air , :flow , :hisRef . :sensorPoint :is :marked . :other a :else .").df
+    found = haystack.rdf_entities(data, x("marked"), x("is"), x("tagged")).where(F.col("id") == x("p1"))
+    assert found.first()["tags"] == ["air", "flow", "point", "sensor"]
+    named = found.withColumn("id", F.lit("p1"))
+    out = Graph(haystack.infer_entities(named, tags.lookup_table(onto.df), onto.df, "urn:x/"))
+    assert types(out, x("p1_point")) == {b("Air_Flow_Sensor")}
+
+
+def test_clean_up_and_headers(spark):
+    from tessera.sources.tables import rows_after_header
+
+    g = Graph.parse(spark, B + ":a <urn:ph/x> :b . :a b:p :c .").df
+    assert etl.without_namespaces(g, ["urn:ph/"]).count() == 1
+    rows = spark.createDataFrame([(0, "Name", "A/B"), (1, "title", None), (2, "Name", "A/B"), (3, "x", "1/2"), (4, "y", "3"), (5, "note", None)], "line bigint, c0 string, c1 string")
+    assert [tuple(r) for r in rows_after_header(rows, "Name").collect()] == [("x", "1", "2"), ("y", "3", None)]
