@@ -11,8 +11,8 @@ links of a spanning forest of the verified pairs are emitted, which has the same
 all pairs.  Groups are the components over all tables.
 
 Results: null, empty and wordless texts have no fingerprint and always stay as groups of their own; of a
-group the row of the smallest identifier stays (repeated rows of one identifier share a group, one row of
-them stays; a null identifier stays and is not grouped); other columns pass through; an empty table gives
+group the row of the smallest identifier stays (repeated rows of one identifier share a group, the row of
+the least text stays; a null identifier stays and is not grouped); other columns pass through; an empty table gives
 an empty table.
 """
 
@@ -216,19 +216,31 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return at.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id, root) of the rows that are near copies of a smaller identifier, ``root`` the group's smallest."""
-    prints = cut(with_fingerprints(df, id_col, text_col))
+def groups_of(prints: DataFrame, **how) -> DataFrame:
+    """(id, root) from (id, fp): rows that are near copies of a smaller identifier, ``root`` the group's smallest."""
     same = Window.partitionBy("fp")
     tied = prints.withColumn("head", F.min("id").over(same))
     heads = prints.groupBy("fp").agg(F.min("id").alias("id"))
-    near = components(similar_links(heads, **how).union(tied.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))))
-    return near
+    return components(similar_links(heads, **how).union(tied.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))))
+
+
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, root) of the rows that are near copies of a smaller identifier, ``root`` the group's smallest."""
+    return groups_of(cut(with_fingerprints(df, id_col, text_col)), **how)
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Rows of ``df`` less the near copies of rows with smaller identifiers."""
-    key, order = fresh(df.columns, "key", "order")
-    copies = groups(df, id_col, text_col, **how).select(F.col("id").alias(key))
-    kept = df.withColumn(key, F.col(id_col).cast("bigint")).join(copies, key, "left_anti")
+    key, place = fresh(df.columns, "key", "place")
+    prints = cut(with_fingerprints(df, id_col, text_col))
+    copies = groups_of(prints, **how).select(F.col("id").alias(key))
+    worded = F.rlike(F.col(text_col), F.lit("[\\p{L}\\p{N}]"))
+    marked = df.withColumn(key, F.when(worded, F.col(id_col).cast("bigint")))  # a null key joins nothing: such rows stay
+    kept = marked.join(copies, key, "left_anti")
+    repeated = prints.groupBy(F.col("id").alias(key)).agg(F.count("*").alias(place)).where(F.col(place) > 1).select(key)
+    if not repeated.isEmpty():
+        repeated = cut(repeated)
+        first = Window.partitionBy(key).orderBy(text_col)
+        again = kept.join(repeated, key, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+        kept = kept.join(repeated, key, "left_anti").unionByName(again)
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
