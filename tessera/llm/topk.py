@@ -2,10 +2,14 @@
 
 The vectors are rotated by the singular vectors of the whole table (from one distributed Gram matrix), so
 that leading coordinates carry most of every inner product, and written to the shared folder in order of
-falling length.  Every query task streams that file in blocks.  For a block it takes the inner products of
-the leading coordinates; by Cauchy-Schwarz the rest adds at most the product of the two residual lengths,
-so only pairs whose bound reaches the query's k-th best score so far are completed.  As lengths fall, a
-task stops reading once no query can gain from the next block's length.  Completed scores are computed in
+falling length.  Every query task streams that file once, in blocks, for all its queries.  For a block it
+takes partial sums over the leading coordinates; by Cauchy-Schwarz the rest adds at most the product of the
+two residual lengths, which enters the same matrix product as one more coordinate.  Only pairs whose bound
+reaches the query's k-th best score so far go on: to a longer partial sum of the whole block while many
+remain, else to their full scores.  How far blocks of this table have to be summed is learnt from the block
+before.  As lengths fall, a group of queries stops once none can gain from the next block's length.
+
+Partial sums are in single precision with a slack beyond its rounding error; full scores are computed in
 double precision from the unrotated vectors, so results are exact.
 
 Results: every row is a query; a row is no neighbour of itself, told by identifier (repeated rows of one
@@ -68,14 +72,14 @@ def rotation(rows: DataFrame, d: int) -> np.ndarray:
 
 
 def _blocks(path: str, rows: int):
-    """(ids, vectors, rotated, norms) of the stored table by falling norm."""
+    """(ids, vectors, norms) of the stored table by falling norm."""
     fs, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
     files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if posixpath.basename(f.path).startswith("part-"))
     for name in files:
         with fs.open_input_file(name) as f:
             for batch in pq.ParquetFile(f).iter_batches(rows):
                 if batch.num_rows:
-                    yield batch.column("id").to_numpy(), _matrix(batch.column("vec")), _matrix(batch.column("rot")), batch.column("norm").to_numpy()
+                    yield batch.column("id").to_numpy(), _matrix(batch.column("vec")), batch.column("norm").to_numpy()
 
 
 def _best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -87,84 +91,121 @@ def _best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarr
     return order[place < k]
 
 
-def search(ids: np.ndarray, vecs: np.ndarray, turn: np.ndarray, path: str, k: int, head: int, block: int):
-    """Best neighbours of a batch of queries: (query position, score, id) by query and rank."""
-    rot = vecs @ turn
-    norms = np.linalg.norm(vecs, axis=1)
-    rest = np.sqrt(np.maximum(0, (rot[:, head:] ** 2).sum(1)))
-    front = np.ascontiguousarray(rot[:, :head], np.float64)
-    bar = np.full(len(ids), -np.inf)
-    got = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-    for bid, bvec, brot, bnorm in _blocks(path, block):
-        slack = 1e-9 * (1 + norms * bnorm[0])
-        if (norms * bnorm[0] + slack < bar).all():
-            break
-        brest = np.sqrt(np.maximum(0, (brot[:, head:] ** 2).sum(1)))
-        bound = front @ brot[:, :head].T
-        bound += np.outer(rest, brest) + slack[:, None]
-        if np.isinf(bar).any():  # no k-th score yet: take one from this block
-            full = rot @ brot.T
-            full[ids[:, None] == bid[None, :]] = -np.inf
-            if full.shape[1] >= k:
-                bar = np.maximum(bar, np.partition(full, -k, axis=1)[:, -k] - 2 * slack)
-        qi, xi = np.nonzero(bound >= bar[:, None])
-        other = ids[qi] != bid[xi]
+#: Above this share of surviving pairs a longer partial sum of the whole block is cheaper than single full scores.
+MANY = 0.01
+
+
+class Heads:
+    """Partial vectors of a matrix: for each level the leading coordinates and the length of the rest."""
+
+    def __init__(self, vecs: np.ndarray, turn: np.ndarray, levels: list[int]):
+        self.rot = (vecs @ turn).astype(np.float32)
+        self.levels, self.parts = levels, {}
+
+    def at(self, level: int) -> np.ndarray:
+        got = self.parts.get(level)
+        if got is None:
+            h = self.levels[level]
+            got = self.rot
+            if h < got.shape[1]:
+                rest = np.sqrt((got[:, h:].astype(np.float64) ** 2).sum(1))
+                got = np.column_stack([got[:, :h], rest.astype(np.float32)])
+            self.parts[level] = got
+        return got
+
+
+class Queries:
+    """A group of queries and their best neighbours so far."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, turn: np.ndarray, levels: list[int], k: int):
+        self.ids, self.vecs, self.k, self.level, self.open = ids, vecs, k, 0, True
+        self.heads = Heads(vecs, turn, levels)
+        self.norms = np.linalg.norm(vecs, axis=1)
+        self.bar = np.full(len(ids), -np.inf)
+        self.got = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+
+    def see(self, bid: np.ndarray, bvec: np.ndarray, bnorm: np.ndarray, block: Heads) -> None:
+        slack = 2e-7 * (bvec.shape[1] + 8) * (self.norms * bnorm[0]) + 1e-30
+        if (self.norms * bnorm[0] + slack < self.bar).all():
+            self.open = False
+            return
+        last = len(self.heads.levels) - 1
+        if np.isinf(self.bar).any():  # no k-th score yet: take one from this block
+            full = self.heads.rot @ block.rot.T
+            full[self.ids[:, None] == bid[None, :]] = -np.inf
+            if full.shape[1] >= self.k:
+                self.bar = np.maximum(self.bar, np.partition(full, -self.k, axis=1)[:, -self.k] - slack)
+        floor = (self.bar - slack).astype(np.float32)
+        floor = np.nextafter(floor, np.float32(-np.inf))[:, None]
+        level = max(0, self.level - 1)  # a level lower may do for shorter vectors
+        if level < self.level and bid[0] % 8:
+            level = self.level
+        while True:
+            bound = self.heads.at(level) @ block.at(level).T
+            pairs = np.flatnonzero(bound >= floor)
+            if level == last or len(pairs) <= MANY * bound.size:
+                break
+            level += 1
+        self.level = level
+        qi, xi = np.divmod(pairs, len(bid))
+        other = self.ids[qi] != bid[xi]
         qi, xi = qi[other], xi[other]
         score = np.empty(len(qi))
         for a in range(0, len(qi), 1 << 17):
-            s = slice(a, a + (1 << 17))
-            score[s] = (vecs[qi[s]] * bvec[xi[s]]).sum(1)
-        q, s, i = np.concatenate([got[0], qi]), np.concatenate([got[1], score]), np.concatenate([got[2], bid[xi]])
-        keep = _best(q, s, i, k)
-        got = (q[keep], s[keep], i[keep])
-        ends = np.nonzero(np.append(np.diff(got[0]) != 0, len(got[0]) > 0))[0]
-        full_rows = np.bincount(got[0], minlength=len(ids)) >= k
-        mine = got[0][ends]
-        bar = np.full(len(ids), -np.inf)
-        bar[mine] = np.where(full_rows[mine], got[1][ends], -np.inf)
-    return got
-
-
-def top_k(df: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", head: int | None = None, block: int = 2048, batch: int = 2048) -> DataFrame:
+            part = slice(a, a + (1 << 17))
+            score[part] = (self.vecs[qi[part]] * bvec[xi[part]]).sum(1)
+        q, s, i = np.concatenate([self.got[0], qi]), np.concatenate([self.got[1], score]), np.concatenate([self.got[2], bid[xi]])
+        keep = _best(q, s, i, self.k)
+        self.got = (q[keep], s[keep], i[keep])
+        ends = np.nonzero(np.append(np.diff(self.got[0]) != 0, len(self.got[0]) > 0))[0]
+        filled = np.bincount(self.got[0], minlength=len(self.ids)) >= self.k
+        mine = self.got[0][ends]
+        self.bar = np.full(len(self.ids), -np.inf)
+        self.bar[mine] = np.where(filled[mine], self.got[1][ends], -np.inf)
+
+
+def levels_of(d: int) -> list[int]:
+    """Lengths of the partial sums: half, three quarters and all of the coordinates."""
+    return sorted({max(1, d // 2), max(1, 3 * d // 4), d})
+
+
+def top_k(df: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2048, batch: int = 2048) -> DataFrame:
     """(query_id, rank from 1, neighbor_id, score): the k largest inner products of every row with others."""
     spark = df.sparkSession
     rows, d = clean_vectors(df, id_col, vec_col)
     if not d:
         return spark.createDataFrame([], OUT)
     turn = rotation(rows, d)
-    head = head or max(1, d // 2)
+    levels = levels_of(d)
 
-    def rotate(batches):
+    def measure(batches):
         for b in batches:
             x = _matrix(b.column(1)) if b.num_rows else np.zeros((0, d))
-            norm = np.linalg.norm(x, axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x @ turn).tolist(), pa.list_(pa.float64())), pa.array(norm)], ["id", "vec", "rot", "norm"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.linalg.norm(x, axis=1))], ["id", "vec", "norm"])
 
-    sorted_rows = rows.mapInArrow(rotate, "id bigint, vec array<double>, rot array<double>, norm double")
+    sorted_rows = rows.mapInArrow(measure, "id bigint, vec array<double>, norm double")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared_path(spark, "vectors")
     sorted_rows.repartitionByRange(n, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").write.parquet(path)
 
     def run(batches):
-        held, count = [], 0
-
-        def answer():
-            ids = np.concatenate([b.column(0).to_numpy() for b in held])
-            vecs = np.concatenate([_matrix(b.column(1)) for b in held])
-            for a in range(0, len(ids), batch):
-                q, score, other = search(ids[a : a + batch], vecs[a : a + batch], turn, path, k, head, block)
-                start = np.nonzero(np.concatenate([[True], np.diff(q) != 0]))[0] if len(q) else np.zeros(0, int)
-                rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + batch][q]), pa.array(rank, pa.int32()), pa.array(other), pa.array(score)], ["query_id", "rank", "neighbor_id", "score"])
-
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                count += b.num_rows
-            if count >= batch:
-                yield from answer()
-                held, count = [], 0
-        if held:
-            yield from answer()
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        ids = np.concatenate([b.column(0).to_numpy() for b in held])
+        vecs = np.concatenate([_matrix(b.column(1)) for b in held])
+        groups = [Queries(ids[a : a + batch], vecs[a : a + batch], turn, levels, k) for a in range(0, len(ids), batch)]
+        for bid, bvec, bnorm in _blocks(path, block):
+            heads = Heads(bvec, turn, levels)
+            for g in groups:
+                if g.open:
+                    g.see(bid, bvec, bnorm, heads)
+            if not any(g.open for g in groups):
+                break
+        for g in groups:
+            q, score, other = g.got
+            start = np.nonzero(np.concatenate([[True], np.diff(q) != 0]))[0] if len(q) else np.zeros(0, int)
+            rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(g.ids[q]), pa.array(rank, pa.int32()), pa.array(other), pa.array(score)], ["query_id", "rank", "neighbor_id", "score"])
 
     return spark.read.parquet(path).select("id", "vec").repartition(n, "id").mapInArrow(run, OUT)
