@@ -10,7 +10,9 @@ solve sum(min(level * weight, capacity)) = budget, in closed form over siblings
 A leaf fills its budget with whole epochs and then a prefix, in the seeded order of the next epoch, of the
 rows whose running token count stays within the rest.  The order is by md5(seed:epoch:identifier); its
 first digits split a leaf into thousands of ranges whose token sums find the one range where the prefix
-ends, so only that range is ever sorted, however large the leaf.
+ends, so only that range is ever sorted, however large the leaf.  The last place taken there is the leaf's
+cut: a row is in the prefix if its place isn't after the cut, so texts are never shuffled; they only meet the
+table of leaves, which is broadcast behind a check of its size.
 
 Results: rows without tokens (null, empty or blank text) go with their place in the order (they cost
 nothing); a null level value is a node of its own named ``(null)``; a node without a weight has weight 1,
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, token_count, without
 
 NO_NAME = "(null)"
+#: Leaf tables of so many rows at most are broadcast.
+BROADCAST_LEAVES = 100_000
 
 
 def _weights(level: int, weights: dict) -> Column:
@@ -74,8 +78,8 @@ def _narrow(df: DataFrame, levels: list[Column], id_col: str, tokens: Column) ->
     return df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), tokens.alias("t"), *[F.coalesce(x.cast("string"), F.lit(NO_NAME)).alias(f"l{k}") for k, x in enumerate(levels)])
 
 
-def plan(df: DataFrame, levels: list[Column], weights: dict, budget: Column, id_col: str, tokens: Column, seed: int, max_epochs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(leaf plan, places taken in the range where a prefix ends, the narrow rows)."""
+def plan(df: DataFrame, levels: list[Column], weights: dict, budget: Column, id_col: str, tokens: Column, seed: int, max_epochs: int) -> DataFrame:
+    """(l0.., budget, epochs, left, cut): whole epochs of each leaf, and the last place its next epoch takes."""
     rows = cut(_narrow(df, levels, id_col, tokens))
     keys = [f"l{k}" for k in range(len(levels))]
     leaves = rows.groupBy(*keys).agg(F.sum("t").alias("tokens"), F.count("*").alias("docs"))
@@ -94,8 +98,9 @@ def plan(df: DataFrame, levels: list[Column], weights: dict, budget: Column, id_
     leaf = cut(leaf)
     edge = open_rows.select(*keys, "id", "t", "h", "b").join(leaf.where("end <> '~'").select(*keys, "end", "gone", "left"), keys).where("b = end")
     run = Window.partitionBy(*keys).orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = cut(edge.withColumn("c", F.sum("t").over(run) + F.col("gone")).where(F.col("c") <= F.col("left")).select("id").distinct())
-    return leaf.withColumn("digits", F.lit(digits)), taken, rows
+    last = edge.withColumn("c", F.sum("t").over(run) + F.col("gone")).where(F.col("c") <= F.col("left")).groupBy(*keys).agg(F.max("h").alias("last"))
+    # the range's own name sorts after all places before the range and before all places in it; "~" after all
+    return cut(leaf.join(last, keys, "left").select(*keys, "budget", "epochs", "left", F.coalesce("last", "end").alias("cut")))
 
 
 def _place(id_name: str, seed: int, epoch: Column) -> Column:
@@ -110,16 +115,15 @@ def mix(df: DataFrame, levels: list[Column], weights: dict, budget: Column, id_c
     """
     base = without(df, "epoch")
     tokens = token_count(F.col(text_col)) if tokens is None else tokens
-    leaf, taken, _ = plan(df, levels, weights, budget, id_col, tokens, seed, max_epochs)
+    leaf = plan(df, levels, weights, budget, id_col, tokens, seed, max_epochs)
     keys = [f"l{k}" for k in range(len(levels))]
-    names = dict(zip(keys + ["id", "h", "hit"], fresh(base.columns + ["epoch"], *keys, "id", "h", "hit")))
+    names = dict(zip(keys + ["epochs", "cut", "id"], fresh(base.columns + ["epoch"], *keys, "epochs", "cut", "id")))
     rows = base.select("*", *[F.coalesce(x.cast("string"), F.lit(NO_NAME)).alias(names[k]) for k, x in zip(keys, levels)], F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias(names["id"]))
-    lead = dict(zip(["budget", "epochs", "left", "end", "digits"], fresh(rows.columns + ["epoch"], "budget", "epochs", "left", "end", "digits")))
-    small = leaf.select(*[F.col(k).alias(names[k]) for k in keys], *[F.col(k).alias(v) for k, v in lead.items()])
+    small = leaf.select(*[F.col(k).alias(names[k]) for k in [*keys, "epochs", "cut"]])
+    if small.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:
+        small = F.broadcast(small)
     rows = rows.join(small, [names[k] for k in keys])
-    rows = rows.join(taken.select(F.col("id").alias(names["id"]), F.lit(True).alias(names["hit"])), names["id"], "left")
-    part = F.substring(_place(names["id"], seed, F.col(lead["epochs"])), 1, 32)
-    head = F.substr(part, F.lit(1), F.col(lead["digits"]))
-    more = (F.col(lead["epochs"]) < max_epochs) & ((head < F.col(lead["end"])) | ((head == F.col(lead["end"])) & F.col(names["hit"]).isNotNull()))
-    count = F.col(lead["epochs"]) + F.when(more, 1).otherwise(0)
+    whole = F.col(names["epochs"])
+    more = (whole < max_epochs) & (_place(names["id"], seed, whole) <= F.col(names["cut"]))
+    count = whole + F.when(more, 1).otherwise(0)
     return rows.where(count > 0).select(*[F.col(f"`{c}`") for c in base.columns], F.explode(F.sequence(F.lit(0), count - 1)).alias("epoch"))
