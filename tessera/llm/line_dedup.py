@@ -5,8 +5,8 @@ Pages are split into lines, grouped by host; the share of a host's pages that co
 
 Counting moves (host, line) pairs, already counted on the map side per page batch, never page texts; a
 host's boilerplate is at most lines-per-page / ``ratio`` lines, so it returns to the pages as one short
-array a host, in a join whose build side Spark sizes itself (broadcast only below its threshold, else a
-shuffle that adaptive execution splits for hot hosts).
+array a host.  The arrays are measured: up to ``BROADCAST_BYTES`` of them are broadcast and pages stay where
+they are, beyond that pages are shuffled by host, which adaptive execution splits for hot hosts.
 
 Results: a null text gives null text and counts 0; empty text stays empty; blank lines are never
 boilerplate and stay; a line repeated in a page counts one page; a page without host (null or malformed
@@ -19,8 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, without
+from .common import cut, fresh, without
 
+BROADCAST_BYTES = 32 << 20
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 BREAKS = r"(?i)<script[^>]*>[^<]*</script>|<style[^>]*>[^<]*</style>|<!--[^>]*-->|</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|table|article|nav|header|footer|body|html|head|title)(?:\s[^>]*)?/?>"
 
@@ -48,7 +49,9 @@ def drop_boilerplate(df: DataFrame, host, lines, out_col: str = "text", ratio: f
     seen = base.where(F.col(h).isNotNull()).select(h, F.explode(F.array_distinct(ls)).alias(line)).where(F.trim(F.col(line)) != "")
     counts = seen.groupBy(h, line).agg(F.count("*").alias(n)).where(F.col(n) >= max(1, int(ratio * min_pages)))
     boiler = counts.join(hosts, h).where(F.col(n) / F.col(pages) > ratio).groupBy(h).agg(F.collect_list(line).alias(bad))
-    joined = base.join(boiler, h, "left")
+    boiler = cut(boiler)
+    size = boiler.agg(F.sum(F.octet_length(h) + F.octet_length(F.array_join(bad, "")) + 16 * F.size(bad)).alias("n")).first()["n"] or 0
+    joined = base.join(F.broadcast(boiler) if size <= BROADCAST_BYTES else boiler, h, "left")
     kept = F.when(F.col(bad).isNull(), F.col(ls)).otherwise(F.filter(ls, lambda x: ~F.array_contains(F.col(bad), x)))
     done = joined.withColumn(line, kept)
     keep = without(df, out_col, "n_lines", "n_dropped").columns
