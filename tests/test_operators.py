@@ -165,10 +165,10 @@ def test_device_model(spark, onto):
 
 # conversion
 
-TSV = "VAV name\ttemperature sensor\ttemperature setpoint\thas_reheat\tsensors\tsetpoints\n A \t A_ts \t A_sp\tfalse\t4\t3\nB\tB_ts\tB_sp \ttrue\t5\t3\n"
+TSV = "unit\tprobe\tgoal\treheat\tn_probes\tn_goals\n U1 \t U1_probe \t U1_goal\tfalse\t4\t3\nU2\tU2_probe\tU2_goal \ttrue\t5\t3\n"
 CONFIG = {"operations": [
-    {"data": "bldg:{VAV name} a bld:VAV ; bld:hasPoint bldg:{temperature sensor} ; bld:hasPoint bldg:{temperature setpoint} .\nbldg:{temperature sensor} a bld:Temperature_Sensor . bldg:{temperature setpoint} a bld:Setpoint ."},
-    {"conditions": ["'{has_reheat}'"], "data": "bldg:{VAV name} a bld:RVAV ."},
+    {"data": "bldg:{unit} a bld:VAV ; bld:hasPoint bldg:{probe} , bldg:{goal} .\nbldg:{probe} a bld:Temperature_Sensor . bldg:{goal} a bld:Setpoint ."},
+    {"conditions": ["'{reheat}'"], "data": "bldg:{unit} a bld:RVAV ."},
 ]}
 
 
@@ -180,15 +180,18 @@ def sheet(spark, tmp_path):
 
 def test_convert_rows(spark, sheet):
     assert etl.convert_table(sheet, CONFIG).count() == 11
-    loop = {"macros": ["{% macro many(s, n, num, t) %}{% for i in range(num) %} bldg:{{ n }}_{{ i }} a {{ t }} . bldg:{{ s }} bld:hasPoint bldg:{{ n }}_{{ i }} . {% endfor %}{% endmacro %}"], "operations": [{"data": "bldg:{VAV name}_0 a bld:VAV ."}, CONFIG["operations"][1]] + [{"template": "{{ many(value['VAV name'], value['temperature %s'], value['%ss'], \"bld:Point\") }}" % (k, k)} for k in ("sensor", "setpoint")]}
+    macro = "{% macro many(s, n, num, t) %}{% for i in range(num) %} bldg:{{ n }}_{{ i }} a {{ t }} . bldg:{{ s }} bld:hasPoint bldg:{{ n }}_{{ i }} . {% endfor %}{% endmacro %}"
+    calls = [{"template": "{{ many(value['unit'], value['%s'], value['n_%ss'], \"bld:Point\") }}" % (k, k)} for k in ("probe", "goal")]
+    loop = {"macros": [macro], "operations": [{"data": "bldg:{unit}_first a bld:VAV ."}, CONFIG["operations"][1], *calls]}
     assert etl.convert_table(sheet, loop).count() == 33
 
 
 def test_conditions(spark, sheet):
     def hits(text):
-        return etl.convert_table(sheet, {"operations": [{"conditions": [text], "data": "bldg:{VAV name} a bld:X ."}]}).count()
+        return etl.convert_table(sheet, {"operations": [{"conditions": [text], "data": "bldg:{unit} a bld:X ."}]}).count()
 
-    assert [hits(t) for t in ("{sensors} > 4", "{sensors} + {setpoints} == 7", "'{VAV name}' in ('A', 'C')", "not '{VAV name}'.lower().startswith('a')", "'{temperature sensor}'[-2:] == 'ts' and {sensors} < 5", "'{missing}' == ''", "len('{VAV name}') == 1")] == [1, 1, 1, 1, 1, 0, 2]
+    tries = {"{n_probes} > 4": 1, "{n_probes} + {n_goals} == 7": 1, "'{unit}' in ('U1', 'C')": 1, "not '{unit}'.lower().startswith('u1')": 1, "'{probe}'[-2:] == 'be' and {n_probes} < 5": 1, "'{missing}' == ''": 0, "len('{unit}') == 2": 2, "{reheat}": 1}
+    assert {t: hits(t) for t in tries} == tries
     with pytest.raises(ValueError):
         hits("__import__('os').getcwd()")
 
