@@ -2,7 +2,9 @@
 
 A bounded sample of labelled rows gives each language a raw-content dictionary; a text is compressed with
 every dictionary and gets the language of the smallest result.  It is rejected when the margin between the
-two smallest sizes, over the second, is below ``min_margin``.
+two smallest sizes, over the second, is below ``min_margin``.  A text longer than half the compressors' window
+is compressed in equal pieces that together cover it, each with the dictionary in reach, and the sizes of its
+pieces are added, so the margin doesn't depend on length.
 
 The sample bound is ``sample_rows`` rows and ``dict_bytes`` bytes a language (rows in order of a hash of
 their identifier, ``sample_chars`` characters of each); everything else sees whole texts of all rows.
@@ -47,10 +49,12 @@ class Compressors:
     def __init__(self, dictionaries: dict[str, bytes], level: int = 6):
         self.langs = sorted(dictionaries)
         self.each = []
+        fitted = lambda lang, **more: zs.ZstdCompressionParameters.from_level(level, dict_size=len(dictionaries[lang]), source_size=4096, write_content_size=False, write_dict_id=False, **more)
+        window = max((fitted(lang).window_log for lang in self.langs), default=0)  # one for all, as they share the pieces
+        self.piece = (1 << window) // 2
         for lang in self.langs:
             raw = zs.ZstdCompressionDict(dictionaries[lang], dict_type=zs.DICT_TYPE_RAWCONTENT)
-            params = zs.ZstdCompressionParameters.from_level(level, dict_size=len(dictionaries[lang]), source_size=4096, write_content_size=False, write_dict_id=False)
-            self.each.append(zs.ZstdCompressor(dict_data=raw, compression_params=params))
+            self.each.append(zs.ZstdCompressor(dict_data=raw, compression_params=fitted(lang, window_log=window)))
 
     def __call__(self, text: str | None, min_margin: float) -> tuple[str | None, float]:
         plain = squeezed(text).encode() if text else b""
@@ -58,7 +62,9 @@ class Compressors:
             return None, 0.0
         if len(self.langs) == 1:
             return self.langs[0], 1.0
-        sizes = sorted((len(c.compress(plain)), k) for k, c in enumerate(self.each))
+        n = -(-len(plain) // self.piece)
+        pieces = [plain[i * len(plain) // n : (i + 1) * len(plain) // n] for i in range(n)]
+        sizes = sorted((sum(len(c.compress(x)) for x in pieces), k) for k, c in enumerate(self.each))
         margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
         return (self.langs[sizes[0][1]] if sizes[0][0] < sizes[1][0] and margin >= min_margin else None), margin
 

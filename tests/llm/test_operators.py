@@ -221,6 +221,23 @@ def test_langid_edges(spark, odd, docs):
     assert langid.identify(odd.limit(0), books).count() == 0
 
 
+def test_langid_margin_holds_for_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judge = langid.Compressors(langid.fit(docs))
+    texts = defaultdict(list)
+    for r in docs.orderBy("doc_id").collect():
+        texts[r["lang"]].append(r["text"])
+    other = {"de": "en", "en": "fr", "es": "de", "fr": "es"}
+    assert set(texts) == set(other)
+    for lang, own in texts.items():
+        whole = "\n".join(own)
+        whole *= -(-3_000_000 // len(whole))
+        short, long = judge(whole[:120_000], 0.005), judge(whole[:3_000_000], 0.005)
+        assert short[0] == long[0] == lang and long[1] > 0.5 * short[1]
+        # the head doesn't decide for the rest
+        assert judge("\n".join(texts[other[lang]])[:250_000] + whole[:3_000_000], 0.005)[0] == lang
+
+
 # 6 SimHash
 
 
