@@ -6,11 +6,11 @@ two smallest sizes, over the second, is below ``min_margin``.  A text longer tha
 is compressed in equal pieces that together cover it, each with the dictionary in reach, and the sizes of its
 pieces are added, so the margin doesn't depend on length.
 
-The sample bound is ``sample_rows`` rows and ``dict_bytes`` bytes a language (rows in order of a hash of
-their identifier, ``sample_chars`` characters of each); everything else sees whole texts of all rows.
+The sample bound is ``sample_rows`` rows and ``dict_bytes`` bytes a language (rows over 200 characters first,
+each in order of a hash of their identifier, ``sample_chars`` characters of each); everything else sees whole texts of all rows.
 
 Results: null, empty and blank texts and ties are rejected (``pred_lang`` null, ``margin`` 0); labels that
-are null give no dictionary; with no labelled row at all everything is rejected, with one language
+are null, or whose rows are all blank, give no dictionary; with no labelled row at all everything is rejected, with one language
 everything non-blank has that language with margin 1; input columns with the output's names are replaced;
 an empty table gives an empty table.
 """
@@ -36,12 +36,14 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     The rank by hash is pruned before its exchange (a limit per group), so only the sampled rows' heads move.
     """
     order, = fresh(df.columns, "order")
-    rows = df.where(F.col(label_col).isNotNull() & (F.length(text_col) > 200)).select(F.col(label_col).cast("string").alias("label"), F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, sample_chars).alias("head"))
-    best = Window.partitionBy("label").orderBy("h", "head")
+    head = F.substring(text_col, 1, sample_chars)
+    rows = df.where(F.col(label_col).isNotNull() & F.rlike(head, F.lit("\\S"))).select(F.col(label_col).cast("string").alias("label"), (F.length(text_col) <= 200).alias("short"), F.xxhash64(id_col).alias("h"), head.alias("head"))
+    best = Window.partitionBy("label").orderBy("short", "h", "head")
     got = rows.withColumn(order, F.row_number().over(best)).where(F.col(order) <= sample_rows).collect()
     out: dict[str, str] = {}
     for r in sorted(got, key=lambda r: (r["label"], r[order])):
-        out[r["label"]] = out.get(r["label"], "") + squeezed(r["head"]) + "\n"
+        if plain := squeezed(r["head"]):
+            out[r["label"]] = out.get(r["label"], "") + plain + "\n"
     return {k: v.encode()[:dict_bytes] for k, v in sorted(out.items())}
 
 

@@ -238,6 +238,15 @@ def test_langid_margin_holds_for_long_texts(spark):
         assert judge("\n".join(texts[other[lang]])[:250_000] + whole[:3_000_000], 0.005)[0] == lang
 
 
+def test_langid_learns_from_short_rows(spark, docs):
+    long = [(r["doc_id"], r["text"], "en") for r in docs.where("lang = 'en'").collect()]
+    words = " ".join(r["text"] for r in docs.where("lang = 'de'").collect()).split()
+    short = [(1000 + k, " ".join(words[k * 12 : k * 12 + 12])[:200], "de") for k in range(150)]
+    books = langid.fit(spark.createDataFrame(long + short + [(2000, " \n", "fr")], "doc_id bigint, text string, lang string"))
+    assert set(books) == {"de", "en"}
+    assert langid.Compressors(books)(" ".join(words[2000:4000]), 0.005)[0] == "de"
+
+
 # 6 SimHash
 
 
