@@ -3,12 +3,13 @@
 A text's features are its distinct words (runs of letters and digits, lower case); its fingerprint has
 ``BITS`` bits, each the majority of that bit over the features' hashes.  Rows of equal fingerprints are
 gathered first.  Each of ``tables`` hash tables then draws its own random coordinates of the fingerprint:
-the first ``base_bits`` of them, read as a prefix of a 64-bit code, make a bucket.  Rows are range
-partitioned and sorted by (table, code), so a bucket is a run of rows, and a bucket beyond ``cap`` rows is
-split by additional bits of the same code just where it lies.  Rows that agree in the whole code are
-compared however many they are.  Within a bucket all candidate pairs are verified by their Hamming distance over all ``BITS`` bits, and the
-links of a spanning forest of the verified pairs are emitted, which has the same connected components as
-all pairs.  Groups are the components over all tables.
+the first ``base_bits`` of them make a bucket.  Rows are partitioned and sorted by bucket, so a bucket is a
+run of rows.  Within a bucket all pairs are
+verified by their Hamming distance over all ``BITS`` bits, and the links of a spanning forest of the verified
+pairs are emitted, which has the same connected components as all pairs; rows found linked are not compared
+with one another.  A bucket beyond ``cap`` rows is split by further bits where it lies, in as many independent
+ways as bring ``KEEP`` of its pairs at the full distance together in at least one, so what share of the near
+copies is found doesn't depend on the number of rows.  Groups are the components over all tables.
 
 Results: null, empty and wordless texts have no fingerprint and always stay as groups of their own; of a
 group the row of the smallest identifier stays (repeated rows of one identifier share a group, the row of
@@ -31,9 +32,10 @@ from .common import cut, fresh
 
 BITS = 256
 DISTANCE = 38  # of 256 bits: about 15 % of differing words
-TABLES = 20
+TABLES = 36  # bring 93 % of the pairs at the full distance together, and more of the nearer ones
 BASE_BITS = 16
-CAP = 512
+CAP = 4096
+KEEP = 0.99
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -101,39 +103,74 @@ def sampled_coordinates(tables: int, seed: int = 7) -> np.ndarray:
     return np.stack([np.random.default_rng([seed, t]).permutation(BITS)[:64] for t in range(tables)])
 
 
+def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Whether each row of ``a`` is within ``distance`` of each of ``b``."""
+    far = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.uint16)
+    for k in range(1, a.shape[1]):
+        far += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return far <= distance
+
+
 def _links(ids: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest over the pairs of rows within ``distance``."""
-    n = len(ids)
-    label = np.arange(n)
+    """Links of a spanning forest over the pairs of rows within ``distance``.
+
+    Each component is walked from its first row; a row that is reached leaves the rows still to be compared.
+    """
     out = []
-    step = max(1, (1 << 20) // n)
-    for a in range(0, n, step):
-        b = min(n, a + step)
-        far = np.bitwise_count(fps[a:b, None, 0] ^ fps[None, a:, 0]).astype(np.uint16)
-        for k in range(1, fps.shape[1]):
-            far += np.bitwise_count(fps[a:b, None, k] ^ fps[None, a:, k])
-        i, j = np.nonzero(far <= distance)
-        up = j > i
-        for x, y in zip((i[up] + a).tolist(), (j[up] + a).tolist()):
-            lx, ly = label[x], label[y]
-            if lx != ly:
-                label[label == max(lx, ly)] = min(lx, ly)
-                out.append((int(ids[x]), int(ids[y])))
+    while len(ids) > 1:
+        step = max(1, min(len(ids), (1 << 16) // len(ids)))  # a block that stays in cache
+        near = _near(fps[:step], fps, distance)
+        live = np.ones(len(ids), bool)
+        for k in np.nonzero(near.sum(1) > 1)[0]:
+            if not live[k]:
+                continue
+            live[k] = False
+            hit = np.nonzero(near[k] & live)[0]
+            live[hit] = False
+            out += [(int(ids[k]), x) for x in ids[hit].tolist()]
+            queue = hit
+            while len(queue):
+                rest = np.nonzero(live)[0]
+                if not len(rest):
+                    break
+                most = max(1, (1 << 20) // len(rest))
+                some, queue = queue[:most], queue[most:]
+                found = _near(fps[some], fps[rest], distance)
+                hit = found.any(0)
+                new = rest[hit]
+                live[new] = False
+                out += zip(ids[some[found.argmax(0)[hit]]].tolist(), ids[new].tolist())
+                queue = np.concatenate([queue, new])
+        ids, fps = ids[step:][live[step:]], fps[step:][live[step:]]
     return out
 
 
-def _bucket_links(ids, codes, fps, bits: int, cap: int, distance: int):
-    """Links in one bucket, sorted by code; beyond ``cap`` rows it is split by further bits."""
+def _bucket_links(ids, fps, cap: int, distance: int):
+    """Links in one bucket; beyond ``cap`` rows it is split by further bits, in several ways."""
     if len(ids) < 2:
         return
-    if len(ids) <= cap or bits >= 64:
+    if len(ids) <= cap:
+        yield from _links(ids, fps, distance)
+        return
+    further = int(np.ceil(np.log2(len(ids) / cap)))
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1)
+    open_ = np.nonzero(bits.any(0) & ~bits.all(0))[0]  # all differences are among these
+    if len(open_) < distance + further:
+        yield from _links(ids, fps, distance)
+        return
+    agree = np.prod(1 - distance / (len(open_) - np.arange(further)))
+    ways = int(np.ceil(np.log(1 - KEEP) / np.log(1 - agree)))
+    if ways >= 1 << further:  # comparing all is no dearer
         yield from _links(ids, fps, distance)
         return
-    bits = min(64, bits + 4)
-    head = codes >> np.uint64(64 - bits)
-    edges = np.concatenate([[0], np.nonzero(np.diff(head))[0] + 1, [len(ids)]])
-    for a, b in zip(edges[:-1], edges[1:]):
-        yield from _bucket_links(ids[a:b], codes[a:b], fps[a:b], bits, cap, distance)
+    for way in range(ways):
+        at = np.random.default_rng([11, len(ids), way]).permutation(open_)[:further]
+        head = bits[:, at].astype(np.int64) @ (1 << np.arange(further, dtype=np.int64))
+        order = np.argsort(head, kind="stable")
+        edges = np.concatenate([[0], np.nonzero(np.diff(head[order]))[0] + 1, [len(ids)]])
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b - a > 1:
+                yield from _links(ids[order[a:b]], fps[order[a:b]], distance)
 
 
 def similar_links(fps: DataFrame, distance: int = DISTANCE, tables: int = TABLES, base_bits: int = BASE_BITS, cap: int = CAP) -> DataFrame:
@@ -149,17 +186,16 @@ def similar_links(fps: DataFrame, distance: int = DISTANCE, tables: int = TABLES
             bits = np.unpackbits(fp, axis=1)
             for t in range(tables):
                 code = np.ascontiguousarray(np.packbits(bits[:, coordinates[t]], axis=1)).view(">u8").reshape(n).astype(np.uint64)
-                signed = (code ^ np.uint64(1 << 63)).view(np.int64)
                 bucket = (code >> np.uint64(64 - base_bits)).astype(np.int64) + (t << base_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(signed), batch.column(0), batch.column(1)], ["bucket", "code", "id", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), batch.column(1)], ["bucket", "id", "fp"])
 
     def sift(batches):
         held: list[tuple] = []
         now = None
 
         def settle():
-            ids, codes, fp = (np.concatenate(x) for x in zip(*held))
-            got = list(_bucket_links(ids, codes, fp, base_bits, cap, distance))
+            ids, fp = (np.concatenate(x) for x in zip(*held))
+            got = list(_bucket_links(ids, fp, cap, distance))
             held.clear()
             return got
 
@@ -168,16 +204,15 @@ def similar_links(fps: DataFrame, distance: int = DISTANCE, tables: int = TABLES
             if not n:
                 continue
             bucket = batch.column(0).to_numpy()
-            codes = batch.column(1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
-            ids = batch.column(2).to_numpy()
-            fp = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(n, BITS // 64)
+            ids = batch.column(1).to_numpy()
+            fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(n, BITS // 64)
             edges = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [n]])
             out = []
             for a, b in zip(edges[:-1], edges[1:]):
                 if held and bucket[a] != now:
                     out += settle()
                 now = bucket[a]
-                held.append((ids[a:b], codes[a:b], fp[a:b]))
+                held.append((ids[a:b], fp[a:b]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
         if held:
@@ -185,9 +220,9 @@ def similar_links(fps: DataFrame, distance: int = DISTANCE, tables: int = TABLES
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    rows = fps.select("id", "fp").mapInArrow(scatter, "bucket bigint, code bigint, id bigint, fp binary")
+    rows = fps.select("id", "fp").mapInArrow(scatter, "bucket bigint, id bigint, fp binary")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "code")
+    runs = rows.repartition(n, "bucket").sortWithinPartitions("bucket")
     return runs.mapInArrow(sift, "a bigint, b bigint").distinct()
 
 

@@ -311,6 +311,51 @@ def test_oversized_buckets_split(spark):
     assert len(got) >= 0.9 * 299 and {r["root"] for r in got} == {0}
 
 
+def test_simhash_recall_survives_splitting(spark):
+    """Pairs at each distance, found among unrelated rows that crowd every bucket (half of their bits are alike)."""
+    rng = np.random.default_rng(8)
+    loose = rng.permutation(256)[:150]
+    bits = np.tile(rng.integers(0, 2, 256, np.uint8), (4000, 1))
+    bits[:, loose] = rng.integers(0, 2, (4000, 150), np.uint8)
+    pairs = {}
+    for n, distance in enumerate((10, 20, 30, 38)):
+        pairs[distance] = [(a, 4000 + a) for a in range(n * 300, n * 300 + 300)]
+        near = bits[n * 300 : n * 300 + 300].copy()
+        for row in near:
+            row[rng.choice(256, distance, replace=False)] ^= 1
+        bits = np.concatenate([bits, near])
+    df = spark.createDataFrame([(i, bytearray(np.packbits(b).tobytes())) for i, b in enumerate(bits)], "id bigint, fp binary")
+    root = {r["id"]: r["root"] for r in simhash.components(simhash.similar_links(df, cap=8)).collect()}
+    for distance, own in pairs.items():
+        assert sum(root.get(a, a) == root.get(b, b) for a, b in own) >= 0.9 * len(own), distance
+
+
+def test_simhash_bucket_links_are_exact():
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 2, (40, 256), np.uint8)
+    bits = np.repeat(centres, 30, axis=0) ^ (rng.random((1200, 256)) < 0.09).astype(np.uint8)
+    prints = [np.packbits(b).tobytes() for b in bits[rng.permutation(1200)]]
+    want, _ = brute_groups(list(range(1200)), prints)
+    got = list(range(1200))
+    links = simhash._links(np.arange(1200), np.frombuffer(b"".join(prints), np.uint64).reshape(1200, 4), simhash.DISTANCE)
+    for a, b in links:
+        x, y = got[a], got[b]
+        got = [min(x, y) if g in (x, y) else g for g in got]
+    assert got == [want[i] for i in range(1200)] and len(links) == 1200 - len(set(got))
+
+
+def test_simhash_split_keeps_pairs():
+    rng = np.random.default_rng(6)
+    bits = rng.integers(0, 2, (20000, 256), np.uint8)
+    near = bits[:400].copy()
+    for row in near:
+        row[rng.choice(256, simhash.DISTANCE, replace=False)] ^= 1
+    fps = np.packbits(np.concatenate([bits, near]), axis=1).view(np.uint64)
+    got = set(simhash._bucket_links(np.arange(len(fps)), fps, 64, simhash.DISTANCE))
+    assert got <= {(a, 20000 + a) for a in range(400)} | {(20000 + a, a) for a in range(400)}
+    assert len({min(x) for x in got}) >= 0.97 * 400
+
+
 # 7 line dedup
 
 
