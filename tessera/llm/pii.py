@@ -2,9 +2,10 @@
 
 One pass over whole texts finds identifier-like spans (instances) of a few classes and, for each, what
 surrounds it.  Strict forms (an address with a domain, a number that passes its checksum, a quoted value
-after an assignment, ...) are seeds.  Every instance is linked to lexical patterns (class with the word
-before, with the two words before, with the word after) and to the pattern of its shape.  Spark scores this
-bipartite graph in rounds: a pattern's confidence is the mean score of the distinct instances it extracts,
+after an assignment, ...) are seeds; handles and plain numbers have no strict form and are seeds right after a
+word that says what they are (``LABELLED``).  Every instance is linked to lexical patterns (class with the word
+before, with the two words before, with the word after) and, unless a handle or plain number, to the pattern of
+its shape.  Spark scores this bipartite graph in rounds: a pattern's confidence is the mean score of the distinct instances it extracts,
 damped by ``prior`` unknown ones; an instance that is no seed gets the noisy-or of its patterns that have
 ``min_support`` instances.  At the end patterns of ``min_pattern`` confidence count, and instances whose
 noisy-or over these reaches ``min_score`` are reported beside the seeds.
@@ -46,6 +47,19 @@ SPAN = re.compile(
 HINT = re.compile("[0-9@]")
 GIVEN = re.compile(r"\w[\"']?\s*[=:]\s*[\"']?$")
 ISSUED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,}")
+#: What is written right before a handle or a plain number that is surely personal.
+LABELLED = {
+    "handle": re.compile(r"(?<!\w)(?:twitter|instagram|insta|telegram|tiktok|mastodon|snapchat|github|username|handle|follow|dm)(?: (?:is|me|at|on))*[ :=(]*$", re.I),
+    "number": re.compile(
+        r"""(?<!\w)(?:
+        (?:tele)?phone|tel|mobile|cell|fax|telefon|handy|mobil|t[ée]l[ée]phone|tel[ée]fono|m[óo]vil
+       |(?:konto|kunden|telefon|handy|ausweis)(?:nummer|nr)
+       |(?:account|acct|customer|client|member|patient|employee|passport|licen[cs]e|compte|cuenta|cliente)(?:[ ](?:number|no|nr|id)(?!\w)|(?=[ ]*[:=\#]))
+       |(?:num[ée]ro|n[úu]mero)[ ](?:de[ ])?(?:t[ée]l[ée]phone|compte|client|tel[ée]fono|cuenta|cliente)
+        )(?:[ ](?:number|no|nr))?(?:[ ]is)?[ .:=\#]*$""",
+        re.X | re.I,
+    ),
+}
 DIGITS = re.compile("[0-9]")
 HEX = re.compile("[0-9a-f]+$")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -64,7 +78,9 @@ def checksum(digits: str) -> bool:
 
 
 def is_seed(kind: str, value: str, before: str) -> bool:
-    """Whether a span is sure by its form alone."""
+    """Whether a span is sure by its form, or by the label right before it."""
+    if kind in LABELLED:
+        return bool(LABELLED[kind].search(before))
     if kind == "email":
         return "." in value.partition("@")[2]
     if kind == "phone":
@@ -92,7 +108,7 @@ def pattern_names(kind: str, value: str, before: str, after: str) -> list[str]:
         shape = LETTERS.sub("a", DIGITS.sub("9", value))
     if kind == "email":
         shape = "@" + re.sub("9+", "9", shape.partition("@")[2])
-    out = [f"{kind}|shape|{shape}"]
+    out = [] if kind in LABELLED else [f"{kind}|shape|{shape}"]  # digits or a name alone tell nothing
     if left:
         out.append(f"{kind}|left|{_word(left[-1])}")
     if len(left) == 2:

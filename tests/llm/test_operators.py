@@ -152,6 +152,17 @@ def test_pii_edges(spark, odd):
     assert sorted(map(repr, (r["doc_id"] for r in pii.extract(twice).collect()))) == ["1", "1", "None"]
 
 
+def test_pii_discovers_handles_and_numbers(spark):
+    rows = [(k, f"customer number: {40000000 + 7919 * k} renewed today") for k in range(20)]
+    rows += [(100 + k, f"we saw that {50000000 + 7919 * k} renewed today") for k in range(5)]
+    rows += [(200 + k, f"follow @person{'abcdefghijklmnopqrst'[k]} for more") for k in range(20)]
+    rows += [(300 + k, f"ask @writer{'abcde'[k]} for more") for k in range(5)]
+    clean = [(400, "order 1234567890 shipped"), (401, "built 20240131 by the client 1234567"), (402, "cellphone97 7654321 units")]
+    out = pii.extract(spark.createDataFrame(rows + clean, "doc_id bigint, text string")).collect()
+    seeds, found = ({r["doc_id"] for r in out if r["seed"] == sure} for sure in (True, False))
+    assert seeds == {*range(20), *range(200, 220)} and found == {*range(100, 105), *range(300, 305)}
+
+
 # 4 top-k
 
 
