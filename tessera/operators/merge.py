@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.terms import lex
 from ..graph import Graph
 from ..namespaces import LABEL, TYPE
-from .closure import checkpoint
+from .closure import checkpoint, components
 
 
 def unify(triples: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -58,7 +58,9 @@ def link(a: DataFrame, b: DataFrame, threshold: float = 0.9, most_rounds: int =
     """(left, right, score): one-to-one links of entities that share a type.
 
     Entities are blocked by type.  A type with one entity on each side links at 1.0.  Other pairs score by
-    name and label; mutual best pairs link, round by round, until no pair is left at the threshold.
+    name and label; mutual best pairs link, round by round, until no pair is left at the threshold.  Pairs still
+    open after ``most_rounds`` are linked in one pass, which gives the same links: best pairs first (ties to the
+    lesser left, then right name), each if both sides are free, one task a connected component.
     """
     left, right = (df.select("entity", F.explode("types").alias("type"), F.array_min("labels").alias("label")) for df in (a, b))
     name = lambda c: F.regexp_extract(c, "([^#/:]*)>$", 1)
@@ -78,9 +80,34 @@ def link(a: DataFrame, b: DataFrame, threshold: float = 0.9, most_rounds: int =
             break
         done = best if done is None else done.union(best)
         open_pairs = checkpoint(open_pairs.join(best.select("left"), "left", "left_anti").join(best.select("right"), "right", "left_anti"))
+    else:
+        if not open_pairs.isEmpty():
+            done = open_pairs.limit(0) if done is None else done
+            done = done.union(checkpoint(_greedy(open_pairs)))
     return done if done is not None else scored.limit(0)
 
 
+def _greedy(pairs: DataFrame) -> DataFrame:
+    """Links of (left, right, score) by falling score, where both sides are free."""
+    edges = pairs.select(F.concat(F.lit("l"), "left").alias("s"), F.concat(F.lit("r"), "right").alias("o"))
+    roots = components(edges).select("node", "root")
+    rows = pairs.withColumn("node", F.concat(F.lit("l"), "left")).join(roots, "node").select("root", "left", "right", "score")
+
+    def run(batches):
+        left, right = set(), set()  # components share no entity, so the order within each is all that counts
+        for pdf in batches:
+            keep = []
+            for a, b in zip(pdf["left"], pdf["right"]):
+                free = a not in left and b not in right
+                keep.append(free)
+                if free:
+                    left.add(a)
+                    right.add(b)
+            yield pdf.loc[keep, ["left", "right", "score"]]
+
+    return rows.repartition("root").sortWithinPartitions(F.desc("score"), "left", "right").mapInPandas(run, "left string, right string, score double")
+
+
 def merge_graphs(a: Graph, b: Graph, namespace: str, threshold: float = 0.9, types: list[str] | None = None, links: DataFrame | None = None) -> Graph:
     """Both graphs in one, with linked entities of the second renamed to those of the first.
 

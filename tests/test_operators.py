@@ -262,6 +262,12 @@ def test_stream_of_changes(spark, tmp_path):
 # merging
 
 
+def test_link_goes_on_until_no_pair_is_left(spark):
+    side = lambda names: spark.createDataFrame([(f"<urn:x/{c}>", ["t"], ["same"]) for c in names], "entity string, types array<string>, labels array<string>")
+    got = sorted((r["left"], r["right"]) for r in merge.link(side("abcdefgh"), side("mnopqrst"), threshold=0.3, most_rounds=2).collect())
+    assert got == [(f"<urn:x/{a}>", f"<urn:x/{b}>") for a, b in zip("abcdefgh", "mnopqrst")]  # all tie: in order of names
+
+
 def test_merge(spark):
     one = Graph.parse(spark, B + '@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . :vav_1 a b:VAV ; rdfs:label "VAV 1" . :vav_2 a b:VAV ; rdfs:label "VAV 2" . :fan a b:Fan .')
     two = Graph.parse(spark, B + '@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . :vav_1x a b:VAV ; rdfs:label "VAV 1x" ; b:feeds :q . :zzzzzz a b:VAV ; rdfs:label "other" . :blower a b:Fan .')
