@@ -697,6 +697,39 @@ def link_alone(spark, sf_dir):
     return merge.link(merge.features(a.df, DATA), merge.features(b.df, DATA), threshold=1.0)
 
 
+def _two_whole(spark, sf_dir) -> tuple[Graph, Graph]:
+    """All customers in two namespaces, their segments as types."""
+    t = m.table(spark, sf_dir, "customer")
+    side = lambda at: Graph(m.triples_of(t, F.concat(F.lit(f"<{DATA}{at}/"), "c_custkey", F.lit(">")), [(TYPE, F.concat(F.lit(f"<{DATA}seg/"), "c_mktsegment", F.lit(">"))), (LABEL, terms.to_literal(F.col("c_name")))]))
+    return side("c"), side("d")
+
+
+_WHOLE = f"WITH a AS (SELECT '<{DATA}c/' || c_custkey || '>' AS entity, '<{DATA}d/' || c_custkey || '>' AS other, '<{DATA}seg/' || c_mktsegment || '>' AS type, c_name AS label FROM customer)"
+
+
+@register("features_whole", f"{_WHOLE} SELECT entity, type AS types, label AS labels FROM a")
+def features_whole(spark, sf_dir):
+    return merge.features(_two_whole(spark, sf_dir)[0].df, DATA).select("entity", F.array_join("types", "|").alias("types"), F.array_join("labels", "|").alias("labels"))
+
+
+@register("common_types_whole", f"{_WHOLE} SELECT DISTINCT type FROM a")
+def common_types_whole(spark, sf_dir):
+    a, b = _two_whole(spark, sf_dir)
+    return merge.common_types(a.df, b.df, DATA)
+
+
+@register("type_clusters_whole", f"{_WHOLE} SELECT type, string_agg(entity, ' ' ORDER BY entity) AS left_side, string_agg(other, ' ' ORDER BY other) AS right_side FROM a GROUP BY type")
+def type_clusters_whole(spark, sf_dir):
+    a, b = _two_whole(spark, sf_dir)
+    return merge.clusters(merge.features(a.df, DATA), merge.features(b.df, DATA)).select("type", F.array_join("left", " ").alias("left_side"), F.array_join("right", " ").alias("right_side"))
+
+
+@register("link_whole", f'{_WHOLE} SELECT entity AS "left", other AS "right", 1.0::DOUBLE AS score FROM a')
+def link_whole(spark, sf_dir):
+    a, b = _two_whole(spark, sf_dir)
+    return merge.link(merge.features(a.df, DATA), merge.features(b.df, DATA))
+
+
 def _site(spark, sf_dir) -> DataFrame:
     """Customers as equipment, their orders as points, nations as locations."""
     cust, orders, nation = (m.table(spark, sf_dir, t) for t in ("customer", "orders", "nation"))
