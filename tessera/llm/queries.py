@@ -127,13 +127,24 @@ WITH s AS (
 SELECT query_id, place::INTEGER AS rank, neighbor_id, round(score, 6) AS score FROM r WHERE place <= 10
 """
 
-LINE_SQL = r"""
-WITH p AS (
-  SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
-         list_filter(list_transform(string_split(regexp_replace(regexp_replace(html,
-           '<script[^>]*>[^<]*</script>|<style[^>]*>[^<]*</style>|<!--[^>]*-->|</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|table|article|nav|header|footer|body|html|head|title)(?:\s[^>]*)?/?>',
-           chr(10), 'gi'), '<[^>]*>', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' ')), lambda x: x <> '') AS lines
-  FROM pages
+def _cut_sql(x: str, begin: str, end: str, by: str) -> str:
+    """``x`` with each stretch from ``begin`` to ``end`` replaced."""
+    return f"array_to_string(list_transform(string_split({x}, '{begin}'), lambda x, i: CASE WHEN i = 1 THEN x WHEN contains(x, '{end}') THEN {by} || substr(x, strpos(x, '{end}') + {len(end)}) ELSE {by} END), '')"
+
+
+_BLOCKS = ", ".join(f"'{x}'" for x in "p br div li ul ol h1 h2 h3 h4 h5 h6 tr td th table article section nav header footer body html head title meta".split())
+LINE_SQL = f"""
+WITH q AS (
+  SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+         {_cut_sql(_cut_sql(_cut_sql("html", "<!--", "-->", "''"), "<script", "</script>", "chr(10)"), "<style", "</style>", "chr(10)")} AS page FROM pages
+), t AS (
+  SELECT *, array_to_string(list_transform(string_split(page, '<'), lambda x, i: CASE WHEN i = 1 THEN x ELSE
+      CASE WHEN starts_with(x, '!') THEN '' WHEN list_contains([{_BLOCKS}], lower(ltrim(split_part(split_part(x, '>', 1), ' ', 1), '/'))) THEN chr(10) ELSE ' ' END
+      || CASE WHEN contains(x, '>') THEN substr(x, strpos(x, '>') + 1) ELSE '' END END), '') AS raw FROM q
+), u AS (
+  SELECT *, replace(replace(replace(replace(replace(replace(replace(raw, '&quot;', '"'), '&#x27;', ''''), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS plain FROM t
+), p AS (
+  SELECT page_id, url, host, list_filter(list_transform(string_split(plain, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' ')), lambda x: x <> '') AS lines FROM u
 ), hosts AS (
   SELECT host, count(*) AS pages FROM p WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= 4
 ), l AS (
@@ -201,10 +212,12 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(times::BIGINT))::INTEGE
 """
 
 _CANON = r"""
-WITH c0 AS (SELECT page_id, url, regexp_replace(trim(regexp_replace(url, '[\t\n\r\f]', '', 'g'), ' '), '#.*$', '') AS bare FROM pages),
+WITH c0 AS (SELECT page_id, url, split_part(trim(replace(replace(replace(replace(url, chr(9), ''), chr(10), ''), chr(13), ''), chr(12), ''), ' '), '#', 1) AS bare FROM pages),
 c1 AS (SELECT *, lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', 0)) AS head FROM c0),
-c2 AS (SELECT page_id, url, regexp_replace(regexp_replace(head, '^(http://[^/]*):80$', '\1'), '^(https://[^/]*):443$', '\1') AS head, substr(bare, length(head) + 1) AS tail FROM c1),
-c AS (SELECT page_id, url, head || regexp_replace(regexp_replace(regexp_replace(tail, 'utm_[^&]*(&|$)', '', 'g'), '[?&]+$', ''), '\?&+', '?') AS canonical FROM c2)
+c2 AS (SELECT page_id, url, CASE WHEN starts_with(head, 'http://') AND ends_with(head, ':80') THEN head[:-4] WHEN starts_with(head, 'https://') AND ends_with(head, ':443') THEN head[:-5] ELSE head END AS head, substr(bare, length(head) + 1) AS tail FROM c1),
+c3 AS (SELECT *, split_part(tail, '?', 1) AS path, regexp_replace('&' || substr(tail, length(split_part(tail, '?', 1)) + 2), '&(utm_[^&]*)?(&|$)', '&', 'g') AS q1 FROM c2),
+c AS (SELECT page_id, url, head || path || CASE WHEN q3 = '' THEN '' ELSE '?' || q3 END AS canonical
+      FROM (SELECT *, trim(regexp_replace(regexp_replace(q1, '&utm_[^&]*', '', 'g'), '&+', '&', 'g'), '&') AS q3 FROM c3))
 """
 
 

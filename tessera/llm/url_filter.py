@@ -2,17 +2,21 @@
 
 Glob rules (``*`` any run, ``?`` one character, everything else literal, matched against the whole
 canonical URL) are packed one after another into words of 64 bits.  One bit is one position of one rule;
-reading a byte moves all bits of all rules at once: shift by one (carrying over word borders), mask with
-the byte's positions, or stay where a ``*`` allows any run.  URLs of a batch step together, so the work is
+reading a character (a code point, not a byte) moves all bits of all rules at once: shift by one (carrying
+over word borders), mask with the positions that take the character, or stay where a ``*`` allows any run.
+Characters that no rule names share one mask.  URLs of a batch step together, so the work is
 one pass over array columns however many rules there are.
 
-Canonical URL: outer white space goes, scheme and host in lower case, default port, fragment and
-``utm_*`` parameters go.
+Canonical URL: outer spaces, tabs and line ends go, scheme and authority in lower case, default port and
+fragment go; of the query (what follows the first ``?``), empty parameters and those whose name begins with
+``utm_`` go, and the ``?`` too if none is left.  The path stays as it is.
 
 Results: null URL -> null canonical URL, no rules, verdict ``keep``; an empty URL matches only rules that
-match nothing (``*``); a rule listed twice is reported under both of its ids; without rules all are
-kept; where rules of both kinds match, ``allow`` wins; repeated rows get equal results; output columns
-replace input columns of their names; an empty table gives an empty table.
+match nothing (``*``); URLs of any length are read whole, in batches bounded by their total length; a rule
+listed twice is reported under both of its ids; without rules all are
+kept; where rules of both kinds match, ``allow`` wins; ties of ids keep the rules' order; repeated rows get
+equal results; output columns replace input columns of their names, others pass through; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,12 +32,18 @@ from .common import without
 
 def canonical_url(url):
     """Canonical form of a URL column."""
-    bare = F.regexp_replace(F.trim(F.regexp_replace(url, "[\\t\\n\\r\\f]", "")), "#.*$", "")
+    bare = F.substring_index(F.trim(F.regexp_replace(url, "[\\t\\n\\r\\f]", "")), "#", 1)
     head = F.lower(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", 0))
     tail = F.substr(bare, F.length(head) + 1)
     head = F.regexp_replace(F.regexp_replace(head, "^(http://[^/]*):80$", "$1"), "^(https://[^/]*):443$", "$1")
-    tail = F.regexp_replace(F.regexp_replace(F.regexp_replace(tail, "utm_[^&]*(&|$)", ""), "[?&]+$", ""), "\\?&+", "?")
-    return F.concat(head, tail)
+    at = F.instr(tail, "?")
+    parts = F.filter(F.split(F.substr(tail, at + 1), "&"), lambda x: (x != "") & ~F.startswith(x, F.lit("utm_")))
+    query = F.when(F.size(parts) > 0, F.concat(F.lit("?"), F.array_join(parts, "&"))).otherwise("")
+    return F.concat(head, F.when(at > 0, F.concat(F.substr(tail, F.lit(1), at - 1), query)).otherwise(tail))
+
+
+#: A batch of URLs steps together while it has at most so many cells (rows times longest URL).
+CELLS = 1 << 22
 
 
 class Automaton:
@@ -45,11 +55,11 @@ class Automaton:
             begins.append(len(reads))
             reads.append(None)
             stays.append(False)
-            for byte in glob.encode():
-                if byte == 42:
+            for char in glob:
+                if char == "*":
                     stays[-1] = True
                 else:
-                    reads.append(byte)
+                    reads.append(char)
                     stays.append(False)
             ends.append(len(reads) - 1)
         words = max(1, -(-len(reads) // 64))
@@ -59,34 +69,49 @@ class Automaton:
             bits[: len(flags)] = flags
             return np.packbits(bits, bitorder="little").view(np.uint64)
 
-        self.masks = np.stack([packed([r == c or r == 63 for r in reads]) for c in range(256)])
+        named = sorted({r for r in reads if r not in (None, "?")})
+        self.named = np.array([ord(c) for c in named], np.uint32)
+        # mask 0: characters that no rule names
+        self.masks = np.stack([packed([r == c or r == "?" for r in reads]) for c in ["", *named]])
         self.stays = packed(stays)
         self.start = packed([i in set(begins) for i in range(len(reads))])
         self.ends = np.array(ends, np.int64)
 
+    def classes(self, url: str) -> np.ndarray:
+        """Number of the mask of each character."""
+        codes = np.frombuffer(url.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(self.named):
+            return np.zeros(len(codes), np.int32)
+        at = np.minimum(np.searchsorted(self.named, codes), len(self.named) - 1)
+        return np.where(self.named[at] == codes, at + 1, 0).astype(np.int32)
+
     def run(self, urls: list[str]) -> np.ndarray:
         """Boolean matrix: which URL (row) which glob (column) matches."""
-        raw = [u.encode() for u in urls]
-        size = np.array([len(r) for r in raw], np.int64)
-        order = np.argsort(-size, kind="stable")
-        live_sizes = size[order]
-        chars = np.zeros((len(raw), int(size.max(initial=0))), np.uint8)
-        for k, i in enumerate(order):
-            chars[k, : size[i]] = np.frombuffer(raw[i], np.uint8)
-        state = np.repeat(self.start[None], len(raw), 0)
+        out = np.zeros((len(urls), len(self.ends)), bool)
+        order = sorted(range(len(urls)), key=lambda i: -len(urls[i]))
+        while order:  # the longest first, as many as the cells allow
+            n = max(1, CELLS // max(1, len(urls[order[0]])))
+            out[order[:n]] = self._step([urls[i] for i in order[:n]])
+            order = order[n:]
+        return out
+
+    def _step(self, urls: list[str]) -> np.ndarray:
+        """The same for URLs by falling length."""
+        size = np.array([len(u) for u in urls], np.int64)
+        chars = np.zeros((len(urls), int(size[0])), np.int32)
+        flat = self.classes("".join(urls))
+        chars[np.arange(chars.shape[1]) < size[:, None]] = flat
+        state = np.repeat(self.start[None], len(urls), 0)
         one, top = np.uint64(1), np.uint64(63)
         for at in range(chars.shape[1]):
-            n = int(np.searchsorted(-live_sizes, -at, "left"))  # the URLs that have a byte here
+            n = int(np.searchsorted(-size, -at, "left"))  # the URLs that have a character here
             s = state[:n]
             moved = s << one
             moved[:, 1:] |= s[:, :-1] >> top
             moved &= self.masks[chars[:n, at]]
             moved |= s & self.stays
             state[:n] = moved
-        hit = ((state[:, self.ends // 64] >> (self.ends % 64).astype(np.uint64)) & one).astype(bool) if len(self.ends) else np.zeros((len(raw), 0), bool)
-        out = np.empty_like(hit)
-        out[order] = hit
-        return out
+        return ((state[:, self.ends // 64] >> (self.ends % 64).astype(np.uint64)) & one).astype(bool) if len(self.ends) else np.zeros((len(urls), 0), bool)
 
 
 def apply_rules(df: DataFrame, rules: list[tuple[int, str, str]], url_col: str = "url", batch: int = 4096) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import random
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -380,16 +381,61 @@ def brute_lines(pages, ratio=0.5, min_pages=4):
     return [None if lines is None else [x for x in lines if (host, x) not in bad] for host, lines in pages]
 
 
-def test_line_dedup(spark):
+def test_line_dedup(spark, monkeypatch):
     r = random.Random(5)
     pages = [(k, r.choice(["a.org", "b.org", "c.org", None]), None if k % 17 == 0 else "\n".join(r.choice(["menu", "footer", " ", f"text {r.randrange(60)}"]) for _ in range(r.randrange(8)))) for k in range(120)]
-    df = spark.createDataFrame(pages, "page_id bigint, host string, body string").withColumn("n_lines", F.lit("x")).withColumn("__line", F.lit(0))
-    out = {x["page_id"]: x for x in line_dedup.drop_boilerplate(df, F.col("host"), F.split("body", "\n")).collect()}
+    pages += pages[-3:]  # repeated rows are pages of their own
+    pages.append((500, "a.org", "menu\n" + "\n".join(f"long {k}" for k in range(50_000)) + "\nmenu"))  # a very long text
+    df = spark.createDataFrame(pages, "page_id bigint, host string, body string").withColumn("n_lines", F.lit("x")).withColumn("__bad", F.lit(0)).withColumn("__text", F.lit("t"))
+    own = {"host": lambda h: h, "lines": line_dedup.plain_lines}
     want = brute_lines([(h, None if b is None else b.split("\n")) for _, h, b in pages])
-    for (k, _, b), w in zip(pages, want):
-        assert out[k]["text"] == (None if w is None else "\n".join(w))
-        assert out[k]["n_dropped"] == (0 if w is None else len(b.split("\n")) - len(w))
-    assert line_dedup.drop_boilerplate(df.limit(0), F.col("host"), F.split("body", "\n")).count() == 0
+    for most in (line_dedup.BROADCAST_BYTES, 0):  # both ways of bringing boilerplate to the pages
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", most)
+        rows = line_dedup.drop_boilerplate(df, "host", "body", **own).collect()
+        out = {x["page_id"]: x for x in rows}
+        assert len(rows) == len(pages) and {x["__bad"] for x in rows} == {0} and {x["__text"] for x in rows} == {"t"}
+        for (k, _, b), w in zip(pages, want):
+            assert out[k]["text"] == (None if w is None else "\n".join(w))
+            assert out[k]["n_dropped"] == (0 if w is None else len(b.split("\n")) - len(w))
+        assert line_dedup.drop_boilerplate(df.limit(0), "host", "body", **own).count() == 0
+
+
+def test_line_share_of_exactly_the_ratio_stays(spark):
+    pages = [(k, "http://a.org/", f"<p>{'half' if k % 2 else 'other'}</p><p>{'most' if k else 'few'}</p>") for k in range(4)]
+    out = {r["page_id"]: r["text"] for r in line_dedup.page_lines_dedup(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert out == {0: "other\nfew", 1: "half", 2: "other", 3: "half"}
+
+
+class _Reader(HTMLParser):
+    """Lines of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.quiet = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.quiet += tag in ("script", "style")
+        self.text.append("\n" if tag in line_dedup.BLOCKS else " ")
+
+    def handle_endtag(self, tag):
+        self.quiet -= tag in ("script", "style") and self.quiet > 0
+        self.text.append("\n" if tag in line_dedup.BLOCKS else " ")
+
+    def handle_data(self, data):
+        if not self.quiet:
+            self.text.append(data)
+
+
+def test_html_lines_match_a_parser(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    pages += ["<script>if (a<b) { track('x') }</script><!-- a > b hidden --><p>Fish &amp; chips</p>", '<a title="x > y">z</a> 3 < 4 & 5<br/>q', "<style>p{}</style >x", "&lt;p&gt;&#233; x", "<P CLASS='a'>One<BR>two</P>three <i>four</i>"]
+    for page in pages:
+        reader = _Reader()
+        reader.feed(page)
+        reader.close()
+        want = [" ".join(x.split()) for x in "".join(reader.text).split("\n")]
+        assert line_dedup.html_lines(page) == [x for x in want if x], page[:80]
+    assert line_dedup.html_lines("<" * 100_000 + "x") and line_dedup.html_lines("<a " * 100_000) == []
 
 
 def test_pages_edges(spark):
@@ -480,15 +526,52 @@ def test_sharding_heuristic_by_hand():
         room[best] -= load[g]
 
 
-def test_sharding_balances_and_matches_brute_force(spark):
+def brute_shards(docs, shards, per=16):
+    """Shard of each row, by a plain walk over the groups; ``docs``: (identifier, hash, source, text)."""
+    weigh = lambda t: np.array([len((t or "").encode()), len((t or "").split()), 1.0])
+    keys, parts = defaultdict(lambda: np.zeros(3)), defaultdict(lambda: np.zeros(3))
+    for _, _, key, text in docs:
+        keys[key] += weigh(text)
+    total = sum(keys.values())
+    subs = {k: max(1, *(math.ceil(x) for x in v / (total / (shards * per)))) for k, v in keys.items()}
+    for _, h, key, text in docs:
+        parts[key, h % subs[key]] += weigh(text)
+    load = {p: v / total * shards for p, v in parts.items()}
+    room, at = [np.ones(3) for _ in range(shards)], {}
+    for p in sorted(sorted(parts), key=lambda p: (-load[p].max(), -load[p].sum())):
+        fits = [s for s in range(shards) if (room[s] - load[p] >= -1e-9).all()]
+        best = max(fits, key=lambda s: (room[s] @ load[p], -s)) if fits else max(range(shards), key=lambda s: ((room[s] - load[p]).min(), -s))
+        at[p] = best
+        room[best] = room[best] - load[p]
+    return {i: at[key, h % subs[key]] for i, h, key, _ in docs}
+
+
+def test_sharding_matches_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["h"], r["source"] or "(null)", r["text"]) for r in docs.withColumn("h", F.xxhash64("doc_id")).collect()]
+    for shards in (1, 6, 40):
+        out = sharding.assign(docs, F.col("source"), shards=shards).collect()
+        want = brute_shards(rows, shards)
+        assert len(out) == len(rows) and {r["doc_id"]: r["shard"] for r in out} == want
+
+
+def test_sharding_balances(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = sharding.assign(docs, F.col("source"), shards=6).collect()
-    assert len(out) == docs.count()
-    loads = defaultdict(lambda: np.zeros(3))
-    for r in out:
-        loads[r["shard"]] += [len(r["text"].encode()), len(r["text"].split()), 1]
-    spread = np.array(list(loads.values()))
-    assert set(loads) == set(range(6)) and (spread.max(0) <= 1.15 * spread.mean(0)).all()
+    monkeypatch.setattr(sharding, "DECK", 200)  # several decks too
+    for shards, cell, most in ((6, 2048, 1.15), (12, 4, 1.3)):
+        out = sharding.assign(docs, F.col("source"), shards=shards, cell_shards=cell).collect()
+        assert len(out) == docs.count()
+        loads = defaultdict(lambda: np.zeros(3))
+        for r in out:
+            loads[r["shard"]] += [len(r["text"].encode()), len(r["text"].split()), 1]
+        spread = np.array(list(loads.values()))
+        assert set(loads) == set(range(shards)) and (spread.max(0) <= most * spread.mean(0)).all()
+
+
+def test_sharding_cuts_one_key_without_bound(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+    used = sharding.assign(df, F.lit("one"), shards=8000, groups_per_shard=4).groupBy("shard").count().collect()
+    assert len(used) > 7900 and max(r["count"] for r in used) <= 8 and {r["shard"] for r in used} <= set(range(8000))
 
 
 def test_sharding_edges(spark, odd):
@@ -533,6 +616,26 @@ def test_url_edges(spark):
     assert url_filter.apply_rules(df.limit(0), RULES).count() == 0
 
 
+def test_globs_read_characters(spark):
+    hit = url_filter.Automaton(["a?c", "a??c", "*é*"]).run(["aéc", "a😀c", "abbc", "é", ""])
+    assert hit.tolist() == [[True, False, True], [True, False, False], [False, True, False], [False, False, True], [False, False, False]]
+    many = url_filter.Automaton(["*x"]).run(["y" * 100_000 + "x"] + ["x", "y"] * 3000)  # bounded however long one URL is
+    assert many[:, 0].tolist() == [True] + [True, False] * 3000
+
+
+def test_canonical_urls(spark):
+    given = {
+        "https://a.com/docs/utm_guide/setup.html": "https://a.com/docs/utm_guide/setup.html",
+        "http://A.com:80/x?my_utm_x=1&id=2": "http://a.com/x?my_utm_x=1&id=2",
+        "https://a.com:443/a&?utm_a=1": "https://a.com/a&",
+        "http://a/b?utm_a=1&utm_b=2&c=3&&d#x": "http://a/b?c=3&d",
+        "http://a/b?c&e=utm_1&utm_q": "http://a/b?c&e=utm_1",
+        "http://h/p?x?utm_y=1": "http://h/p?x?utm_y=1",
+    }
+    df = spark.createDataFrame([(u,) for u in given], "url string")
+    assert {r["url"]: r["c"] for r in df.select("url", url_filter.canonical_url(F.col("url")).alias("c")).collect()} == given
+
+
 def test_no_model_file_is_kept_here():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not [f for _, _, files in os.walk(os.path.join(root, "tessera")) for f in files if f.endswith((".model", ".tiktoken"))]
