@@ -59,7 +59,8 @@ def q_pii(spark, sf_dir):
 
 
 def q_topk(spark, sf_dir):
-    return topk.top_k(table(spark, sf_dir, "embeddings"), k=10).withColumn("score", F.round("score", 6))
+    """Queries are the rows whose id is divisible by 20, against all rows."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, queries=F.col("vec_id") % 20 == 0).withColumn("score", F.round("score", 6))
 
 
 def q_langid(spark, sf_dir):
@@ -120,7 +121,7 @@ TOPK_SQL = """
 WITH s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id,
          list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS place FROM s
 )

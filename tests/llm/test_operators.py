@@ -193,6 +193,27 @@ def test_topk_ties_and_edges(spark):
     assert topk.top_k(df.where("vec_id = 1"), 2).count() == 0
 
 
+def test_topk_at_any_magnitude(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(60, 8)) * 2.0 ** r.integers(-6, 6, (60, 1))
+    want = brute_topk({i: v for i, v in enumerate(base)}, 3)
+    for size in (1e-30, 1e20, 1e30, 1e200):
+        rows = [(i, [float(x) for x in v * size]) for i, v in enumerate(base)]
+        got = sorted((x["query_id"], x["rank"], x["neighbor_id"]) for x in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 3, block=16, batch=8).collect())
+        assert got == [(a, b, c) for a, b, c, _ in want], size
+
+
+def test_topk_query_set_in_batches(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
+    want = [x[:3] for x in brute_topk(vectors, 5) if x[0] % 3 == 0]
+    got = topk.top_k(df.withColumn("asks", F.lit(1)), 5, queries=F.col("vec_id") % 3 == 0, query_bytes=8 << 10)
+    assert sorted((r["query_id"], r["rank"], r["neighbor_id"]) for r in got.collect()) == want
+    named = df.withColumn("vec_id", F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 6, "0")))
+    texts = sorted((r["query_id"], r["rank"], r["neighbor_id"]) for r in topk.top_k(named, 5, queries=F.substring("vec_id", 2, 6).cast("int") % 3 == 0).collect())
+    assert texts == [(f"v{a:06d}", b, f"v{c:06d}") for a, b, c in want]
+
+
 # 5 language ID
 
 
