@@ -1,19 +1,22 @@
 """Personal data by bootstrapped contextual extraction.
 
-One pass over whole texts finds identifier-like spans (instances) of a few classes and, for each, what
+One pass over whole texts finds spans of a few classes and, for each, what
 surrounds it.  Strict forms (an address with a domain, a number that passes its checksum, a quoted value
-after an assignment, ...) are seeds; handles and plain numbers have no strict form and are seeds right after a
-word that says what they are (``LABELLED``).  Every instance is linked to lexical patterns (class with the word
-before, with the two words before, with the word after) and, unless a handle or plain number, to the pattern of
-its shape.  Spark scores this bipartite graph in rounds: a pattern's confidence is the mean score of the distinct instances it extracts,
+after an assignment, ...) are seeds; handles, plain numbers and codes (any run of tokens with digits that no class takes, four
+digits at least: ``X1234567``, ``06 12 34 56 78``) have no strict form and are seeds right after a
+word that says what they are (``LABELLED``).  Every instance is linked to lexical patterns (the word
+before, the two words before, the word after) and, if its class has a form, to the pattern of
+its shape.  Lexical patterns belong to a family of classes: all that consist of digits share them, so a slot learnt from numbers, cards
+or labelled codes discovers identifiers of forms never seen.  Spark scores this bipartite graph in rounds: a pattern's confidence is the mean score of the distinct instances it extracts,
 damped by ``prior`` unknown ones; an instance that is no seed gets the noisy-or of its patterns that have
 ``min_support`` instances.  At the end patterns of ``min_pattern`` confidence count, and instances whose
 noisy-or over these reaches ``min_score`` are reported beside the seeds.
 
-Rounds move only (pattern, instance) pairs of 64-bit hashes, never texts, and aggregate on the map side.
+Rounds move only (pattern, instance) pairs of hashes (128 bits for instances, 64 for patterns), never texts, and aggregate on the map side.
 
-Results: one row for each occurrence.  Null and empty texts give none; a null identifier is reported as
-null; repeated rows are each reported, though equal values are one instance; scores do not depend on row
+Results: one row for each occurrence.  Null and empty texts give none; texts of any length are read whole, and contexts by whole words however long; an identifier keeps
+its type and a null one is reported as null; repeated rows are each reported, though equal values are one instance; a score of exactly a threshold
+counts; where classes could overlap the leftmost span wins, among equals the class listed first in ``SPAN``; scores do not depend on row
 order; other columns are ignored whatever their names; an empty table gives an empty table.
 """
 
@@ -37,6 +40,7 @@ SPAN = re.compile(
      |(?<![\w.])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)
      |(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-]))
    |(?P<social>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
+   |(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
    |(?P<address>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
    |(?P<card>(?<![\w-])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![\w-])|(?<!\w)[0-9]{13,19}(?!\w))
    |(?P<number>(?<!\w)[0-9]{7,}+(?!\w))
@@ -44,6 +48,8 @@ SPAN = re.compile(
     """,
     re.X,
 )
+#: What the classes leave over: neighbouring tokens with digits, letters only before or after them.
+CODE = re.compile(r"(?<![\w@./-])[A-Za-z]{0,6}[0-9][A-Za-z0-9]*(?:[ ./-][A-Za-z]{0,6}[0-9][A-Za-z0-9]*)*(?![\w@])")
 HINT = re.compile("[0-9@]")
 GIVEN = re.compile(r"\w[\"']?\s*[=:]\s*[\"']?$")
 ISSUED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,}")
@@ -60,12 +66,15 @@ LABELLED = {
         re.X | re.I,
     ),
 }
+LABELLED["code"] = LABELLED["number"]
+#: Classes whose lexical patterns are one family.
+FAMILY = {k: "digits" for k in ("phone", "social", "iban", "card", "number", "key", "code")}
 DIGITS = re.compile("[0-9]")
 HEX = re.compile("[0-9a-f]+$")
 LETTERS = re.compile(r"[^\W\d_]+")
 EDGE = "\"'.,;:()[]{}<>|!?"
-COLUMNS = [("id", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("length", pa.int32()), ("value", pa.string()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))]
-SCHEMA = "id bigint, kind string, start bigint, length int, value string, seed boolean, instance bigint, patterns array<bigint>"
+COLUMNS = [("kind", pa.string()), ("start", pa.int64()), ("length", pa.int32()), ("value", pa.string()), ("seed", pa.bool_()), ("instance", pa.binary()), ("patterns", pa.list_(pa.int64()))]
+FIELDS = "kind string, start bigint, length int, value string, seed boolean, instance binary, patterns array<bigint>"
 
 
 def checksum(digits: str) -> bool:
@@ -77,6 +86,15 @@ def checksum(digits: str) -> bool:
     return total % 10 == 0
 
 
+def whole_iban(text: str) -> str:
+    """The longest beginning of ``text``, up to a space, that passes the check of account numbers; empty if none does."""
+    while text:
+        if int("".join(str(int(c, 36)) for c in (text[4:] + text[:4]).replace(" ", ""))) % 97 == 1 and len(text) > 12:
+            return text
+        text = text.rpartition(" ")[0]
+    return ""
+
+
 def is_seed(kind: str, value: str, before: str) -> bool:
     """Whether a span is sure by its form, or by the label right before it."""
     if kind in LABELLED:
@@ -87,6 +105,8 @@ def is_seed(kind: str, value: str, before: str) -> bool:
         return value[0] == "+" or "(" in value
     if kind == "address":
         return all(int(x) < 256 for x in value.split("."))
+    if kind == "iban":
+        return bool(whole_iban(value))
     if kind == "card":
         return checksum(re.sub("[ -]", "", value))
     if kind == "key":
@@ -100,7 +120,7 @@ def _word(token: str) -> str:
 
 def pattern_names(kind: str, value: str, before: str, after: str) -> list[str]:
     """Lexical patterns and the shape of a span in its surroundings."""
-    left, right = before.split()[-2:], after.split()[:1]
+    left, right, family = before.split()[-2:], after.split()[:1], FAMILY.get(kind, kind)
     # shapes keep the lengths of digit runs; a key's shape is its alphabet, its length and a prefix in capitals
     if kind == "key":
         shape = f"{'hex' if HEX.match(value) else 'any'} {len(value)} {value[:4] if value[:4].isalpha() and value[:4].isupper() else ''}"
@@ -110,22 +130,51 @@ def pattern_names(kind: str, value: str, before: str, after: str) -> list[str]:
         shape = "@" + re.sub("9+", "9", shape.partition("@")[2])
     out = [] if kind in LABELLED else [f"{kind}|shape|{shape}"]  # digits or a name alone tell nothing
     if left:
-        out.append(f"{kind}|left|{_word(left[-1])}")
+        out.append(f"{family}|left|{_word(left[-1])}")
     if len(left) == 2:
-        out.append(f"{kind}|left2|{_word(left[0])} {_word(left[1])}")
+        out.append(f"{family}|left2|{_word(left[0])} {_word(left[1])}")
     if right:
-        out.append(f"{kind}|right|{_word(right[0])}")
+        out.append(f"{family}|right|{_word(right[0])}")
     return out
 
 
+def _before(text: str, at: int, words: int = 8, most: int = 80) -> str:
+    """What stands before a place: at least ``words`` whole words, if there are as many."""
+    while most < at and len(got := text[at - most : at].split(None, words)) <= words:
+        most *= 2
+    return text[max(0, at - most) : at] if most >= at else text[at - most : at][len(got[0]) :]
+
+
+def _after(text: str, at: int, most: int = 40) -> str:
+    """What stands after a place: at least one whole word, if there is one."""
+    while at + most < len(text) and len(text[at : at + most].split(None, 1)) < 2:
+        most *= 2
+    return text[at : at + most]
+
+
 def spans(text: str):
     """(kind, start, value, seed, pattern names) of every span of a whole text."""
     if not HINT.search(text):
         return
-    for m in SPAN.finditer(text):
-        kind, a, b = m.lastgroup, m.start(), m.end()
-        before, after = text[max(0, a - 80) : a], text[b : b + 40]
-        yield kind, a, m[0], is_seed(kind, m[0], before), pattern_names(kind, m[0], before, after)
+    at, look, hits = 0, 0, []
+    while True:
+        m = SPAN.search(text, look)
+        kind, value = (m.lastgroup, m[0]) if m else (None, "")
+        if kind == "iban":
+            value = whole_iban(value)
+            if not value:  # no such number: what it holds may be of another class
+                look = m.start() + 4
+                continue
+        for c in CODE.finditer(text, at, m.start() if m else len(text)):  # codes are sought between the spans of the other classes
+            if len(DIGITS.findall(c[0])) >= 4:
+                hits.append(("code", c.start(), c[0]))
+        if not m:
+            break
+        at = look = m.start() + len(value)
+        hits.append((kind, m.start(), value))
+    for kind, a, value in hits:
+        before, after = _before(text, a), _after(text, a + len(value))
+        yield kind, a, value, is_seed(kind, value, before), pattern_names(kind, value, before, after)
 
 
 def _hash(text: str) -> int:
@@ -133,19 +182,21 @@ def _hash(text: str) -> int:
 
 
 def found_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    slim = df.where(F.length(text_col) > 0).select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
+    slim = df.where(F.length(f"`{text_col}`") > 0).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = T.StructType([slim.schema["id"], *T._parse_datatype_string(FIELDS).fields])
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in COLUMNS]
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out, rows = [[] for _ in COLUMNS], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 for kind, a, value, seed, names in spans(text):
-                    row = (i, kind, a, len(value), value, seed, _hash(f"{kind}|{value.lower()}"), sorted({_hash(x) for x in names}))
+                    row = (kind, a, len(value), value, seed, xxhash.xxh3_128_digest(f"{kind}|{value.lower()}"), sorted({_hash(x) for x in names}))
+                    rows.append(i)
                     for column, x in zip(out, row):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, COLUMNS)], [n for n, _ in COLUMNS])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, (_, t) in zip(out, COLUMNS)]], schema.names)
 
-    return slim.mapInArrow(run, SCHEMA)
+    return slim.mapInArrow(run, schema)
 
 
 def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4, prior: float = 0.5, min_support: int = 3, min_pattern: float = 0.6, min_score: float = 0.9) -> DataFrame:

@@ -164,6 +164,45 @@ def test_pii_discovers_handles_and_numbers(spark):
     assert seeds == {*range(20), *range(200, 220)} and found == {*range(100, 105), *range(300, 305)}
 
 
+def test_pii_extraction_by_hand():
+    """Spans of single texts, written down without the operator's expressions."""
+    cases = {
+        "write to a.b+c@mail.example.org, please": [("email", "a.b+c@mail.example.org")],
+        "pay DE89 3704 0044 0532 0130 00 NOW": [("iban", "DE89 3704 0044 0532 0130 00")],
+        "GB82WEST12345698765432.": [("iban", "GB82WEST12345698765432")],
+        "AB12 4111 1111 1111 1111 is a card": [("card", "4111 1111 1111 1111")],
+        "passport X1234567, staff AB1234": [("code", "X1234567"), ("code", "AB1234")],
+        "ring 06 12 34 56 78 or 555 123 4567": [("code", "06 12 34 56 78"), ("code", "555 123 4567")],
+        "ring +49 30 1234567 or (030) 123 4567": [("phone", "+49 30 1234567"), ("phone", "(030) 123 4567")],
+        "ssn 123-45-6789 at 10.0.0.1 by @name_x": [("social", "123-45-6789"), ("address", "10.0.0.1"), ("handle", "@name_x")],
+        "in 1999, 12 of 350 pages": [("code", "1999")],
+        "no digits here": [],
+    }
+    for text, want in cases.items():
+        got = [(kind, value) for kind, a, value, _, _ in pii.spans(text) if text[a : a + len(value)] == value]
+        assert got == want, text
+
+
+def test_pii_contexts_are_whole_words():
+    long = "w" * 500
+    for text in (f"start {long} last 1234567890 {long} end", f"{long} {long} 1234567890 {long}"):
+        names = next(iter(pii.spans(text)))[4]
+        left = text.split(" 1234567890")[0].split()[-2:]
+        assert f"digits|left2|{left[0]} {left[1]}" in names and f"digits|right|{long}" in names
+
+
+def test_pii_discovers_unseen_forms(spark):
+    rows = [(k, f"employee id: AB{1000 + k} was renewed") for k in range(12)]  # labelled: seeds
+    rows += [(100 + k, f"the staff id AB{1000 + k} is known") for k in range(12)]  # the same values in a new context
+    rows += [(200 + k, f"the staff id {'QXZ'[k % 3]}{77000 + k} is known") for k in range(6)]  # a form never seen, found by its context
+    clean = [(300 + k, f"in room B{2000 + k} there were {5000 + k} people in {1990 + k}") for k in range(30)]
+    out = pii.extract(spark.createDataFrame(rows + clean, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in out} == {*range(12), *range(100, 112), *range(200, 206)}
+    assert {r["value"] for r in out if r["doc_id"] >= 200} == {f"{'QXZ'[k % 3]}{77000 + k}" for k in range(6)}
+    texts = spark.createDataFrame([("k1", "mail x@y.org"), (None, "mail x@y.org")], "name string, body string")
+    assert sorted(map(repr, (r["name"] for r in pii.extract(texts, "name", "body").collect()))) == ["'k1'", "None"]
+
+
 # 4 top-k
 
 
