@@ -10,9 +10,9 @@ needs no exchange of its own since a range partitioning on the key already keeps
 Normalised: runs of ASCII white space become one space, outer spaces go.  The raw text travels beside it
 only where the two differ.
 
-Results: rows of null text are no one's copies and all stay (they are spread by identifier, not put into
+Results: texts of any length are compared whole; rows of null text are no one's copies and all stay (they are spread by identifier, not put into
 one range); all empty or blank texts are copies of each other; among equals the smallest identifier stays,
-a null identifier only if there is no other, and of wholly repeated rows one; other columns pass through
+a null identifier only if there is no other, and of wholly repeated rows one; identifiers may be of any type that sorts; other columns pass through
 whatever their names; an empty table gives an empty table.
 """
 

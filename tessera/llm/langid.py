@@ -9,9 +9,9 @@ pieces are added, so the margin doesn't depend on length.
 The sample bound is ``sample_rows`` rows and ``dict_bytes`` bytes a language (rows over 200 characters first,
 each in order of a hash of their identifier, ``sample_chars`` characters of each); everything else sees whole texts of all rows.
 
-Results: null, empty and blank texts and ties are rejected (``pred_lang`` null, ``margin`` 0); labels that
+Results: texts of any length are judged whole; null, empty and blank texts and ties are rejected (``pred_lang`` null, ``margin`` 0); labels that
 are null, or whose rows are all blank, give no dictionary; with no labelled row at all everything is rejected, with one language
-everything non-blank has that language with margin 1; input columns with the output's names are replaced;
+everything non-blank has that language with margin 1; repeated rows get equal results; input columns with the output's names are replaced, others pass through;
 an empty table gives an empty table.
 """
 

@@ -14,10 +14,10 @@ ends, so only that range is ever sorted, however large the leaf.  The last place
 cut: a row is in the prefix if its place isn't after the cut, so texts are never shuffled; they only meet the
 table of leaves, which is broadcast behind a check of its size.
 
-Results: rows without tokens (null, empty or blank text) go with their place in the order (they cost
+Results: texts of any length are counted whole; places that tie (equal identifiers) are taken together; rows without tokens (null, empty or blank text) go with their place in the order (they cost
 nothing); a null level value is a node of its own named ``(null)``; a node without a weight has weight 1,
 a weight of 0 or less excludes it; rows with a null identifier order as ``null``; repeated identifiers
-share one place: all of them are taken or none; a budget above capacity takes everything; an empty table
+share one place: all of them are taken or none; other columns pass through whatever their names; a budget above capacity takes everything; an empty table
 gives an empty table.
 """
 
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, token_count, without
 
 NO_NAME = "(null)"
-#: Leaf tables of so many rows at most are broadcast.
-BROADCAST_LEAVES = 100_000
+#: Leaf tables of so many bytes at most are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def _weights(level: int, weights: dict) -> Column:
@@ -120,7 +120,8 @@ def mix(df: DataFrame, levels: list[Column], weights: dict, budget: Column, id_c
     names = dict(zip(keys + ["epochs", "cut", "id"], fresh(base.columns + ["epoch"], *keys, "epochs", "cut", "id")))
     rows = base.select("*", *[F.coalesce(x.cast("string"), F.lit(NO_NAME)).alias(names[k]) for k, x in zip(keys, levels)], F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias(names["id"]))
     small = leaf.select(*[F.col(k).alias(names[k]) for k in [*keys, "epochs", "cut"]])
-    if small.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:
+    size = small.agg(F.sum(sum((F.octet_length(names[k]) for k in [*keys, "cut"]), F.lit(64))).alias("n")).first()["n"] or 0
+    if size <= BROADCAST_BYTES:
         small = F.broadcast(small)
     rows = rows.join(small, [names[k] for k in keys])
     whole = F.col(names["epochs"])

@@ -1,17 +1,21 @@
 """SentencePiece encoding and decoding with a streaming Viterbi lattice.
 
-A piece model file is read (never trained) and its BPE semantics are reproduced by a lattice over
-character positions.  For merge-based vocabularies the segmentation of every prefix is unique, and a
-sequence of pieces is the model's own exactly if each adjacent pair is what the merge procedure makes of
-the pair's concatenation.  So each position carries one backpointer, to the start of the piece that ends
-there; a window of as many positions as the longest piece is alive, and pieces are committed as soon as
-all live backpointer paths run through one boundary.  Memory is bounded by the window however long the
-text is.  Two facts make this fast: no piece has a word-start mark after another character, so every such
-mark is a boundary where all paths meet, and the ids of recurring stretches between marks are memoised.
+A piece model file is read (never trained).  Both kinds of models go through a lattice over character
+positions in which pieces are committed as soon as all live backpointer paths run through one boundary, so what is kept
+of a text is a window of as many positions as the longest piece and the backpointers since the last boundary, however long the text is.
+
+* Scored models (``Scored``): each position keeps the best sum of piece scores that ends there.  Sums are rounded to single
+  precision as the format's own encoder does, so ties and near ties fall alike.
+* Merge-based models (``Codec``): scores are merge ranks, not weights, and the best sum is not what the model means.  The segmentation of
+  every prefix is unique, and a sequence of pieces is the model's own exactly if each adjacent pair is what the merge procedure makes of
+  the pair's concatenation; so each position carries the one backpointer that holds.  Two facts make this fast: no piece has a word-start mark after another character, so every such
+  mark is a boundary where all paths meet, and the ids of recurring stretches between marks are memoised.
+
+Texts are normalised as the model file says: character map, squeezed white space, leading mark.
 
 Results (all columns but the new ones pass through):
-null text -> null ids; empty text -> empty ids; characters outside the vocabulary -> their UTF-8 byte
-pieces; a literal U+2581 decodes to a space, as in the library; repeated rows get equal results; an input
+null text -> null ids; empty text -> empty ids; texts of any length are encoded whole; characters outside the vocabulary -> their UTF-8 byte
+pieces, or the unknown piece (one for a run of them) in models without byte pieces; equally scored paths keep the piece that begins first; a literal U+2581 decodes to a space, as in the library; repeated rows get equal results; an input
 column with the name of an output column is replaced; an empty table gives an empty table.
 """
 
@@ -64,31 +68,88 @@ def _fields(buf: bytes):
         yield tag >> 3, value
 
 
+def _read(model_file: str) -> tuple[list[tuple[str, float, int]], dict]:
+    """(text, score, kind) of each piece, and the settings of a model file."""
+    pieces, settings = [], {}
+    with open(model_file, "rb") as f:
+        for number, value in _fields(f.read()):
+            if number == 1:
+                d = dict(_fields(value))
+                score = struct.unpack("<f", d[2])[0] if 2 in d else 0.0
+                pieces.append((d[1].decode(), score, d.get(3, NORMAL)))
+            elif number == 3:
+                settings |= {f"norm{k}": v for k, v in _fields(value)}
+            elif number == 2:
+                settings |= {f"train{k}": v for k, v in _fields(value)}
+    if settings.get("train24", 0):
+        raise ValueError("models with word marks at word ends are not supported")
+    return pieces, settings
+
+
+class Normaliser:
+    """Text as a model's pieces spell it: mapped characters, squeezed white space, marks for spaces."""
+
+    def __init__(self, settings: dict, symbols: list[str] = ()):
+        self.prefix = bool(settings.get("norm3", 1))
+        self.squeeze = bool(settings.get("norm4", 1))
+        if not settings.get("norm5", 1):
+            raise ValueError("models that keep spaces unmarked are not supported")
+        blob = settings.get("norm2", b"")
+        size = struct.unpack("<I", blob[:4])[0] if blob else 0
+        self.trie = np.frombuffer(blob[4 : 4 + size], "<u4").tolist() if blob else []
+        self.texts = blob[4 + size :]
+        self.symbols = re.compile("|".join(map(re.escape, sorted(symbols, key=len, reverse=True)))) if symbols else None
+
+    def _mapped(self, raw: bytes) -> list[str]:
+        """Replacements of the longest keys of the character map, and single characters where there is none."""
+        trie, out, i, n = self.trie, [], 0, len(raw)
+        while i < n:
+            at, best = 0, None
+            unit = trie[0]
+            at ^= (unit >> 10) << ((unit & 512) >> 6)
+            for j in range(i, n):
+                at ^= raw[j]
+                unit = trie[at]
+                if unit & 0x800000FF != raw[j]:
+                    break
+                at ^= (unit >> 10) << ((unit & 512) >> 6)
+                if unit >> 8 & 1:
+                    best = (j + 1, trie[at] & 0x7FFFFFFF)
+            if best:
+                i, place = best
+                out.append(self.texts[place : self.texts.index(0, place)].decode())
+            else:
+                size = 1 if raw[i] < 128 else 2 if raw[i] < 224 else 3 if raw[i] < 240 else 4
+                out.append(raw[i : i + size].decode())
+                i += size
+        return out
+
+    def __call__(self, text: str) -> str:
+        if self.trie:
+            parts, at = [], 0
+            for m in self.symbols.finditer(text) if self.symbols else ():
+                parts += [*self._mapped(text[at : m.start()].encode()), m[0]]
+                at = m.end()
+            text = "".join(parts + self._mapped(text[at:].encode()))
+        if self.squeeze:
+            text = re.sub(" {2,}", " ", text.strip(" "))
+        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+
+
 class Codec:
-    """One piece model: ``encode`` and ``decode`` of single texts and of Arrow batches."""
+    """One merge-based piece model: ``encode`` and ``decode`` of single texts and of Arrow batches."""
 
     def __init__(self, model_file: str):
-        pieces, settings = [], {}
-        with open(model_file, "rb") as f:
-            for number, value in _fields(f.read()):
-                if number == 1:
-                    d = dict(_fields(value))
-                    score = struct.unpack("<f", d[2])[0] if 2 in d else 0.0
-                    pieces.append((d[1].decode(), score, d.get(3, NORMAL)))
-                elif number == 3:
-                    settings |= {f"norm{k}": v for k, v in _fields(value)}
-                elif number == 2:
-                    settings |= {f"train{k}": v for k, v in _fields(value)}
-        if settings.get("train3", 1) != 2 or settings.get("norm1", b"") != b"identity":
-            raise ValueError("only merge-based piece models without a character map are supported")
-        if settings.get("norm4", 1):
-            raise ValueError("models that squeeze white space are not supported")
-        self.prefix = MARK if settings.get("norm3", 1) else ""
+        pieces, settings = _read(model_file)
+        if any(k == USER for _, _, k in pieces):
+            raise ValueError("merge-based models with user-defined pieces are not supported")
+        self.normal = Normaliser(settings)
+        self.plain = not self.normal.trie and not self.normal.squeeze
+        self.prefix = MARK if self.normal.prefix else ""
         self.rank = {p: (s, i) for i, (p, s, k) in enumerate(pieces) if k in (NORMAL, USER, UNUSED)}
-        self.byte_id = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         if any(MARK in p.lstrip(MARK) for p in self.rank):
             raise ValueError("a piece runs over a word start")
-        self.longest = max(map(len, self.rank))
+        self._ids(pieces)
         self.memo: dict[str, bytes] = {}
         self.pair_ok: dict[tuple[str, str], bool] = {}
         self.order = {p: k for k, p in enumerate(sorted(self.rank, key=lambda p: (-self.rank[p][0], self.rank[p][1])))}
@@ -105,6 +166,11 @@ class Codec:
         for k, v in self.tails.items():
             if 2 in v and k not in self.rank:
                 v.remove(2)
+
+    def _ids(self, pieces: list[tuple[str, float, int]]) -> None:
+        """Tables of ids and of what ids decode to."""
+        self.byte_id = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
+        self.longest = max(map(len, self.rank))
         self.packed_piece = {p: array("i", [i]).tobytes() for p, (_, i) in self.rank.items()}
         surface = [b"" if k in (CONTROL, UNKNOWN) else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in pieces]
         self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
@@ -228,7 +294,7 @@ class Codec:
                 heads.add(live[top][0])
             meet = heads.pop()
             if meet == done:
-                wait *= 2
+                wait += longest  # paths that differ so far must all be kept
                 continue
             out, at = [], meet
             while at > done:
@@ -263,7 +329,17 @@ class Codec:
         if not text:
             return b""
         memo = self.memo
-        return b"".join([memo.get(x) or self._stretch(x) for x in self.stretch.findall(self.prefix + text.replace(" ", MARK))])
+        text = self.prefix + text.replace(" ", MARK) if self.plain else self.normal(text)
+        return self._runs(b"".join([memo.get(x) or self._stretch(x) for x in self.stretch.findall(text)]))
+
+    def _runs(self, packed: bytes) -> bytes:
+        """Without byte pieces, neighbouring unknown characters are one unknown piece."""
+        if self.byte_id:
+            return packed
+        ids = np.frombuffer(packed, np.int32)
+        again = np.zeros(len(ids), bool)
+        again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[~again].tobytes()
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), np.int32).tolist()
@@ -275,11 +351,13 @@ class Codec:
         total = int(ends[-1]) if len(ends) else 0
         raw = self.surface[np.repeat(self.starts[ids] - (ends - size), size) + np.arange(total)].tobytes()
         cuts = np.concatenate([[0], ends])[offsets].tolist()
-        skip = 1 if self.prefix else 0
+        skip, firsts = 1 if self.prefix else 0, [*offsets[:-1].tolist()]
         out = []
-        for a, b in zip(cuts, cuts[1:]):
+        for a, b, first in zip(cuts, cuts[1:], firsts):
             row = raw[a:b]
-            out.append((row[1:] if skip and row[:1] == b" " else row).decode("utf-8", "one-each"))
+            if row[:1] == b" " and ids[first] != self.unknown:
+                row = row.lstrip(b" ") if self.normal.squeeze else row[skip:]
+            out.append(row.decode("utf-8", "one-each"))
         return out
 
     def decode(self, ids) -> str:
@@ -287,6 +365,85 @@ class Codec:
         return self.decode_many(ids, np.array([0, len(ids)]))[0]
 
 
+_SINGLE = struct.Struct("<f")
+
+
+class Scored(Codec):
+    """One scored (unigram) piece model."""
+
+    def __init__(self, model_file: str):
+        pieces, settings = _read(model_file)
+        users = [p for p, _, k in pieces if k == USER]
+        self.normal = Normaliser(settings, users)
+        self.prefix = MARK if self.normal.prefix else ""
+        self.rank = {p: (s, i) for i, (p, s, k) in enumerate(pieces) if k in (NORMAL, USER)}
+        self._ids(pieces)
+        scores = [s for _, s, k in pieces if k == NORMAL]
+        self.unknown_score = _SINGLE.unpack(_SINGLE.pack(min(scores) - 10.0))[0]
+        self.trie: dict = {}
+        for p, (score, _) in self.rank.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            # a user-defined piece outweighs any other path over the same characters
+            node[""] = _SINGLE.unpack(_SINGLE.pack(len(p.encode()) * max(scores) - 0.1))[0] if p in users else score
+
+    def viterbi(self, text):
+        """Pieces of ``text`` in order, yielded once every live path agrees on them."""
+        single, pack = _SINGLE.unpack, _SINGLE.pack
+        best: dict[int, float] = {0: 0.0}  # the best sum that ends at a live position
+        back: dict[int, int] = {}  # end -> start of its last piece, since the last boundary
+        trie, longest, n = self.trie, self.longest, len(text)
+        done, wait = 0, 4 * self.longest
+        for start in range(n):
+            here = best.pop(start)
+            node, alone = trie, False
+            for end in range(start, min(n, start + longest)):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                score = node.get("")
+                if score is not None:
+                    alone = alone or end == start
+                    total = single(pack(score + here))[0]
+                    old = best.get(end + 1)
+                    if old is None or total > old:
+                        best[end + 1], back[end + 1] = total, start
+            if not alone:
+                total = single(pack(self.unknown_score + here))[0]
+                old = best.get(start + 1)
+                if old is None or total > old:
+                    best[start + 1], back[start + 1] = total, start
+            if start - done < wait:
+                continue
+            heads = set(best)  # every path goes on from one of these
+            while len(heads) > 1:
+                top = max(heads)
+                heads.remove(top)
+                heads.add(back[top])
+            meet = heads.pop()
+            if meet == done:
+                wait += longest
+                continue
+            yield from self._walk(text, back, done, meet)
+            back = {e: b for e, b in back.items() if e > meet}
+            done, wait = meet, 4 * longest
+        yield from self._walk(text, back, done, n)
+
+    @staticmethod
+    def _walk(text: str, back: dict[int, int], begin: int, end: int) -> list[str]:
+        out = []
+        while end > begin:
+            out.append(text[back[end] : end])
+            end = back[end]
+        return out[::-1]
+
+    def packed(self, text: str) -> bytes:
+        text = self.normal(text)
+        known = self.packed_piece
+        return self._runs(b"".join([known.get(x) or self._other(x) for x in self.viterbi(text)]))
+
+
 codecs.register_error("one-each", lambda e: ("�" * (e.end - e.start), e.end))
 ONE = (1,)
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -295,7 +452,11 @@ CLASSES = re.compile(f"{MARK}*[^\\W_]+|{MARK}*(?:[^\\w{MARK}]|_)+|{MARK}+")
 
 @lru_cache(maxsize=4)
 def codec(model_file: str) -> Codec:
-    return Codec(model_file)
+    """The codec of a model file, by the kind it states."""
+    kind = _read(model_file)[1].get("train3", 1)
+    if kind not in (1, 2):
+        raise ValueError("only scored and merge-based piece models are supported")
+    return Scored(model_file) if kind == 1 else Codec(model_file)
 
 
 def _lists(texts: pa.Array, model: Codec) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:

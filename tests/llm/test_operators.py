@@ -83,6 +83,61 @@ def test_pieces_edges(spark, odd):
     assert all(r["text"] == r["decoded"] for r in back.collect())
 
 
+def scored_model(folder, rule: str, with_bytes: bool, user=()):
+    """A scored model of the public vocabulary's pieces with scores by a fixed formula: nothing is trained."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    given, model = pb.ModelProto(), pb.ModelProto()
+    given.ParseFromString(open(PIECE_MODEL, "rb").read())
+    model.trainer_spec.CopyFrom(given.trainer_spec)
+    model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    model.trainer_spec.byte_fallback = with_bytes
+    rules = pb.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    model.normalizer_spec.CopyFrom(rules.normalizer_spec)
+    model.normalizer_spec.add_dummy_prefix = True
+    model.normalizer_spec.remove_extra_whitespaces = rule != "identity"
+    model.normalizer_spec.escape_whitespaces = True
+    kinds = pb.ModelProto.SentencePiece
+    for k, p in enumerate(given.pieces):
+        if p.type == kinds.BYTE and not with_bytes:
+            continue
+        new = model.pieces.add(piece=p.piece, type=p.type)
+        if p.type == kinds.NORMAL:
+            new.score = -2.0 - 0.37 * (k * 7919 % 31) / len(p.piece) - 0.0002 * k
+    for x in user:
+        model.pieces.add(piece=x, type=kinds.USER_DEFINED)
+    path = folder / f"{rule}{with_bytes}{len(user)}.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("rule,with_bytes,user", [("identity", True, ()), ("nmt_nfkc", True, ()), ("nmt_nfkc_cf", False, ()), ("identity", False, ("<sep>", "@@@@"))])
+def test_scored_pieces_match_library(docs, tmp_path, rule, with_bytes, user):
+    import sentencepiece
+
+    path = scored_model(tmp_path, rule, with_bytes, user)
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), sp_codec.codec(path)
+    assert isinstance(model, sp_codec.Scored)
+    r = random.Random(4)
+    texts = [x["text"] for x in docs.collect()]
+    texts += ["", " ", "   a", "a  b ", "日本語テキスト🙂🙂 x", "ﬁne Ｆｕｌｌ ① é́", "aaaaaaaaaa" * 300, "x<sep>y@@@@z", "ab" * 3000, "\tq\n"]
+    texts += ["".join(r.choice("abcde .,é日\n") for _ in range(r.randrange(300))) for _ in range(100)]
+    for t in texts:
+        if t is not None:
+            ids = library.encode(t)
+            assert model.encode(t) == ids, t[:60]
+            assert model.decode(ids) == library.decode(ids)
+
+
+def test_scored_lattice_is_a_window(tmp_path):
+    model = sp_codec.codec(scored_model(tmp_path, "identity", True))
+    text = sp_codec.MARK + "the cat sat on " * 4000
+    first = next(iter(model.viterbi(text)))
+    assert text.startswith(first) and "".join(model.viterbi(text)) == text
+
+
 # 2 exact dedup
 
 
@@ -428,6 +483,47 @@ def test_simhash_split_keeps_pairs():
     assert len({min(x) for x in got}) >= 0.97 * 400
 
 
+def test_hot_buckets_are_parted_before_rows_move(spark):
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2, simhash.BITS)
+    rows = []
+    for k in range(600):  # unrelated prints that share many bits, each with a near copy
+        own = np.where(r.random(simhash.BITS) < 0.4, 1 - base, base)
+        near = own.copy()
+        near[r.permutation(simhash.BITS)[:20]] ^= 1
+        rows += [(2 * k, np.packbits(own).tobytes()), (2 * k + 1, np.packbits(near).tobytes())]
+    fps = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id bigint, fp binary").repartition(3).cache()
+    hot = simhash.hot_buckets(fps, 4, 4, 100)
+    bits = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in rows])
+    for t, own in enumerate(simhash.sampled_coordinates(4)):
+        for code, n in Counter(simhash._codes(bits, own, 4).tolist()).items():
+            if n > 100:
+                assert hot[(t << 4) + code] >= n
+    assert hot and simhash.hot_buckets(fps, 4, 4, 2000) == {}
+    links = simhash.similar_links(fps, tables=16, base_bits=4, cap=64, hold=100).collect()
+    pairs = {tuple(sorted(x)) for x in links}
+    assert sum((2 * k, 2 * k + 1) in pairs for k in range(600)) >= 0.97 * 600
+
+
+def test_simhash_other_identifiers_and_odd_rows(spark):
+    text = prose(5, 300)
+    rows = [("b", text, 1), ("a", text + " end", 2), ("c", prose(6, 300), 3), (None, text, 4), ("d", None, 5), ("e", "", 6), ("f", "...", 7), ("a", text + " end", 2)]
+    df = spark.createDataFrame(rows, "name string, body string, id int").withColumn("fp", F.lit(0)).withColumn("__number", F.lit(0))
+    out = simhash.near_dedup(df, "name", "body")
+    assert out.columns == df.columns
+    assert sorted(map(repr, (r["name"] for r in out.collect()))) == ["'a'", "'c'", "'d'", "'e'", "'f'", "None"]
+    long = " ".join(f"w{k}" for k in range(200_000))  # all words of a very long text count
+    one, two, three = simhash.fingerprints([long, long + " x", " ".join(f"v{k}" for k in range(200_000))])
+    far = lambda a, b: bin(int.from_bytes(a) ^ int.from_bytes(b)).count("1")
+    assert far(one, two) <= 2 and far(one, three) > simhash.DISTANCE
+
+
+def test_simhash_chain_of_any_length(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(3000)], "a bigint, b bigint")
+    got = simhash.components(links).collect()
+    assert len(got) == 3000 and {r["root"] for r in got} == {0}
+
+
 # 7 line dedup
 
 
