@@ -94,9 +94,10 @@ def drop_boilerplate(df: DataFrame, host_col: str, text_col: str, host: Callable
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], ["host", "line", "n"])
 
     slim = df.select(F.col(f"`{host_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"))
-    counts = cut(slim.mapInArrow(count, "host string, line string, n bigint").groupBy("host", "line").agg(F.sum("n").alias("n")))
-    hosts = counts.where(F.col("line").isNull() & (F.col("n") >= min_pages)).select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("line").isNotNull() & (F.col("n") > ratio * min_pages))
+    counts = slim.mapInArrow(count, "host string, line string, n bigint").groupBy("host", "line").agg(F.sum("n").alias("n"))
+    counts = cut(counts.where(F.col("n") > F.when(F.col("line").isNull(), min_pages - 1).otherwise(ratio * min_pages)))  # no other can matter
+    hosts = counts.where(F.col("line").isNull()).select("host", F.col("n").alias("pages"))
+    often = counts.where(F.col("line").isNotNull())
     boiler = cut(often.join(hosts, "host").where(F.col("n") / F.col("pages") > ratio).groupBy("host").agg(F.collect_list("line").alias("bad")))
     size = boiler.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("bad", "")) + 64 * F.size("bad")).alias("n")).first()["n"] or 0
     base = without(df, *(c for c in (out_col, "n_lines", "n_dropped") if c.lower() not in (host_col.lower(), text_col.lower())))
