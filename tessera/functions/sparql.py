@@ -1,12 +1,13 @@
 """SPARQL expressions as Spark columns.
 
 An expression is ``E(kind, col)``: ``term`` (canonical string), ``bool``, ``num`` (double; ``whole`` is a
-boolean column telling integers) or ``str`` (plain text).  Errors are nulls, so SQL's three-valued logic is
+boolean column telling integers, ``exact`` the value as a decimal where it is an integer or decimal) or ``str`` (plain text).  Errors are nulls, so SQL's three-valued logic is
 SPARQL's error logic; a FILTER keeps rows that are true.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -21,14 +22,19 @@ class E:
     kind: str
     col: Column
     whole: Column | None = None
+    exact: Column | None = None
+    constant: str | None = None
 
 
-def number_term(x: Column, whole: Column | None) -> Column:
-    text = F.when(x == F.floor(x), F.concat(x.cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(x.cast("string"))
-    as_decimal = t.typed(text, "decimal")
-    if whole is None:
-        return as_decimal
-    return F.when(whole, t.typed(x.cast("decimal(38,0)"), "integer")).otherwise(as_decimal)
+def number_term(e: E) -> Column:
+    """Literal of a number: integers and decimals exactly, others as doubles."""
+    text = F.regexp_replace(F.regexp_replace(e.exact.cast("string"), "0+$", ""), "\\.$", ".0") if e.exact is not None else None
+    out = t.typed(e.col.cast("string"), "double")
+    if text is None:
+        return out
+    digits = e.exact.cast("decimal(38,0)").cast("string")
+    known = t.typed(text, "decimal") if e.whole is None else F.when(e.whole, t.typed(digits, "integer")).otherwise(t.typed(text, "decimal"))
+    return F.coalesce(known, out)
 
 
 def as_term(e: E) -> Column:
@@ -36,13 +42,20 @@ def as_term(e: E) -> Column:
         return e.col
     if e.kind == "bool":
         return t.typed(e.col, "boolean")
-    return number_term(e.col, e.whole) if e.kind == "num" else t.to_literal(e.col)
+    return number_term(e) if e.kind == "num" else t.to_literal(e.col)
 
 
 def as_num(e: E) -> Column:
     return e.col if e.kind == "num" else t.num(as_term(e)) if e.kind == "term" else e.col.try_cast("double")
 
 
+def as_exact(e: E) -> Column:
+    """Exact number, null where the value is a double or none."""
+    if e.kind == "num":
+        return F.lit(None).cast(t.EXACT) if e.exact is None else e.exact
+    return t.exact(as_term(e)) if e.kind == "term" else F.lit(None).cast(t.EXACT)
+
+
 def as_str(e: E) -> Column:
     return e.col if e.kind == "str" else t.lex(as_term(e))
 
@@ -65,20 +78,30 @@ def whole_of(e: E) -> Column:
     return t.is_whole(as_term(e))
 
 
+_TIME = re.compile(f'"[^"]*"\\^\\^<{XSD}date(Time)?>$')
+_NUMBER = re.compile(f'"[^"]*"\\^\\^<{XSD}({"|".join(t.NUMERIC)})>$')
+
+
 def compare(op: str, a: E, b: E) -> E:
+    """Numbers by value, exactly where both are integers or decimals; times as points in time; other terms by text."""
     if a.kind == "bool" or b.kind == "bool":
-        x, y = as_bool(a), as_bool(b)
-    elif a.kind == "num" or b.kind == "num":
-        x, y = as_num(a), as_num(b)
-    else:
-        if a.kind == "str" or b.kind == "str" or op not in ("=", "!="):
-            x, y = as_str(a), as_str(b)
-        else:
-            x, y = as_term(a), as_term(b)
-        by_text = _apply(op, x, y)
-        # numbers compare by value where both sides are numbers
-        return E("bool", by_text if a.kind == "str" or b.kind == "str" else F.coalesce(_apply(op, as_num(a), as_num(b)), by_text))
-    return E("bool", _apply(op, x, y))
+        return E("bool", _apply(op, as_bool(a), as_bool(b)))
+    numbers = lambda: F.coalesce(_apply(op, as_exact(a), as_exact(b)), _apply(op, as_num(a), as_num(b)))
+    if a.kind == "num" or b.kind == "num":
+        return E("bool", numbers())
+    given = a.constant or b.constant or ""
+    if a.kind == "str" or b.kind == "str":
+        return E("bool", _apply(op, as_str(a), as_str(b)))
+    same = op in ("=", "!=")
+    text = _apply(op, as_term(a), as_term(b)) if same else _apply(op, as_str(a), as_str(b))
+    if _NUMBER.match(given):  # what isn't a number differs from one, and has no order with it
+        return E("bool", F.coalesce(numbers(), text) if same else numbers())
+    times = lambda: _apply(op, t.instant(as_term(a)), t.instant(as_term(b)))
+    if _TIME.match(given):
+        return E("bool", F.coalesce(times(), text) if same else times())
+    if given:  # an IRI or a text
+        return E("bool", text)
+    return E("bool", F.when(as_term(a) == as_term(b), _apply(op, F.lit(0), F.lit(0))).otherwise(F.coalesce(numbers(), times(), text)))
 
 
 def _apply(op: str, x: Column, y: Column) -> Column:
@@ -86,11 +109,20 @@ def _apply(op: str, x: Column, y: Column) -> Column:
 
 
 def math(op: str, a: E, b: E) -> E:
-    x, y = as_num(a), as_num(b)
+    x, y, m, n = as_num(a), as_num(b), as_exact(a), as_exact(b)
+    whole = whole_of(a) & whole_of(b)
+    # Spark cuts the scale of wide products and quotients, so narrower operands go first where they lose nothing
+    short = lambda v: F.when(v.try_cast("decimal(18,6)") == v, v.try_cast("decimal(18,6)"))
     if op == "/":
-        return E("num", F.try_divide(x, y), F.lit(False))
-    return E("num", {"+": x + y, "-": x - y, "*": x * y}[op], whole_of(a) & whole_of(b))
+        return E("num", F.try_divide(x, y), F.lit(False), F.coalesce(_fit(F.try_divide(short(m), short(n))), _fit(F.try_divide(m, n))))
+    if op == "*":
+        integers = F.when(whole, F.try_multiply(m.try_cast("decimal(19,0)"), n.try_cast("decimal(19,0)")))
+        return E("num", x * y, whole, F.coalesce(_fit(integers), _fit(F.try_multiply(short(m), short(n))), _fit(F.try_multiply(m, n))))
+    return E("num", x + y if op == "+" else x - y, whole, _fit((F.try_add if op == "+" else F.try_subtract)(m, n)))
+
 
+def _fit(x: Column) -> Column:
+    return x.try_cast(t.EXACT)
 
 
 def _when(args: list[E]) -> E:
@@ -107,7 +139,7 @@ def _regex(text: Column, pattern: E, flags: E | None) -> tuple[Column, Column]:
 
 def _part(name: str):
     def get(a: list[E]) -> E:
-        return E("num", F.try_to_number(F.regexp_extract(as_str(a[0]), name, 1), F.lit("9999")).cast("double"), F.lit(True))
+        return _whole_num(F.regexp_extract(as_str(a[0]), name, 1).try_cast("int"))
 
     return get
 
@@ -121,11 +153,34 @@ def _keep_tag(a: E, text: Column) -> E:
 
 
 def _whole_num(col: Column) -> E:
-    return E("num", col.cast("double"), F.lit(True))
+    return E("num", col.cast("double"), F.lit(True), col.cast(t.EXACT))
 
 
 def _same_number(f):
-    return lambda a: E("num", f(as_num(a[0])).cast("double"), whole_of(a[0]))
+    return lambda a: E("num", f(as_num(a[0])).cast("double"), whole_of(a[0]), _fit(f(as_exact(a[0]))))
+
+
+def _from_text(name: str):
+    """Number of a literal's or text's characters, under a numeric type's name."""
+    def get(a: list[E]) -> E:
+        text = F.trim(as_str(a[0]))
+        value = text.try_cast("double")
+        if name == "integer":  # towards zero
+            exact = F.coalesce(F.regexp_extract(text, "^([+-]?[0-9]+)(?:[.][0-9]*)?$", 1).try_cast(t.EXACT), value.try_cast("bigint").cast(t.EXACT))
+            return E("num", exact.cast("double"), F.lit(True), exact)
+        return E("num", value, F.lit(False), text.try_cast(t.EXACT) if name == "decimal" else None)
+
+    return get
+
+
+def _zone(a: list[E]) -> E:
+    """Offset of a dateTime as a day-time duration."""
+    zone = F.regexp_extract(as_str(a[0]), "T[0-9:.]+(Z|[+-][0-9]{2}:[0-9]{2})$", 1)
+    hours, minutes = F.substr(zone, F.lit(2), F.lit(2)).try_cast("int"), F.substr(zone, F.lit(5), F.lit(2)).try_cast("int")
+    part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+    text = F.concat(F.when(F.startswith(zone, F.lit("-")), "-").otherwise(""), F.lit("PT"), part(hours, "H"), part(minutes, "M"))
+    nought = (zone == "Z") | ((hours == 0) & (minutes == 0))
+    return E("term", F.when(zone != "", t.typed(F.when(nought, "PT0S").otherwise(text), "dayTimeDuration")))
 
 
 FUNCTIONS = {
@@ -151,7 +206,7 @@ FUNCTIONS = {
     "REGEX": lambda a: E("bool", F.rlike(*_regex(as_str(a[0]), a[1], a[2] if len(a) > 2 else None))),
     "LANGMATCHES": lambda a: E("bool", F.when(as_str(a[1]) == "*", F.length(as_str(a[0])) > 0).otherwise((F.lower(as_str(a[0])) == F.lower(as_str(a[1]))) | F.startswith(F.lower(as_str(a[0])), F.concat(F.lower(as_str(a[1])), F.lit("-"))))),
     "ABS": _same_number(F.abs),
-    "ROUND": _same_number(lambda x: F.floor(x + 0.5)),
+    "ROUND": _same_number(lambda x: F.floor(x + F.lit("0.5").cast("decimal(2,1)"))),
     "CEIL": _same_number(F.ceil),
     "FLOOR": _same_number(F.floor),
     "RAND": lambda a: E("num", F.rand(), F.lit(False)),
@@ -161,7 +216,8 @@ FUNCTIONS = {
     "DAY": _part("^-?[0-9]{4}-[0-9]{2}-([0-9]{2})"),
     "HOURS": _part("T([0-9]{2}):"),
     "MINUTES": _part("T[0-9]{2}:([0-9]{2})"),
-    "SECONDS": lambda a: E("num", F.regexp_extract(as_str(a[0]), "T[0-9]{2}:[0-9]{2}:([0-9.]+)", 1).try_cast("double"), F.lit(False)),
+    "SECONDS": lambda a: _from_text("decimal")([E("str", F.regexp_extract(as_str(a[0]), "T[0-9]{2}:[0-9]{2}:([0-9.]+)", 1))]),
+    "TIMEZONE": _zone,
     "TZ": lambda a: E("str", F.regexp_extract(as_str(a[0]), "T[0-9:.]+(Z|[+-][0-9]{2}:[0-9]{2})?$", 1)),
     "MD5": lambda a: E("str", F.md5(as_str(a[0]))),
     "SHA1": lambda a: E("str", F.sha1(as_str(a[0]))),
@@ -178,10 +234,7 @@ FUNCTIONS = {
     "BOUND": lambda a: E("bool", a[0].col.isNotNull()),
     "UUID": lambda a: E("term", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))),
     "STRUUID": lambda a: E("str", F.uuid()),
-    f"<{XSD}integer>": lambda a: E("num", as_str(a[0]).try_cast("double").cast("bigint").cast("double"), F.lit(True)),
-    f"<{XSD}decimal>": lambda a: E("num", as_str(a[0]).try_cast("double"), F.lit(False)),
-    f"<{XSD}double>": lambda a: E("num", as_str(a[0]).try_cast("double"), F.lit(False)),
-    f"<{XSD}float>": lambda a: E("num", as_str(a[0]).try_cast("double"), F.lit(False)),
+    **{f"<{XSD}{name}>": _from_text(name) for name in ("integer", "decimal", "double", "float")},
     f"<{XSD}boolean>": lambda a: E("bool", as_str(a[0]).isin("true", "1")),
     f"<{XSD}string>": lambda a: E("str", as_str(a[0])),
     f"<{XSD}dateTime>": lambda a: E("term", t.typed(as_str(a[0]), "dateTime")),
@@ -206,7 +259,7 @@ def compile_expr(e: tuple, at) -> E:
     if kind == "var":
         return E("term", at(e[1]))
     if kind == "term":
-        return E("term", F.lit(e[1]))
+        return E("term", F.lit(e[1]), constant=e[1])
     if kind in ("flag", "aggregate"):
         return e[1] if isinstance(e[1], E) else E("bool", at(e[1]))
     if kind in ("and", "or"):

@@ -13,7 +13,7 @@ from ..namespaces import XSD
 
 TRIPLE = T.StructType([T.StructField(c, T.StringType(), False) for c in "spo"])
 QUAD = T.StructType([T.StructField(c, T.StringType(), False) for c in "gspo"])
-NUMERIC = ["integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedInt", "unsignedLong", "negativeInteger", "nonPositiveInteger"]
+NUMERIC = ["integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedInt", "unsignedLong", "unsignedShort", "unsignedByte", "negativeInteger", "nonPositiveInteger"]
 WHOLE = [t for t in NUMERIC if t not in ("decimal", "double", "float")]
 
 
@@ -95,10 +95,58 @@ def num(t: Column) -> Column:
     return F.regexp_extract(t, f'^"([^"]*)"\\^\\^<{XSD}(?:{"|".join(NUMERIC)})>$', 1).try_cast("double")
 
 
+#: Integers and decimals count in this type: 26 digits before and 12 after the point.
+EXACT = "decimal(38,12)"
+
+
+def exact(t: Column) -> Column:
+    """Exact number of an integer or decimal literal, else null (also beyond ``EXACT``'s range)."""
+    names = [n for n in NUMERIC if n not in ("double", "float")]
+    return F.regexp_extract(t, f'^"([^"]*)"\\^\\^<{XSD}(?:{"|".join(names)})>$', 1).try_cast(EXACT)
+
+
+def instant(t: Column) -> Column:
+    """Point in time of a date or dateTime literal; without a zone it is taken as UTC."""
+    text = F.regexp_extract(t, f'^"(-?[0-9]{{4,}}-[0-9]{{2}}-[0-9]{{2}}(?:T[0-9:.]+)?(?:Z|[+-][0-9]{{2}}:[0-9]{{2}})?)"\\^\\^<{XSD}date(?:Time)?>$', 1)
+    day = F.rlike(text, F.lit("^[^T]*$"))
+    full = F.when(day, F.concat(F.substr(text, F.lit(1), F.lit(10)), F.lit("T00:00:00"), F.substr(text, F.lit(11), F.length(text)))).otherwise(text)
+    zoned = F.when(F.rlike(full, F.lit("(Z|[+-][0-9]{2}:[0-9]{2})$")), full).otherwise(F.concat(full, F.lit("Z")))
+    return F.when(text != "", zoned.try_cast("timestamp"))
+
+
 def is_whole(t: Column) -> Column:
     return F.rlike(t, F.lit(f'\\^\\^<{XSD}({"|".join(WHOLE)})>$'))
 
 
+_RANGES = {"byte": (-128, 127), "short": (-(2**15), 2**15 - 1), "int": (-(2**31), 2**31 - 1), "long": (-(2**63), 2**63 - 1), "unsignedByte": (0, 255), "unsignedShort": (0, 2**16 - 1), "unsignedInt": (0, 2**32 - 1), "unsignedLong": (0, 2**64 - 1), "nonNegativeInteger": (0, None), "positiveInteger": (1, None), "nonPositiveInteger": (None, 0), "negativeInteger": (None, -1), "integer": (None, None)}
+_FORMS = {"decimal": "[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)", "double": "[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN", "boolean": "true|false|0|1", "dateTime": "-?[0-9]{4,}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?", "date": "-?[0-9]{4,}-[0-9]{2}-[0-9]{2}(Z|[+-][0-9]{2}:[0-9]{2})?", "hexBinary": "([0-9A-Fa-f]{2})*", "language": "[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*"}
+
+
+def well_formed(t: Column) -> Column:
+    """Whether a literal's text is one of its XSD type; true for other types and terms."""
+    text = lex(t)
+    of = lambda name: t.endswith(f'"^^<{XSD}{name}>')
+    out = None
+    for name, form in [*_FORMS.items(), ("float", _FORMS["double"])]:
+        good = F.rlike(text, F.lit(f"^({form})$"))
+        if name in ("date", "dateTime"):  # the day exists
+            good = good & instant(t).isNotNull()
+        out = F.when(of(name), good) if out is None else out.when(of(name), good)
+    for name, (low, high) in _RANGES.items():
+        value = text.try_cast("decimal(38,0)")
+        good = F.rlike(text, F.lit("^[+-]?[0-9]+$"))
+        for bound, ok in ((low, value >= F.lit(str(low)).cast("decimal(38,0)")), (high, value <= F.lit(str(high)).cast("decimal(38,0)"))):
+            if bound is not None:
+                good = good & F.coalesce(ok, F.lit(False))
+        out = out.when(of(name), good)
+    return out.otherwise(True)
+
+
+def same_value(a: Column, b: Column) -> Column:
+    """Whether two literals denote one value: equal terms, numbers or points in time."""
+    return (a == b) | F.coalesce(exact(a) == exact(b), num(a) == num(b), instant(a) == instant(b), F.lit(False))
+
+
 def local_name(t: Column) -> Column:
     """What follows the last ``#``, ``/`` or ``:`` of an IRI."""
     return F.regexp_extract(lex(t), "([^#/:]*)$", 1)

@@ -58,11 +58,24 @@ def ground(triples) -> list[tuple[str, str, str]]:
     return out
 
 
+#: Formats that one process writes take so many triples; larger graphs go out as N-Triples or Parquet.
+TEXT_TRIPLES = 2_000_000
+
+
+def _bounded(df: DataFrame) -> list:
+    rows = df.distinct().limit(TEXT_TRIPLES + 1).collect()
+    if len(rows) > TEXT_TRIPLES:
+        raise ValueError(f"more than {TEXT_TRIPLES} triples: write N-Triples to a path, or save as Parquet")
+    return rows
+
+
 class Graph:
     """A set of triples."""
 
     def __init__(self, df: DataFrame, prefixes: dict[str, str] | None = None):
         self.df = df.select("s", "p", "o")
+        if getattr(df, "mapping", None):  # mapped tables stay known to the query compiler
+            self.df.mapping = df.mapping
         self.spark: SparkSession = df.sparkSession
         self.prefixes = PREFIXES | (prefixes or {})
 
@@ -233,11 +246,11 @@ class Graph:
         return [tuple(r) for r in self.df.distinct().collect()]
 
     def serialize(self, format: str = "turtle", path: str | None = None) -> str | None:
-        """Text of the graph on the driver; with a path, N-Triples are written by Spark."""
+        """Text of the graph on the driver, for ``TEXT_TRIPLES`` at most; with a path, N-Triples are written by Spark at any size."""
         if path and format in ("nt", "ntriples"):
             rdf.write_lines(self.df.distinct(), path)
             return None
-        text = rdf.serialize([("", *r) for r in self.rows()], format, self.prefixes)
+        text = rdf.serialize([("", *r) for r in _bounded(self.df)], format, self.prefixes)
         if path:
             with open(path, "w", encoding="utf-8") as f:
                 f.write(text)
@@ -312,4 +325,4 @@ class GraphCollection:
         return GraphCollection(update_quads(self.spark, text, self.df, self.prefixes), self.prefixes)
 
     def serialize(self, format: str = "trig") -> str:
-        return rdf.serialize([tuple(r) for r in self.df.distinct().collect()], format, self.prefixes)
+        return rdf.serialize([tuple(r) for r in _bounded(self.df)], format, self.prefixes)

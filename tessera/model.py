@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.terms import to_literal, typed
 from .namespaces import CLASS, DATA, SUBCLASS, TYPE
-from .sources.tables import entity, prop, triples_of
+from .sources.tables import Fixed, Key, Mapping, Node, Text, entity, mapped, prop, triples_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,19 +31,23 @@ def part_class(*columns: str):
     return F.concat(F.lit(f"<{DATA}class/"), F.concat_ws("/", *columns), F.lit(">"))
 
 
+def _kind(name: str) -> Fixed:
+    return Fixed(f"<{DATA}{name}>")
+
+
 def _properties() -> dict:
-    key = entity
+    """Table -> (kind of its subjects, subject, properties, whether subjects are unique)."""
     return {
-        "region": (key("region", F.col("r_regionkey")), {"a": cls("Region"), "name": to_literal(F.col("r_name"))}),
-        "nation": (key("nation", F.col("n_nationkey")), {"a": cls("Nation"), "name": to_literal(F.col("n_name")), "partOf": key("region", F.col("n_regionkey"))}),
-        "customer": (key("customer", F.col("c_custkey")), {"a": cls("Customer"), "name": to_literal(F.col("c_name")), "inNation": key("nation", F.col("c_nationkey")), "segment": to_literal(F.col("c_mktsegment")), "balance": cents("c_acctbal")}),
-        "supplier": (key("supplier", F.col("s_suppkey")), {"a": cls("Supplier"), "name": to_literal(F.col("s_name")), "inNation": key("nation", F.col("s_nationkey")), "balance": cents("s_acctbal")}),
-        "part": (key("part", F.col("p_partkey")), {"a": part_class("p_type", "p_brand"), "name": to_literal(F.col("p_name")), "brand": to_literal(F.col("p_brand")), "size": typed(F.col("p_size"), "integer")}),
-        "orders": (key("order", F.col("o_orderkey")), {"a": cls("Order"), "placedBy": key("customer", F.col("o_custkey")), "status": to_literal(F.col("o_orderstatus")), "priority": to_literal(F.col("o_orderpriority")), "total": cents("o_totalprice"), "date": typed(F.date_format("o_orderdate", "yyyy-MM-dd"), "date")}),
-        "lineitem": (item(), {"a": cls("Item"), "ofOrder": key("order", F.col("l_orderkey")), "ofPart": key("part", F.col("l_partkey")), "suppliedBy": key("supplier", F.col("l_suppkey")), "quantity": typed(F.col("l_quantity").cast("bigint"), "integer"), "returned": to_literal(F.col("l_returnflag"))}),
-        "events": (key("event", F.col("event_id")), {"a": cls("Event"), "by": key("user", F.col("user_id")), "did": to_literal(F.col("event_type"))}),
-        "documents": (key("document", F.col("doc_id")), {"a": cls("Document"), "lang": to_literal(F.col("lang")), "source": to_literal(F.col("source")), "chars": typed(F.col("n_chars"), "integer")}),
-        "pages": (key("page", F.col("page_id")), {"a": cls("Page"), "url": to_literal(F.col("url"))}),
+        "region": ("region", Key("region", "r_regionkey"), {"a": _kind("Region"), "name": Text("r_name")}, True),
+        "nation": ("nation", Key("nation", "n_nationkey"), {"a": _kind("Nation"), "name": Text("n_name"), "partOf": Key("region", "n_regionkey")}, True),
+        "customer": ("customer", Key("customer", "c_custkey"), {"a": _kind("Customer"), "name": Text("c_name"), "inNation": Key("nation", "c_nationkey"), "segment": Text("c_mktsegment"), "balance": Node(cents("c_acctbal"))}, True),
+        "supplier": ("supplier", Key("supplier", "s_suppkey"), {"a": _kind("Supplier"), "name": Text("s_name"), "inNation": Key("nation", "s_nationkey"), "balance": Node(cents("s_acctbal"))}, True),
+        "part": ("part", Key("part", "p_partkey"), {"a": Node(part_class("p_type", "p_brand")), "name": Text("p_name"), "brand": Text("p_brand"), "size": Node(typed(F.col("p_size"), "integer"))}, True),
+        "orders": ("order", Key("order", "o_orderkey"), {"a": _kind("Order"), "placedBy": Key("customer", "o_custkey"), "status": Text("o_orderstatus"), "priority": Text("o_orderpriority"), "total": Node(cents("o_totalprice")), "date": Node(typed(F.date_format("o_orderdate", "yyyy-MM-dd"), "date"))}, True),
+        "lineitem": ("item", Node(item()), {"a": _kind("Item"), "ofOrder": Key("order", "l_orderkey"), "ofPart": Key("part", "l_partkey"), "suppliedBy": Key("supplier", "l_suppkey"), "quantity": Node(typed(F.col("l_quantity").cast("bigint"), "integer")), "returned": Text("l_returnflag")}, True),
+        "events": ("event", Key("event", "event_id"), {"a": _kind("Event"), "by": Key("user", "user_id"), "did": Text("event_type")}, True),
+        "documents": ("document", Key("document", "doc_id"), {"a": _kind("Document"), "lang": Text("lang"), "source": Text("source"), "chars": Node(typed(F.col("n_chars"), "integer"))}, False),
+        "pages": ("page", Key("page", "page_id"), {"a": _kind("Page"), "url": Text("url")}, False),
     }
 
 
@@ -53,9 +55,9 @@ def triples(spark: SparkSession, sf_dir: str, *names: str, only: tuple[str, ...]
     """Triples of the named tables; ``only``: these properties."""
     parts = []
     for n in names:
-        subject, props = _properties()[n]
-        parts.append(triples_of(table(spark, sf_dir, n), subject, [(prop(p), o) for p, o in props.items() if only is None or p in only]))
-    return reduce(DataFrame.union, parts)
+        kind, subject, props, unique = _properties()[n]
+        parts.append(Mapping(table(spark, sf_dir, n), kind, subject, {prop(p): o for p, o in props.items() if only is None or p in only}, unique))
+    return mapped(*parts)
 
 
 def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Transitive closures and connected components of edge DataFrames.
 
 Closures double path lengths each round (new pairs joined with all pairs so far), so chains of n edges take
-log n rounds.  Lineage is cut by reliable checkpoints.  Small inputs, checked by size, are closed on the
+log n rounds; a round writes only its new pairs, and rounds go on until there are none.  Lineage is cut by reliable checkpoints.  Small inputs, checked by size, are closed on the
 driver instead, which saves the rounds' start-up.
 """
 
@@ -9,25 +9,49 @@ from __future__ import annotations
 
 import tempfile
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DRIVER_EDGES = 20_000
 DRIVER_PAIRS = 400_000
-MOST_ROUNDS = 64
+MOST_PARTS = 24
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Evaluate once and cut the lineage, in ``spark.checkpoint.dir`` (a local folder where it is unset, as in tests)."""
+    """Evaluate once and cut the lineage, in ``spark.checkpoint.dir``.
+
+    Where the setting is absent a folder of this machine serves on a local master; a cluster raises.
+    """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+            shared = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        context.setCheckpointDir(shared)
     # strings are computed anew: otherwise constant columns carry constraints on attributes that are gone, which later unions trip over
     fresh = [F.concat(F.col(f"`{c}`"), F.lit("")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes]
     return df.select(*fresh).checkpoint(eager=True)
 
 
+class Grown:
+    """What a fixpoint has so far: one checkpoint a round, so a round writes only what is new."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, delta: DataFrame) -> None:
+        self.parts.append(delta)
+        if len(self.parts) > MOST_PARTS:  # long runs of small rounds are put together now and then
+            self.parts = [checkpoint(self.all())]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.union, self.parts)
+
+
 def reach(edges: list[tuple[str, str]], most: int = DRIVER_PAIRS, starts: list[str] | None = None) -> list[tuple[str, str]] | None:
     """All pairs joined by one edge or more (from ``starts`` only, if given); None beyond ``most`` pairs."""
     after = defaultdict(set)
@@ -47,7 +71,7 @@ def reach(edges: list[tuple[str, str]], most: int = DRIVER_PAIRS, starts: list[s
     return out
 
 
-def transitive(edges: DataFrame, max_rounds: int = MOST_ROUNDS, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+def transitive(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """Distinct (s, o) pairs joined by one edge or more; ``edges`` has the columns s and o, cycles are fine."""
     spark = edges.sparkSession
     edges = edges.select("s", "o")
@@ -56,19 +80,19 @@ def transitive(edges: DataFrame, max_rounds: int = MOST_ROUNDS, driver_edges: in
         pairs = reach([tuple(r) for r in few])
         if pairs is not None:
             return spark.createDataFrame(pairs, "s string, o string")
-    everything = checkpoint(edges.distinct())
-    delta = everything
-    for _ in range(max_rounds):
+    delta = checkpoint(edges.distinct())
+    known = Grown(delta)
+    while True:
+        everything = known.all()
         step = delta.alias("d").join(everything.alias("e"), F.col("d.o") == F.col("e.s")).select(F.col("d.s").alias("s"), F.col("e.o").alias("o")).distinct()
         delta = checkpoint(step.join(everything, ["s", "o"], "left_anti"))
         if delta.isEmpty():
-            break
-        everything = checkpoint(everything.union(delta))
-    return everything
+            return everything
+        known.add(delta)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, driver_edges: int = DRIVER_EDGES) -> DataFrame:
-    """Distinct (s, o): nodes reached by one edge or more from the seeds (column s)."""
+def reachable(edges: DataFrame, seeds: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """Distinct (s, o): nodes reached by one edge or more from the seeds (column s); one hop a round."""
     spark = edges.sparkSession
     edges = edges.select("s", "o")
     few = edges.limit(driver_edges + 1).collect()
@@ -78,25 +102,25 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, driv
         if pairs is not None:
             return spark.createDataFrame(pairs, "s string, o string")
     edges = checkpoint(edges.distinct())
-    seen = checkpoint(seeds.select("s").distinct().join(edges, "s").select("s", "o").distinct())
-    delta = seen
-    for _ in range(max_rounds):
+    delta = checkpoint(seeds.select("s").distinct().join(edges, "s").select("s", "o").distinct())
+    known = Grown(delta)
+    while True:
+        seen = known.all()
         step = delta.alias("d").join(edges.alias("e"), F.col("d.o") == F.col("e.s")).select(F.col("d.s").alias("s"), F.col("e.o").alias("o")).distinct()
         delta = checkpoint(step.join(seen, ["s", "o"], "left_anti"))
         if delta.isEmpty():
-            break
-        seen = checkpoint(seen.union(delta))
-    return seen
+            return seen
+        known.add(delta)
 
 
-def components(edges: DataFrame, max_rounds: int = MOST_ROUNDS) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, for all nodes with an edge.
 
     Alternates hooking every larger neighbour to a node's least one with hooking the lesser ones.
     """
     at = checkpoint(edges.where("s <> o").select(F.greatest("s", "o").alias("u"), F.least("s", "o").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = at.union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -18,14 +18,35 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..functions.terms import TRIPLE
 from ..namespaces import CLASS, DOMAIN, EQUIVALENT, FIRST, INVERSE, NIL, NOTHING, OWL, RANGE, RDF, RDFS, RESOURCE, REST, SAME, SUBCLASS, SUBPROPERTY, THING, TYPE, XSD, iri
-from .closure import MOST_ROUNDS, checkpoint, components, reach, transitive
+from .closure import Grown, checkpoint, components, reach, transitive
 
 #: Largest schema that the driver closes.
 SCHEMA_TRIPLES = 500_000
-OWL_ = {n: iri(OWL + n) for n in "equivalentProperty SymmetricProperty TransitiveProperty FunctionalProperty InverseFunctionalProperty propertyChainAxiom hasKey intersectionOf unionOf oneOf onProperty hasValue someValuesFrom allValuesFrom maxCardinality maxQualifiedCardinality onClass complementOf disjointWith AllDisjointClasses members propertyDisjointWith IrreflexiveProperty AsymmetricProperty Restriction differentFrom NegativePropertyAssertion sourceIndividual assertionProperty targetIndividual targetValue ObjectProperty DatatypeProperty Thing Class".split()}
+OWL_ = {n: iri(OWL + n) for n in "equivalentProperty SymmetricProperty TransitiveProperty FunctionalProperty InverseFunctionalProperty propertyChainAxiom hasKey intersectionOf unionOf oneOf onProperty hasValue someValuesFrom allValuesFrom maxCardinality maxQualifiedCardinality onClass complementOf disjointWith AllDisjointClasses AllDisjointProperties AllDifferent distinctMembers members propertyDisjointWith IrreflexiveProperty AsymmetricProperty Restriction differentFrom NegativePropertyAssertion sourceIndividual assertionProperty targetIndividual targetValue ObjectProperty DatatypeProperty Thing Class".split()}
 PROPERTY = iri(RDF + "Property")
-SCHEMA_PREDICATES = [SUBCLASS, SUBPROPERTY, DOMAIN, RANGE, EQUIVALENT, INVERSE, FIRST, REST] + [OWL_[n] for n in "equivalentProperty propertyChainAxiom hasKey intersectionOf unionOf oneOf onProperty hasValue someValuesFrom allValuesFrom maxCardinality maxQualifiedCardinality onClass complementOf disjointWith members propertyDisjointWith sourceIndividual assertionProperty targetIndividual targetValue".split()]
-SCHEMA_TYPES = [CLASS, iri(RDFS + "Class"), PROPERTY, iri(RDFS + "Datatype"), iri(RDFS + "ContainerMembershipProperty")] + [OWL_[n] for n in "SymmetricProperty TransitiveProperty FunctionalProperty InverseFunctionalProperty IrreflexiveProperty AsymmetricProperty AllDisjointClasses Restriction NegativePropertyAssertion ObjectProperty DatatypeProperty".split()]
+SCHEMA_PREDICATES = [SUBCLASS, SUBPROPERTY, DOMAIN, RANGE, EQUIVALENT, INVERSE, FIRST, REST] + [OWL_[n] for n in "equivalentProperty propertyChainAxiom hasKey intersectionOf unionOf oneOf onProperty hasValue someValuesFrom allValuesFrom maxCardinality maxQualifiedCardinality onClass complementOf disjointWith members distinctMembers propertyDisjointWith sourceIndividual assertionProperty targetIndividual targetValue".split()]
+SCHEMA_TYPES = [CLASS, iri(RDFS + "Class"), PROPERTY, iri(RDFS + "Datatype"), iri(RDFS + "ContainerMembershipProperty")] + [OWL_[n] for n in "SymmetricProperty TransitiveProperty FunctionalProperty InverseFunctionalProperty IrreflexiveProperty AsymmetricProperty AllDisjointClasses AllDisjointProperties AllDifferent Restriction NegativePropertyAssertion ObjectProperty DatatypeProperty".split()]
+
+
+#: Largest closure of class or property pairs that the driver holds.
+SCHEMA_PAIRS = 20_000_000
+#: Rule tables of so many characters at most are broadcast.
+RULE_TEXT = 16 << 20
+
+
+def _reach(pairs) -> set[tuple[str, str]]:
+    got = reach(sorted(pairs), SCHEMA_PAIRS)
+    if got is None:
+        raise ValueError(f"the schema's hierarchy has more than {SCHEMA_PAIRS} pairs")
+    return set(got)
+
+
+def _few(df: DataFrame) -> list:
+    """Schema rows on the driver, behind a check of their number."""
+    rows = df.limit(SCHEMA_TRIPLES + 1).collect()
+    if len(rows) > SCHEMA_TRIPLES:
+        raise ValueError(f"the schema has more than {SCHEMA_TRIPLES} triples")
+    return rows
 
 
 class Schema:
@@ -42,12 +63,17 @@ class Schema:
         first, rest = dict(get[FIRST]), dict(get[REST])
 
         def members(head: str) -> list[str]:
-            out = []
-            while head in first and len(out) < 100_000:
+            out, seen = [], set()
+            while head in first:
+                if head in seen:
+                    raise ValueError(f"a list runs in a circle: {head}")
+                seen.add(head)
                 out.append(first[head])
                 head = rest.get(head, NIL)
             return out
 
+        self.lists = members
+        self.apart: set = set()
         sub, subp = set(get[SUBCLASS]), set(get[SUBPROPERTY])
         domain, range_ = set(get[DOMAIN]), set(get[RANGE])
         self.inverse: set = set()
@@ -77,13 +103,18 @@ class Schema:
                 for c, v in get[OWL_[n]]:
                     self.restrictions[c][n] = v
             self.disjoint = set(get[OWL_["disjointWith"]])
+            self.apart = set(get[OWL_["propertyDisjointWith"]])
+            for x in types[OWL_["AllDisjointProperties"]]:
+                for s, o in get[OWL_["members"]]:
+                    if s == x:
+                        m = members(o)
+                        self.apart |= {(a, b) for i, a in enumerate(m) for b in m[i + 1 :]}
             for x in types[OWL_["AllDisjointClasses"]]:
                 for s, o in get[OWL_["members"]]:
                     if s == x:
                         m = members(o)
                         self.disjoint |= {(a, b) for i, a in enumerate(m) for b in m[i + 1 :]}
-        self.sub = set(reach(list(sub), 10**8))
-        self.subp = set(reach(list(subp), 10**8))
+        self.sub, self.subp = _reach(sub), _reach(subp)
         # domains and ranges of superproperties and their superclasses hold too
         up, upc = defaultdict(set), defaultdict(set)
         for a, b in self.subp:
@@ -102,12 +133,35 @@ class Schema:
                         out |= {(p, c)} | {(p, d) for d in upc[c]}
             return out
 
+        if owl:  # restrictions by property, value and class
+            sub |= self._restriction_order(_reach(sub), _reach(subp))
+            self.sub = _reach(sub)
+            upc.clear()
+            for a, b in self.sub:
+                upc[a].add(b)
         self.domain, self.range = inherited(domain), inherited(range_)
         self.transitive = types[OWL_["TransitiveProperty"]] if owl else set()
         self.functional = types[OWL_["FunctionalProperty"]] if owl else set()
         self.inverse_functional = types[OWL_["InverseFunctionalProperty"]] if owl else set()
         self.owl = owl
 
+    def _restriction_order(self, sub: set, subp: set) -> set[tuple[str, str]]:
+        """Subclass pairs between restrictions (scm-hv, scm-svf1/2, scm-avf1/2)."""
+        under = lambda a, b, known: a == b or (a, b) in known
+        out = set()
+        for kind, up in (("hasValue", True), ("someValuesFrom", True), ("allValuesFrom", False)):
+            same_p, same_v = defaultdict(list), defaultdict(list)
+            for c, x in self.restrictions.items():
+                if kind in x and "onProperty" in x:
+                    same_p[x["onProperty"]].append((c, x[kind]))
+                    same_v[x[kind]].append((c, x["onProperty"]))
+            for group in same_v.values():  # one value: the property decides, the other way round for allValuesFrom
+                out |= {(a, b) if up else (b, a) for a, p in group for b, q in group if a != b and under(p, q, subp)}
+            if kind != "hasValue":
+                for group in same_p.values():  # one property: the class decides
+                    out |= {(a, b) for a, c in group for b, d in group if a != b and under(c, d, sub)}
+        return out
+
     def entailed(self) -> list[tuple[str, str, str]]:
         """Schema triples that follow from the schema alone."""
         out = {(a, SUBCLASS, b) for a, b in self.sub} | {(a, SUBPROPERTY, b) for a, b in self.subp}
@@ -146,15 +200,17 @@ class Schema:
 
 def schema_of(triples: DataFrame, owl: bool) -> Schema:
     df = triples.where(F.col("p").isin(SCHEMA_PREDICATES) | ((F.col("p") == TYPE) & F.col("o").isin(SCHEMA_TYPES))).select("s", "p", "o")
-    rows = df.limit(SCHEMA_TRIPLES + 1).collect()
-    if len(rows) > SCHEMA_TRIPLES:
-        raise ValueError(f"the schema has more than {SCHEMA_TRIPLES} triples")
-    return Schema([tuple(r) for r in rows], owl)
+    return Schema([tuple(r) for r in _few(df)], owl)
 
 
 def _table(spark: SparkSession, rows, names: str) -> DataFrame | None:
+    """Rule rows as a table.  It comes from the driver, so its size is known: small ones are broadcast, which keeps the
+    data where it is instead of shuffling it by a few predicates."""
     rows = list(rows)
-    return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split())) if rows else None
+    if not rows:
+        return None
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'int' if isinstance(x, int) else 'string'}" for n, x in zip(names.split(), rows[0])))
+    return F.broadcast(df) if sum(len(str(x)) for r in rows for x in r) <= RULE_TEXT else df
 
 
 def _emit(delta: DataFrame, everything: DataFrame, schema: Schema, spark: SparkSession, tables: dict) -> list[DataFrame]:
@@ -224,7 +280,7 @@ def _same(triples: DataFrame, schema: Schema, spark: SparkSession) -> DataFrame:
     return reduce(DataFrame.union, out).where("s <> o").distinct()
 
 
-def closure(triples: DataFrame, owl: bool = False, max_rounds: int = MOST_ROUNDS) -> DataFrame:
+def closure(triples: DataFrame, owl: bool = False) -> DataFrame:
     """The triples and what RDFS or OWL 2 RL entails."""
     spark = triples.sparkSession
     triples = triples.select("s", "p", "o")
@@ -236,35 +292,43 @@ def closure(triples: DataFrame, owl: bool = False, max_rounds: int = MOST_ROUNDS
         "hv": _table(spark, [(x["onProperty"], x["hasValue"], c) for c, x in r.items() if "hasValue" in x and "onProperty" in x], "p o c"),
         "svf": _table(spark, [(x["onProperty"], x["someValuesFrom"], c) for c, x in r.items() if "someValuesFrom" in x and "onProperty" in x], "p d r"),
         "avf": _table(spark, [(x["onProperty"], x["allValuesFrom"], c) for c, x in r.items() if "allValuesFrom" in x and "onProperty" in x], "p d r"),
-        "int": spark.createDataFrame([(c, w, len(set(parts))) for w, parts in schema.intersections for c in set(parts)], "c string, whole string, n int") if schema.intersections else None,
+        "int": _table(spark, [(c, w, len(set(parts))) for w, parts in schema.intersections for c in sorted(set(parts))], "c whole n"),
     }
     base = triples
     extra = schema.entailed() + [(i, TYPE, c) for c, i in schema.one_of]
     if extra:
         base = base.union(spark.createDataFrame(extra, TRIPLE))
-    everything = checkpoint(base.distinct())
-    delta = everything
+    delta = checkpoint(base.distinct())
+    known = Grown(delta)
     equal = bool(owl) and (bool(schema.functional or schema.inverse_functional or schema.keys or any("maxCardinality" in x or "maxQualifiedCardinality" in x for x in r.values())) or not triples.where(F.col("p") == SAME).isEmpty())
     reps: DataFrame | None = None
-    for _ in range(max_rounds):
+    begun = True
+    while True:
+        everything = known.all()
         found = _emit(delta, everything, schema, spark, tables)
         step = reduce(DataFrame.union, found) if found else delta.limit(0)
         for p in sorted(schema.transitive):
-            # closed whole by path doubling; only pairs not yet known go on
-            step = step.union(transitive(everything.where(F.col("p") == p)).select("s", F.lit(p).alias("p"), "o"))
+            if begun:  # closed whole by path doubling
+                step = step.union(transitive(everything.where(F.col("p") == p)).select("s", F.lit(p).alias("p"), "o"))
+            else:  # what is known is closed but for the last round's pairs, which extend it at either end
+                new, old = (df.where(F.col("p") == p).select("s", "o") for df in (delta, everything))
+                for a, b in ((new, old), (old, new)):
+                    step = step.union(a.alias("a").join(b.alias("b"), F.col("a.o") == F.col("b.s")).select(F.col("a.s").alias("s"), F.lit(p).alias("p"), F.col("b.o").alias("o")))
+        begun = False
         delta = checkpoint(step.distinct().join(everything, ["s", "p", "o"], "left_anti"))
         grew = not delta.isEmpty()
         if grew:
-            everything = checkpoint(everything.union(delta))
+            known.add(delta)
         if equal and not grew:
             pairs = _same(everything, schema, spark)
             if not pairs.isEmpty():
                 new = components(pairs)
                 reps = new if reps is None else checkpoint(reps.join(new.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left").select("node", F.coalesce("r2", "root").alias("root")).union(new.join(reps, "node", "left_anti").select("node", "root")))
-                delta = everything = checkpoint(_renamed(everything.where(F.col("p") != SAME), new))
-                grew = True
+                delta = checkpoint(_renamed(everything.where(F.col("p") != SAME), new))
+                known, begun, grew = Grown(delta), True, True
         if not grew:
             break
+    everything = known.all()
     if reps is not None:
         everything = _members(everything, reps)
     if owl:
@@ -307,11 +371,18 @@ def inconsistencies(triples: DataFrame) -> DataFrame:
     for p in sorted(schema.types[OWL_["AsymmetricProperty"]]):
         own = triples.where(F.col("p") == p)
         out.append(own.join(own.select(F.col("o").alias("s"), F.col("s").alias("o")), ["s", "o"]).select(F.lit("prp-asyp"), "s", "p", "o"))
-    for p, q in schema.by[OWL_["propertyDisjointWith"]]:
-        out.append(triples.where(F.col("p") == p).join(triples.where(F.col("p") == q).select("s", "o"), ["s", "o"]).select(F.lit("prp-pdw"), "s", "p", "o"))
+    stated = set(schema.by[OWL_["propertyDisjointWith"]])
+    for p, q in sorted(schema.apart):
+        rule = "prp-pdw" if (p, q) in stated else "prp-adp"
+        out.append(triples.where(F.col("p") == p).join(triples.where(F.col("p") == q).select("s", "o"), ["s", "o"]).select(F.lit(rule), "s", "p", "o"))
     for c, x in schema.restrictions.items():
         if terms.lexical(x.get("maxCardinality", "")) == "0" and "onProperty" in x:
             out.append(triples.where(F.col("p") == x["onProperty"]).join(kinds.where(F.col("c") == c).select("s"), "s", "left_semi").select(F.lit("cls-maxc1"), "s", "p", "o"))
+        if terms.lexical(x.get("maxQualifiedCardinality", "")) == "0" and "onProperty" in x:
+            own = triples.where(F.col("p") == x["onProperty"]).join(kinds.where(F.col("c") == c).select("s"), "s", "left_semi")
+            if x.get("onClass", THING) != THING:
+                own = own.join(kinds.where(F.col("c") == x["onClass"]).select(F.col("s").alias("o")), "o", "left_semi")
+            out.append(own.select(F.lit("cls-maxqc1" if x.get("onClass", THING) != THING else "cls-maxqc2"), "s", "p", "o"))
     parts = {n: dict(schema.by[OWL_[n]]) for n in ("sourceIndividual", "assertionProperty", "targetIndividual", "targetValue")}
     denied = [(s, parts["assertionProperty"].get(x), parts["targetIndividual"].get(x, parts["targetValue"].get(x))) for x, s in parts["sourceIndividual"].items()]
     denied_df = _table(spark, [d for d in denied if d[1] and d[2]], "s p o")
@@ -319,8 +390,15 @@ def inconsistencies(triples: DataFrame) -> DataFrame:
         out.append(triples.join(denied_df, ["s", "p", "o"]).select(F.lit("prp-npa"), "s", "p", "o"))
     differ = triples.where(F.col("p") == OWL_["differentFrom"]).select("s", "o")
     out.append(triples.where(F.col("p") == SAME).join(differ, ["s", "o"]).select(F.lit("eq-diff1"), "s", "p", "o"))
-    ill = terms.num(F.col("o")).isNull() & F.rlike("o", F.lit(f"\\^\\^<{XSD}(integer|decimal|double)>$"))
-    out.append(triples.where(ill).select(F.lit("dt-not-type"), "s", "p", "o"))
+    out.append(triples.where(~terms.well_formed(F.col("o"))).select(F.lit("dt-not-type"), "s", "p", "o"))
+    literals = triples.where(F.col("p") == SAME).where(terms.is_literal(F.col("s")) & terms.is_literal(F.col("o")) & ~terms.same_value(F.col("s"), F.col("o")))
+    out.append(literals.select(F.lit("dt-diff"), "s", "p", "o"))
+    groups = [(x, i) for x in schema.types[OWL_["AllDifferent"]] for s, o in schema.by[OWL_["members"]] + schema.by[OWL_["distinctMembers"]] if s == x for i in schema.lists(o)]
+    apart = _table(spark, groups, "x i")
+    if apart is not None:
+        same = triples.where((F.col("p") == SAME) & (F.col("s") != F.col("o")))
+        both = same.join(apart.select(F.col("i").alias("s"), "x"), "s").join(apart.select(F.col("i").alias("o"), "x"), ["o", "x"])
+        out.append(both.select(F.lit("eq-diff2"), "s", "p", "o"))
     return reduce(DataFrame.union, out).distinct()
 
 
@@ -335,9 +413,9 @@ def most_specific(graph, classes: list[str]) -> list[str]:
     from ..graph import as_term
 
     wanted = [as_term(c) for c in classes]
-    rows = graph.df.where(F.col("p").isin(SUBCLASS, EQUIVALENT)).select("s", "p", "o").collect()
+    rows = _few(graph.df.where(F.col("p").isin(SUBCLASS, EQUIVALENT)).select("s", "p", "o"))
     pairs = {(s, o) for s, _, o in rows} | {(o, s) for s, p, o in rows if p == EQUIVALENT}
-    below = set(reach(sorted(pairs), 10**8))
+    below = _reach(pairs)
     return [c for c in wanted if not any((d, c) in below and (c, d) not in below for d in wanted if d != c)]
 
 
@@ -371,7 +449,7 @@ def expand(graph, profile: str, ontology=None, simple: bool = True, iterative: b
         elif name == "shacl":
             from .shacl import infer
 
-            df = infer(graph, shapes or graph, max_rounds=100 if iterative else 1).df
+            df = infer(graph, shapes or graph, iterative=iterative).df
         elif name == "vbis":
             from .vbis import annotate
 

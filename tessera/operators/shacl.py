@@ -21,6 +21,8 @@ from ..plans.compile import Compiler, run_query
 from .closure import checkpoint, transitive
 
 SHAPE_TRIPLES = 500_000
+#: The report's text spells out so many results; its table holds all of them.
+REPORT_LINES = 10_000
 REPORT = ["focus_node", "result_path", "value", "component", "source_shape", "severity", "message"]
 RDFS_CLASS = iri(RDFS + "Class")
 SEVERITIES = {"Info": 0, "Warning": 1, "Violation": 2}
@@ -54,8 +56,11 @@ class Shapes:
         return got[0] if got else None
 
     def items(self, head: str) -> list[str]:
-        out = []
-        while head != NIL and head in self.of and len(out) < 100_000:
+        out, seen = [], set()
+        while head != NIL and head in self.of:
+            if head in seen:
+                raise ValueError(f"a list runs in a circle: {head}")
+            seen.add(head)
             out.append(self.of[head][FIRST][0])
             head = self.of[head][REST][0]
         return out
@@ -300,16 +305,19 @@ def validate(graph, shapes=None, abort_on_first: bool = False, allow_warnings: b
         from .reason import expand
 
         data = expand(Graph(data.union(shape_df)), inference).df
-    report = violations(data, shape_df)
-    if abort_on_first:
-        report = report.limit(1)
+    report = checkpoint(violations(data, shape_df))
+    fails = F.col("severity").isNotNull() if not allow_warnings else F.col("severity") == "Violation"
+    ok = report.where(fails).isEmpty()
+    if abort_on_first:  # the first result that fails, if one does
+        report = report.orderBy(fails.desc(), "focus_node", "source_shape", "component", "value").limit(1)
     report = report.orderBy("focus_node", "source_shape", "component", "value")
-    rows = report.collect()
-    worst = [r for r in rows if r["severity"] == "Violation" or not allow_warnings]
-    lines = [f"Conforms: {not worst}", f"Results: {len(rows)}"]
-    for r in rows:
+    total = report.count()
+    lines = [f"Conforms: {ok}", f"Results: {total}"]
+    for r in report.limit(REPORT_LINES).collect():
         lines.append(f"- {r['severity']} {r['component']} at {r['focus_node']}" + (f" path {r['result_path']}" if r["result_path"] else "") + (f" value {r['value']}" if r["value"] else "") + f": {r['message']}")
-    return not worst, report, "\n".join(lines)
+    if total > REPORT_LINES:
+        lines.append(f"- and {total - REPORT_LINES} more in the report table")
+    return ok, report, "\n".join(lines)
 
 
 def report_graph(report: DataFrame, conforms: bool) -> DataFrame:
@@ -352,8 +360,12 @@ def _rule_triples(v: Validator, S: Shapes, rule: str, focus: DataFrame) -> DataF
     return df.select("s", "p", "o").where(~terms.is_literal(F.col("s")) & terms.is_iri(F.col("p")))
 
 
-def infer(graph, shapes=None, max_rounds: int = 100, keep_blank: bool = True):
-    """The graph with what the shapes' rules derive, run in ``sh:order`` until nothing is new."""
+def infer(graph, shapes=None, max_rounds: int = 100, keep_blank: bool = True, iterative: bool = True):
+    """The graph with what the shapes' rules derive, run in ``sh:order`` until nothing is new.
+
+    ``iterative``: False for one round only.  Rules that are still deriving after ``max_rounds`` (fresh blank nodes
+    can go on for ever) raise.
+    """
     from ..graph import Graph
 
     shapes = graph if shapes is None else shapes
@@ -368,7 +380,9 @@ def infer(graph, shapes=None, max_rounds: int = 100, keep_blank: bool = True):
     everything = checkpoint(graph.df.distinct())
     if not rules:
         return Graph(everything, graph.prefixes)
-    for _ in range(max_rounds):
+    for done in range(max_rounds + 1):
+        if done == max_rounds:
+            raise RuntimeError(f"the rules are still deriving after {max_rounds} rounds")
         grew = False
         for order in sorted({o for o, _, _ in rules}):
             v = Validator(everything.union(axioms).distinct(), S)
@@ -380,6 +394,6 @@ def infer(graph, shapes=None, max_rounds: int = 100, keep_blank: bool = True):
             if not new.isEmpty():
                 grew = True
                 everything = checkpoint(everything.union(new))
-        if not grew:
+        if not grew or not iterative:
             break
     return Graph(everything, graph.prefixes)

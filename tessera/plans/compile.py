@@ -7,18 +7,22 @@ UNION or VALUES may leave open need the wider compatible-mapping condition.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..functions.sparql import E, as_bool, as_num, as_str, as_term, compile_expr, variables, whole_of
+from ..functions.sparql import E, as_bool, as_exact, as_num, as_str, as_term, compile_expr, math, variables, whole_of
 from ..namespaces import TYPE
 from ..operators.closure import reachable, transitive
 from .parser import Parser, Query
 
 
+#: A path inside GRAPH with a variable is planned once a graph, for so many graphs at most.
+PATH_GRAPHS = 256
+
+
 def column_name(var: str) -> str:
     """Column of a variable; Spark ignores case in names, SPARQL doesn't."""
     mask = "".join("1" if c.isupper() else "0" for c in var)
@@ -31,12 +35,17 @@ def col(var: str):
 
 @dataclass
 class Solutions:
+    """Solutions as a DataFrame; ``raw`` variables hold the bare integer key of an IRI, whose text before it is the value."""
+
     df: DataFrame
     certain: set[str]
     possible: set[str]
+    raw: dict[str, str] = field(default_factory=dict)
 
     def at(self, name: str):
-        return col(name) if name in self.certain | self.possible else F.lit(None).cast("string")
+        if name not in self.certain | self.possible:
+            return F.lit(None).cast("string")
+        return spelled(col(name), self.raw.get(name))
 
     @property
     def all(self) -> set[str]:
@@ -44,7 +53,23 @@ class Solutions:
 
     def only(self, names) -> "Solutions":
         names = [n for n in names if n in self.all]
-        return Solutions(self.df.select(*[col(n) for n in names]), self.certain & set(names), self.possible & set(names))
+        return Solutions(self.df.select(*[col(n) for n in names]), self.certain & set(names), self.possible & set(names), self.keys(names))
+
+    def keys(self, names) -> dict[str, str]:
+        return {n: self.raw[n] for n in names if n in self.raw}
+
+    def plain(self, names=None) -> "Solutions":
+        """With terms in place of bare keys (of ``names``, default all)."""
+        names = set(self.raw) if names is None else set(names) & set(self.raw)
+        if not names:
+            return self
+        df = self.df.withColumns({column_name(n): self.at(n) for n in names})
+        return Solutions(df, self.certain, self.possible, {n: t for n, t in self.raw.items() if n not in names})
+
+
+def spelled(c, before: str | None):
+    """Term of a column: as it is, or an IRI around a bare key."""
+    return c if before is None else F.concat(F.lit(before), c.cast("string"), F.lit(">"))
 
 
 def _conjuncts(e: tuple) -> list[tuple]:
@@ -58,6 +83,7 @@ class Compiler:
         self.spark, self.triples, self.quads, self.given = spark, triples, quads, given
         self.paths: dict = {}
         self.count = 0
+        self.mapping = getattr(triples, "mapping", None)
 
     # patterns
 
@@ -123,8 +149,22 @@ class Compiler:
         return self.paths[key]
 
     def path_pattern(self, s: tuple, path: tuple, o: tuple, graph) -> Solutions:
-        if graph and graph[0] == "var":
-            raise ValueError("paths need one named graph")
+        if graph and graph[0] == "var":  # each graph has its own nodes and paths
+            got, self.count = None, self.count + 1
+            for r in self.quads.select("g").where("g <> ''").distinct().limit(PATH_GRAPHS + 1).collect():
+                one = self.path_pattern(s, path, o, ("term", r[0]))
+                here = F.lit(r[0])
+                if graph[1] in one.all:
+                    one = Solutions(one.df.where(col(graph[1]) == here), one.certain, one.possible)
+                else:
+                    one = Solutions(one.df.withColumn(column_name(graph[1]), here), one.certain | {graph[1]}, one.possible)
+                got = [*(got or []), one]
+            if got is None:
+                names = variables((s, o, graph))
+                return Solutions(self.quads.limit(0).select(*[F.col("s").alias(column_name(n)) for n in sorted(names)]), names, set())
+            if len(got) > PATH_GRAPHS:
+                raise ValueError(f"paths in every graph of more than {PATH_GRAPHS} graphs: name the graph")
+            return self.union(got)
         pairs = None
         if path[0] in ("plus", "star") and (s[0] == "term" or o[0] == "term"):  # search from the constant end only
             back = s[0] != "term"
@@ -163,22 +203,77 @@ class Compiler:
                 out.append((s, p, o))
         return out
 
+    def star(self, s: tuple, pairs: list) -> Solutions | None:
+        """Patterns of one subject over mapped tables: one scan a table.  None where that isn't the same as joining triples."""
+        wanted = {p for p, _ in pairs}
+        near = [m for m in self.mapping if wanted & set(m.properties)]
+        if len(wanted) > 1 and not (all(m.unique for m in near) and len({m.kind for m in near}) == len(near)):
+            return None
+        parts = [x for m in near if wanted <= set(m.properties) and (x := self._rows(m, s, pairs)) is not None]
+        if not parts:
+            names = variables((s,)).union(*[variables((o,)) for _, o in pairs])
+            return Solutions(self.triples.limit(0).select(*[F.col("s").alias(column_name(n)) for n in sorted(names)]), names, set())
+        if len(parts) == 1:
+            return parts[0]
+        out = parts[0].plain()
+        for x in parts[1:]:
+            out = Solutions(out.df.union(x.plain().df.select(*out.df.columns)), out.certain, out.possible)
+        return out
+
+    def _rows(self, m, s: tuple, pairs: list) -> Solutions | None:
+        """Rows of one mapped table that match; None if a constant rules all of them out."""
+        df, found = m.df, {}
+        for x, node in [(s, m.subject), *[(o, m.properties[p]) for p, o in pairs]]:
+            if node.nullable:
+                df = df.where(node.present())
+            if x[0] == "term":
+                test = node.equals(x[1])
+                if test is None:
+                    return None
+                df = df.where(test)
+            elif x[1] in found:
+                other = found[x[1]]
+                if node.before == other.before is not None:
+                    df = df.where(node.bare() == other.bare())
+                else:
+                    df = df.where(node.term() == other.term())
+            else:
+                found[x[1]] = node
+        raw = {v: node.before for v, node in found.items() if node.before is not None}
+        return Solutions(df.select(*[(node.bare() if v in raw else node.term()).alias(column_name(v)) for v, node in found.items()]), set(found), set(), raw)
+
     def bgp(self, left: Solutions, triples: list, graph) -> Solutions:
-        """Joins patterns: the most selective first, then those connected with what is bound."""
-        todo = self.flatten(triples)
+        """Joins patterns, those of one subject first folded into one scan where tables are mapped: the most selective
+        first, then those connected with what is bound."""
+        todo: list[tuple[list, Solutions | None]] = []
+        stars: dict = {}
+        for t in self.flatten(triples):
+            if self.mapping and graph is None and t[1][0] == "term":
+                stars.setdefault(t[0], []).append(t)
+            else:
+                todo.append(([t], None))
+        for s, members in stars.items():
+            members = list(dict.fromkeys(members))
+            whole = self.star(s, [(p[1], o) for _, p, o in members])
+            if whole is not None:
+                todo.append((members, whole))
+            else:
+                todo += [([t], self.star(s, [(t[1][1], t[2])])) for t in members]
         bound = set(left.all)
 
-        def rank(t):
-            names = variables((t[0],)) | variables((t[1],)) | variables((t[2],))
+        def rank(item):
+            names = set().union(*[variables(t) for t in item[0]])
             linked = bool(names & bound) or not bound
-            constants = (t[0][0] == "term") * 4 + (t[2][0] == "term") * 3 + (t[1][0] == "term") * (1 if t[1][1:] == (TYPE,) and t[2][0] != "term" else 2)
-            return (linked, constants)
+            constants = [(t[0][0] == "term") * 4 + (t[2][0] == "term") * 3 + (t[1][0] == "term") * (1 if t[1][1:] == (TYPE,) and t[2][0] != "term" else 2) for t in item[0]]
+            return (linked, max(constants), sum(constants))
 
         out = left
         while todo:
             best = max(todo, key=rank)
             todo.remove(best)
-            one = self.scan(*best, graph) if best[1][0] in ("term", "var") else self.path_pattern(*best, graph)
+            (first, *_), one = best
+            if one is None:
+                one = self.scan(*first, graph) if first[1][0] in ("term", "var") else self.path_pattern(*first, graph)
             out = self.join(out, one)
             bound |= one.all
         return out
@@ -188,6 +283,8 @@ class Compiler:
         if not a.all and how == "inner" and not a.df.columns and self.given is None and condition is None and _is_unit(a):
             return b
         shared = sorted(a.all & b.all)
+        mixed = {n for n in shared if a.raw.get(n) != b.raw.get(n)}
+        a, b = a.plain(mixed), b.plain(mixed)
         plain = all(n in a.certain and n in b.certain for n in shared)
         if plain and condition is None and shared:
             kind = {"inner": "inner", "left": "left", "semi": "left_semi", "anti": "left_anti"}[how]
@@ -206,8 +303,8 @@ class Compiler:
 
             def at(name):
                 if name in b.all:
-                    r = F.col(f"`r_{column_name(name)}`")
-                    return F.coalesce(r, col(name)) if name in a.all else r
+                    r = spelled(F.col(f"`r_{column_name(name)}`"), b.raw.get(name))
+                    return F.coalesce(r, a.at(name)) if name in a.all else r
                 return a.at(name)
 
             if condition is not None:
@@ -217,9 +314,9 @@ class Compiler:
             if how in ("inner", "left"):
                 df = df.select(*[F.coalesce(col(n), F.col(f"`r_{column_name(n)}`")).alias(column_name(n)) if n in shared else col(n) for n in sorted(a.all)], *[F.col(f"`r_{column_name(n)}`").alias(column_name(n)) for n in sorted(b.all - a.all)])
         if how in ("semi", "anti"):
-            return Solutions(df, a.certain, a.possible)
+            return Solutions(df, a.certain, a.possible, a.raw)
         certain = a.certain | b.certain if how == "inner" else set(a.certain)
-        return Solutions(df, certain, (a.all | b.all) - certain)
+        return Solutions(df, certain, (a.all | b.all) - certain, b.raw | a.raw)
 
     def union(self, parts: list[Solutions]) -> Solutions:
         names = sorted(set().union(*[p.all for p in parts]))
@@ -257,12 +354,12 @@ class Compiler:
             other, condition = self.inner(group, sol, graph)
             shared = sol.all & (other.all | set())
             keep = shared | (variables(condition) & other.all if condition else set())
-            other = Solutions(other.df.select(*[col(n) for n in sorted(keep)]).distinct() if keep else other.df.limit(1), other.certain & keep, other.possible & keep)
+            other = Solutions(other.df.select(*[col(n) for n in sorted(keep)]).distinct() if keep else other.df.limit(1), other.certain & keep, other.possible & keep, other.keys(keep))
             return self.join(sol, other, "anti" if negated else "semi", condition)
         sol, e = self.flags(sol, e, graph)
         df = sol.df.where(as_bool(compile_expr(e, sol.at)))
         sure = {x[1] for c in _conjuncts(e) if c[0] == "call" and c[1] == "BOUND" for x in c[2]} & sol.possible
-        return Solutions(df, sol.certain | sure, sol.possible - sure)
+        return Solutions(df, sol.certain | sure, sol.possible - sure, sol.raw)
 
     def flags(self, sol: Solutions, e, graph):
         """Replaces EXISTS inside an expression by a flag column joined to the solutions."""
@@ -270,6 +367,7 @@ class Compiler:
             return sol, e
         if e[0] == "exists":
             other, condition = self.inner(e[1], sol, graph)
+            sol, other = sol.plain(), other.plain()
             if condition is not None or not (other.all & sol.all) <= (other.certain & sol.certain):
                 raise ValueError("EXISTS inside an expression must share bound variables only")
             self.count += 1
@@ -317,11 +415,11 @@ class Compiler:
                 shared = sorted(sol.all & other.all)
                 if shared:
                     other = other.only(shared)
-                    other = Solutions(other.df.distinct(), other.certain, other.possible)
+                    other = Solutions(other.df.distinct(), other.certain, other.possible, other.raw)
                     if set(shared) & sol.certain & other.certain:
                         sol = self.join(sol, other, "anti")
                     else:  # some shared variable must be bound on both sides
-                        bound = None
+                        bound, sol, other = None, sol.plain(shared), other.plain()
                         right = other.df.select(*[col(n).alias("r_" + column_name(n)) for n in shared])
                         on = F.lit(True)
                         for n in shared:
@@ -329,13 +427,13 @@ class Compiler:
                             on = on & ((x == y) | x.isNull() | y.isNull())
                             one = x.isNotNull() & y.isNotNull()
                             bound = one if bound is None else bound | one
-                        sol = Solutions(sol.df.join(right, on & bound, "left_anti"), sol.certain, sol.possible)
+                        sol = Solutions(sol.df.join(right, on & bound, "left_anti"), sol.certain, sol.possible, sol.raw)
             elif kind == "bind":
                 if e[2] in sol.all:
                     raise ValueError(f"?{e[2]} is bound already")
                 sol, expr = self.flags(sol, e[1], graph)
                 value = as_term(compile_expr(expr, sol.at))
-                sol = Solutions(sol.df.withColumn(column_name(e[2]), value), sol.certain, sol.possible | {e[2]})
+                sol = Solutions(sol.df.withColumn(column_name(e[2]), value), sol.certain, sol.possible | {e[2]}, sol.raw)
             elif kind == "values":
                 names = e[1]
                 schema = ", ".join(f"`{column_name(n)}` string" for n in names)
@@ -364,18 +462,21 @@ class Compiler:
         if inner is None:
             value = F.struct(*[col(n) for n in sorted(sol.all)]) if distinct else F.lit(1)
             got = F.count_distinct(value) if distinct else F.count(value)
-            return [got.cast("double")], lambda c: E("num", c[0], F.lit(True))
+            return [got], lambda c: E("num", c[0].cast("double"), F.lit(True), c[0].cast(terms.EXACT))
         x = compile_expr(inner, sol.at)
         if name == "COUNT":
-            v = as_term(x)
-            return [(F.count_distinct(v) if distinct else F.count(v)).cast("double")], lambda c: E("num", c[0], F.lit(True))
-        if name == "SUM":
-            n = as_num(x)
-            got = F.sum_distinct(n) if distinct else F.sum(n)
-            return [F.coalesce(got, F.lit(0.0)), F.coalesce(F.every(whole_of(x)), F.lit(True))], lambda c: E("num", c[0], c[1])
-        if name == "AVG":
-            n = as_num(x)
-            return [F.coalesce(F.avg(F.try_divide(n, F.lit(1))) if not distinct else F.try_divide(F.sum_distinct(n), F.count_distinct(n)), F.lit(0.0))], lambda c: E("num", c[0], F.lit(False))
+            v = col(inner[1]) if inner[0] == "var" and inner[1] in sol.raw else as_term(x)
+            return [F.count_distinct(v) if distinct else F.count(v)], lambda c: E("num", c[0].cast("double"), F.lit(True), c[0].cast(terms.EXACT))
+        if name in ("SUM", "AVG"):
+            n, m = as_num(x), as_exact(x)
+            total, exact = (F.sum_distinct(n), F.sum_distinct(m)) if distinct else (F.sum(n), F.try_sum(m))
+            many = F.count_distinct(n) if distinct else F.count(n)
+            # one value that is no integer or decimal makes the result a double
+            columns = [F.coalesce(total, F.lit(0.0)), F.coalesce(F.every(whole_of(x)), F.lit(True)), F.count(n) == F.count(m), F.coalesce(exact, F.lit(0)).try_cast(terms.EXACT), many]
+            if name == "SUM":
+                return columns, lambda c: E("num", c[0], c[1], F.when(c[2], c[3]))
+            mean = lambda c: math("/", E("num", c[0], F.lit(True), c[3]), E("num", c[4].cast("double"), F.lit(True), c[4].cast(terms.EXACT)))
+            return columns, lambda c: E("num", F.coalesce(mean(c).col, F.lit(0.0)), F.lit(False), F.when(c[2], F.coalesce(mean(c).exact, F.lit(0).cast(terms.EXACT))))
         if name in ("MIN", "MAX"):
             v = as_term(x)
             order = F.struct(*_order_key(v))
@@ -408,7 +509,7 @@ class Compiler:
             keys = []
             for n, e in q.group or []:
                 if e != ("var", n):
-                    sol = Solutions(sol.df.withColumn(column_name(n), as_term(compile_expr(e, sol.at))), sol.certain, sol.possible | {n})
+                    sol = Solutions(sol.df.withColumn(column_name(n), as_term(compile_expr(e, sol.at))), sol.certain, sol.possible | {n}, sol.keys(sol.all - {n}))
                 keys.append(n)
             columns, readers = [], []
             for k, e in enumerate(found):
@@ -417,7 +518,7 @@ class Compiler:
                 readers.append((len(cols), reader))
             grouped = sol.df.groupBy(*[col(n) for n in keys])
             df = grouped.agg(*columns) if columns else sol.df.select(*[col(n) for n in keys]).distinct()
-            sol = Solutions(df, sol.certain & set(keys), set(keys) - sol.certain)
+            sol = Solutions(df, sol.certain & set(keys), set(keys) - sol.certain, sol.keys(keys))
 
             def put(e):
                 if isinstance(e, list):
@@ -431,13 +532,13 @@ class Compiler:
 
             picks, having, order = [(n, put(e) if e is not None else None) for n, e in picks], [put(e) for e in having], [(put(e), d) for e, d in order]
             for e in having:
-                sol = Solutions(sol.df.where(as_bool(compile_expr(e, sol.at))), sol.certain, sol.possible)
+                sol = Solutions(sol.df.where(as_bool(compile_expr(e, sol.at))), sol.certain, sol.possible, sol.raw)
         for n, e in picks:
             if e is not None:
                 sol, e = self.flags(sol, e, graph)
                 value = compile_expr(e, sol.at)
                 counted = e[0] == "aggregate" and value.kind == "num"
-                sol = Solutions(sol.df.withColumn(column_name(n), as_term(value)), sol.certain | ({n} if counted else set()), sol.possible | (set() if counted else {n}))
+                sol = Solutions(sol.df.withColumn(column_name(n), as_term(value)), sol.certain | ({n} if counted else set()), sol.possible | (set() if counted else {n}), sol.keys(sol.all - {n}))
         names = [n for n, _ in picks] or sorted(n for n in sol.all if not n.startswith("."))
         df = sol.df
         keys = []
@@ -446,7 +547,7 @@ class Compiler:
             for j, key in enumerate(_order_key(as_term(value))):
                 df = df.withColumn(f"order{k}_{j}", key)
                 keys.append(F.col(f"order{k}_{j}").desc() if down else F.col(f"order{k}_{j}").asc())
-        shown = [sol.at(n).alias(column_name(n)) for n in names]
+        shown = [col(n) if n in sol.all else sol.at(n).alias(column_name(n)) for n in names]
         if q.distinct:
             extra = [F.min(c).alias(c) for c in df.columns if c.startswith("order")]
             df = df.select(*shown, *[F.col(c) for c in df.columns if c.startswith("order")])
@@ -459,13 +560,13 @@ class Compiler:
             df = df.offset(q.offset)
         if q.limit is not None:
             df = df.limit(q.limit)
-        return Solutions(df.select(*[col(n) for n in names]), sol.certain & set(names), set(names) - sol.certain)
+        return Solutions(df.select(*[col(n) for n in names]), sol.certain & set(names), set(names) - sol.certain, sol.keys(names))
 
     # forms
 
     def instantiate(self, sol: Solutions, template: list, quads: bool = False) -> DataFrame:
         """Triples (or quads) of a template over solutions, distinct; incomplete ones are left out."""
-        row = F.concat_ws("\u0001", *[F.coalesce(col(n), F.lit("")) for n in sorted(sol.all)]) if sol.all else F.lit("")
+        row = F.concat_ws("\u0001", *[F.coalesce(sol.at(n), F.lit("")) for n in sorted(sol.all)]) if sol.all else F.lit("")
         items = []
         for t in template:
             parts = []
@@ -487,9 +588,9 @@ def _is_unit(a: Solutions) -> bool:
 
 
 def _order_key(term) -> list:
-    """SPARQL order: unbound, blank nodes, IRIs, literals; numbers by value, others by text."""
+    """SPARQL order: unbound, blank nodes, IRIs, literals; numbers by value (exactly where doubles are equal), times as points in time, others by text."""
     kind = F.when(term.isNull(), 0).when(terms.is_blank(term), 1).when(terms.is_iri(term), 2).otherwise(3)
-    return [kind, F.coalesce(terms.num(term), F.lit(float("-inf"))), terms.lex(term)]
+    return [kind, F.coalesce(terms.num(term), F.lit(float("-inf"))), terms.exact(term), terms.instant(term), terms.lex(term)]
 
 
 def template_triples(template: list) -> list:

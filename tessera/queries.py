@@ -210,6 +210,34 @@ sparql("two_aggregates", ("customer", "supplier"), "SELECT ?n ?a ?b WHERE { { SE
 sparql("order_limit", ("orders",), "SELECT ?o ?t WHERE { ?o :total ?t } ORDER BY DESC(?t) ?o LIMIT 25", f"SELECT {O_} AS o, {n(CENTS.format('o_totalprice'))} AS t FROM orders ORDER BY round(o_totalprice * 100) DESC, {O_} LIMIT 25")
 sparql("order_offset", ("customer",), "SELECT ?x WHERE { ?c :name ?x } ORDER BY ?x OFFSET 100 LIMIT 50", f"SELECT {s('c_name')} AS x FROM customer ORDER BY c_name LIMIT 50 OFFSET 100")
 
+# exact numbers and points in time
+
+
+def _literals(spark, sf_dir, kind: str) -> DataFrame:
+    """(order, :is, literal) with numbers beyond double precision, decimals or zoned dateTimes made of each order."""
+    o = m.table(spark, sf_dir, "orders")
+    value = {
+        "big": terms.typed(F.lit(9007199254740992) + F.col("o_orderkey"), "integer"),
+        "tenths": terms.typed(F.concat(F.lit("0."), (F.col("o_orderkey") % 9 + 1).cast("string")), "decimal"),
+        "zoned": terms.typed(F.concat(F.date_format(F.date_add("o_orderdate", F.when(F.col("o_orderkey") % 2 == 1, 1).otherwise(0)), "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 2 == 1, "T01:30:00+02:00").otherwise("T23:00:00Z")), "dateTime"),
+    }[kind]
+    return o.select(entity("order", F.col("o_orderkey")).alias("s"), F.lit(prop("is")).alias("p"), value.alias("o")).union(o.select(entity("order", F.col("o_orderkey")), F.lit(prop("status")), terms.to_literal(F.col("o_orderstatus"))))
+
+
+def _of_literals(name: str, kind: str, text: str, sql: str):
+    @register(name, sql)
+    def run(spark, sf_dir):
+        return ask(spark, _literals(spark, sf_dir, kind), text)
+
+
+_of_literals("big_integers", "big", "SELECT ?o ?x WHERE { ?o :is ?n FILTER(?n > 9007199254740993 && ?n != 9007199254740997) BIND(?n * 3 - 1 AS ?x) }", f"SELECT {O_} AS o, {n('(9007199254740992::HUGEINT + o_orderkey) * 3 - 1')} AS x FROM orders WHERE o_orderkey > 1 AND o_orderkey <> 5")
+_of_literals("big_integer_sum", "big", "SELECT ?s (SUM(?n) AS ?t) (MAX(?n) AS ?hi) WHERE { ?o :is ?n ; :status ?s } GROUP BY ?s", f"SELECT {s('o_orderstatus')} AS s, {n('sum(9007199254740992::HUGEINT + o_orderkey)')} AS t, {n('max(9007199254740992::HUGEINT + o_orderkey)')} AS hi FROM orders GROUP BY o_orderstatus")
+_of_literals("decimal_sum", "tenths", "SELECT ?s (SUM(?n) AS ?t) WHERE { ?o :is ?n ; :status ?s } GROUP BY ?s", f"""SELECT {s('o_orderstatus')} AS s, '"' || (sum(o_orderkey % 9 + 1) // 10)::BIGINT || '.' || (sum(o_orderkey % 9 + 1) % 10)::BIGINT || '"^^<{XSD}decimal>' AS t FROM orders GROUP BY o_orderstatus""")
+_DAY = "CASE WHEN o_orderkey % 2 = 1 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END"
+_ZONED = f"""('"' || strftime({_DAY}, '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 1 THEN 'T01:30:00+02:00' ELSE 'T23:00:00Z' END || '"^^<{XSD}dateTime>')"""
+_of_literals("zoned_datetimes", "zoned", f'SELECT ?o ?z ?t WHERE {{ ?o :is ?n FILTER(?n > "1995-06-15T23:15:00Z"^^<{XSD}dateTime> && ?n <= "1996-06-15T23:15:00Z"^^<{XSD}dateTime>) BIND(TZ(?n) AS ?z) BIND(TIMEZONE(?n) AS ?t) }}', f"""SELECT {O_} AS o, CASE WHEN o_orderkey % 2 = 1 THEN '"+02:00"' ELSE '"Z"' END AS z, CASE WHEN o_orderkey % 2 = 1 THEN '"PT2H"' ELSE '"PT0S"' END || '^^<{XSD}dayTimeDuration>' AS t FROM orders, (SELECT o_orderkey AS k, o_orderdate::TIMESTAMP + CASE WHEN o_orderkey % 2 = 1 THEN INTERVAL '23 hours 30 minutes' ELSE INTERVAL '23 hours' END AS moment FROM orders) WHERE k = o_orderkey AND moment > TIMESTAMP '1995-06-15 23:15:00' AND moment <= TIMESTAMP '1996-06-15 23:15:00'""")
+_of_literals("zoned_order", "zoned", "SELECT ?o ?n WHERE { ?o :is ?n } ORDER BY DESC(?n) ?o LIMIT 40", f"SELECT {O_} AS o, {_ZONED} AS n FROM orders ORDER BY o_orderdate + CASE WHEN o_orderkey % 2 = 1 THEN INTERVAL '23 hours 30 minutes' ELSE INTERVAL '23 hours' END DESC, {O_} LIMIT 40")
+
 # paths
 
 sparql("path_sequence", ("orders", "customer", "nation"), "SELECT ?o ?r WHERE { ?o :placedBy/:inNation/:partOf ?r }", f"SELECT {O_} AS o, {e('region', 'n_regionkey')} AS r FROM orders JOIN customer ON o_custkey = c_custkey {_GEO}")

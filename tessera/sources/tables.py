@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import to_literal, typed
+from ..functions.terms import lexical, to_literal, typed
 from ..namespaces import DATA, TYPE
 
 
@@ -21,6 +23,88 @@ def value(c: Column, kind: str = "string") -> Column:
     return to_literal(c) if kind == "string" else typed(c, kind)
 
 
+class Node:
+    """Where a term of a mapped row comes from: any column expression that is a term."""
+
+    before: str | None = None  # text before the bare key of an IRI that is nothing but a key in brackets
+
+    def __init__(self, column: Column, nullable: bool = True):
+        self.column, self.nullable = column, nullable
+
+    def term(self) -> Column:
+        return self.column
+
+    def present(self) -> Column:
+        return self.column.isNotNull()
+
+    def equals(self, term: str) -> Column | None:
+        """Rows whose term is a constant; None if no row's can be."""
+        return self.term() == F.lit(term)
+
+
+class Fixed(Node):
+    """The same term in every row."""
+
+    def __init__(self, text: str):
+        super().__init__(F.lit(text), False)
+        self.text = text
+
+    def equals(self, term: str) -> Column | None:
+        return F.lit(True) if term == self.text else None
+
+
+class Key(Node):
+    """IRI of an entity by an integer column: joins and filters work on the bare integer, the scan prunes by it."""
+
+    def __init__(self, kind: str, name: str):
+        super().__init__(entity(kind, F.col(name)))
+        self.name, self.before = name, f"<{DATA}{kind}/"
+
+    def bare(self) -> Column:
+        return F.col(self.name).cast("bigint")
+
+    def present(self) -> Column:
+        return F.col(self.name).isNotNull()
+
+    def equals(self, term: str) -> Column | None:
+        key = term.removeprefix(self.before).removesuffix(">")
+        if not (term.startswith(self.before) and re.fullmatch("0|-?[1-9][0-9]{0,17}", key)):
+            return None
+        return F.col(self.name) == F.lit(int(key))
+
+
+class Text(Node):
+    """Plain literal of a string column: constants are compared with the bare text, so filters reach the scan."""
+
+    def __init__(self, name: str):
+        super().__init__(to_literal(F.col(name)))
+        self.name = name
+
+    def present(self) -> Column:
+        return F.col(self.name).isNotNull()
+
+    def equals(self, term: str) -> Column | None:
+        return F.col(self.name) == F.lit(lexical(term)) if re.fullmatch('"[^"\\\\]*"', term) else self.term() == F.lit(term)
+
+
+@dataclass
+class Mapping:
+    """A table as triples: its rows' subject and properties.  ``unique``: no two rows have one subject."""
+
+    df: DataFrame
+    kind: str
+    subject: Node
+    properties: dict[str, Node]
+    unique: bool = False
+
+
+def mapped(*mappings: Mapping) -> DataFrame:
+    """Triples of mapped tables; queries over the very DataFrame fold the patterns of one subject into one scan."""
+    out = reduce(DataFrame.union, [triples_of(m.df, m.subject.term(), [(p, o.term()) for p, o in m.properties.items()]) for m in mappings])
+    out.mapping = list(mappings)
+    return out
+
+
 def triples_of(df: DataFrame, subject: Column, properties: Iterable[tuple[str, Column]]) -> DataFrame:
     """(s, p, o) of each row and property; null subjects and objects give no triple.
 
