@@ -57,34 +57,47 @@ def similarity(a, b):
 def link(a: DataFrame, b: DataFrame, threshold: float = 0.9, most_rounds: int = 20) -> DataFrame:
     """(left, right, score): one-to-one links of entities that share a type.
 
-    Entities are blocked by type.  A type with one entity on each side links at 1.0.  Other pairs score by
-    name and label; mutual best pairs link, round by round, until no pair is left at the threshold.  Pairs still
-    open after ``most_rounds`` are linked in one pass, which gives the same links: best pairs first (ties to the
-    lesser left, then right name), each if both sides are free, one task a connected component.
+    A type with one entity on each side links at 1.0.  Other pairs score by
+    name and label; best pairs link first (ties to the lesser left, then right name), until no pair is left at the threshold.
+
+    Pairs of score 1 are found by equality and linked first; only entities that are still free are compared with one another
+    inside their types, lengths that rule a pair out before its edit distance is taken.
     """
-    left, right = (df.select("entity", F.explode("types").alias("type"), F.array_min("labels").alias("label")) for df in (a, b))
     name = lambda c: F.regexp_extract(c, "([^#/:]*)>$", 1)
-    pairs = left.select("type", F.col("entity").alias("left"), F.col("label").alias("ll")).join(right.select("type", F.col("entity").alias("right"), F.col("label").alias("rl")), "type")
-    alone = left.groupBy("type").agg(F.count("*").alias("nl")).join(right.groupBy("type").agg(F.count("*").alias("nr")), "type")
-    label_score = F.when((F.col("ll") == "None") | (F.col("rl") == "None"), None).otherwise(similarity(F.col("ll"), F.col("rl")))
-    own = similarity(name(F.col("left")), name(F.col("right")))
-    scored = pairs.join(alone, "type").withColumn("score", F.when((F.col("nl") == 1) & (F.col("nr") == 1), 1.0).otherwise(F.round(F.coalesce((own + label_score) / 2, own), 6)))
-    scored = scored.groupBy("left", "right").agg(F.max("score").alias("score")).where(F.col("score") >= threshold)
-    open_pairs = checkpoint(scored)
-    done = None
+    left, right = (df.select("entity", F.explode("types").alias("type"), F.array_min("labels").alias("label")).withColumn("name", name(F.col("entity"))) for df in (a, b))
+    alone = left.groupBy("type").agg(F.count("*").alias("n"), F.min("entity").alias("left")).where("n = 1").join(right.groupBy("type").agg(F.count("*").alias("m"), F.min("entity").alias("right")).where("m = 1"), "type")
+    l, r = left.alias("l"), right.alias("r")
+    nameless = (F.col("l.label") == "None") | (F.col("r.label") == "None")
+    equal = l.join(r, (F.col("l.type") == F.col("r.type")) & (F.col("l.name") == F.col("r.name")) & (nameless | (F.col("l.label") == F.col("r.label"))))
+    sure = alone.select("left", "right").union(equal.select("l.entity", "r.entity")).distinct().withColumn("score", F.lit(1.0))
+    first = _rounds(checkpoint(sure), most_rounds)
+    if threshold >= 1:
+        return first
+    free = lambda df, side: df.join(first.select(F.col(side).alias("entity")), "entity", "left_anti")
+    l, r = free(left, "left").alias("l"), free(right, "right").alias("r")
+    lengths = lambda x, y: F.when(F.greatest(F.length(x), F.length(y)) == 0, 1.0).otherwise(F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y)))
+    both = lambda how: F.when(nameless, how(F.col("l.name"), F.col("r.name"))).otherwise((how(F.col("l.name"), F.col("r.name")) + how(F.col("l.label"), F.col("r.label"))) / 2)
+    pairs = l.join(r, (F.col("l.type") == F.col("r.type")) & (both(lengths) >= threshold - 1e-6))
+    scored = pairs.select(F.col("l.entity").alias("left"), F.col("r.entity").alias("right"), F.round(both(similarity), 6).alias("score")).where(F.col("score") >= threshold).distinct()
+    return first.union(_rounds(checkpoint(scored), most_rounds))
+
+
+def _rounds(open_pairs: DataFrame, most_rounds: int) -> DataFrame:
+    """One-to-one links of scored pairs.
+
+    Mutual best pairs link, round by round; pairs still
+    open after ``most_rounds`` are linked in one pass, which gives the same links: best pairs first, each if both sides are free, one task a connected component.
+    """
+    done = open_pairs.limit(0)
     for _ in range(most_rounds):
         by_left = F.row_number().over(Window.partitionBy("left").orderBy(F.desc("score"), "right", "left"))
         by_right = F.row_number().over(Window.partitionBy("right").orderBy(F.desc("score"), "left", "right"))
         best = checkpoint(open_pairs.withColumn("a", by_left).withColumn("b", by_right).where("a = 1 and b = 1").select("left", "right", "score"))
         if best.isEmpty():
-            break
-        done = best if done is None else done.union(best)
+            return done
+        done = done.union(best)
         open_pairs = checkpoint(open_pairs.join(best.select("left"), "left", "left_anti").join(best.select("right"), "right", "left_anti"))
-    else:
-        if not open_pairs.isEmpty():
-            done = open_pairs.limit(0) if done is None else done
-            done = done.union(checkpoint(_greedy(open_pairs)))
-    return done if done is not None else scored.limit(0)
+    return done if open_pairs.isEmpty() else done.union(checkpoint(_greedy(open_pairs)))
 
 
 def _greedy(pairs: DataFrame) -> DataFrame:

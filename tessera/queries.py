@@ -282,13 +282,8 @@ def connected(spark, sf_dir):
     return components(rows.select(F.concat(F.lit("c"), "o_custkey").alias("s"), F.concat(F.lit("o"), "o_orderkey").alias("o")))
 
 
-@register("list_traversal", f"SELECT {e('order', 'o_orderkey')} AS o, {n('l_linenumber')} AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
+@register("list_traversal", f"SELECT {e('order', 'o_orderkey')} AS o, {n('l_linenumber')} AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def list_traversal(spark, sf_dir):
-    return _lists(spark, sf_dir, m.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"))
-
-
-@register("list_traversal_whole", f"SELECT {e('order', 'o_orderkey')} AS o, {n('l_linenumber')} AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
-def list_traversal_whole(spark, sf_dir):
     return _lists(spark, sf_dir, m.table(spark, sf_dir, "orders"))
 
 
@@ -686,13 +681,14 @@ def versions_as_of(spark, sf_dir):
 
 
 def _two(spark, sf_dir) -> tuple[Graph, Graph]:
-    """Customers of two namespaces' worth: even keys and, renamed with a suffix, all keys divisible by three."""
+    """All customers in two namespaces, their segments as types; in the second a tenth carry one more letter in their label."""
     t = m.table(spark, sf_dir, "customer")
-    side = lambda df, tail: m.triples_of(df, F.concat(F.lit(f"<{DATA}c/"), "c_custkey", F.lit(tail + ">")), [(TYPE, F.concat(F.lit(f"<{DATA}seg/"), "c_mktsegment", F.lit("-"), F.floor(F.col("c_custkey") / 7).cast("string"), F.lit(">"))), (LABEL, terms.to_literal(F.col("c_name")))])
-    return Graph(side(t.where("c_custkey % 2 = 0"), "")), Graph(side(t.where("c_custkey % 3 = 0"), "_b"))
+    label = {"c": F.col("c_name"), "d": F.when(F.col("c_custkey") % 10 == 3, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name"))}
+    side = lambda at: Graph(m.triples_of(t, F.concat(F.lit(f"<{DATA}{at}/"), "c_custkey", F.lit(">")), [(TYPE, F.concat(F.lit(f"<{DATA}seg/"), "c_mktsegment", F.lit(">"))), (LABEL, terms.to_literal(label[at]))]))
+    return side("c"), side("d")
 
 
-_SIDES = f"WITH a AS (SELECT '<{DATA}c/' || c_custkey || '>' AS entity, '<{DATA}seg/' || c_mktsegment || '-' || c_custkey // 7 || '>' AS type, c_name AS label, c_custkey AS k FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT '<{DATA}c/' || c_custkey || '_b>' AS entity, '<{DATA}seg/' || c_mktsegment || '-' || c_custkey // 7 || '>' AS type, c_name AS label, c_custkey AS k FROM customer WHERE c_custkey % 3 = 0)"
+_SIDES = f"WITH a AS (SELECT c_custkey AS k, '<{DATA}c/' || c_custkey || '>' AS entity, '<{DATA}d/' || c_custkey || '>' AS other, '<{DATA}seg/' || c_mktsegment || '>' AS type, c_name AS label FROM customer)"
 
 
 @register("features", f"{_SIDES} SELECT entity, type AS types, label AS labels FROM a")
@@ -700,13 +696,18 @@ def features(spark, sf_dir):
     return merge.features(_two(spark, sf_dir)[0].df, DATA).select("entity", F.array_join("types", "|").alias("types"), F.array_join("labels", "|").alias("labels"))
 
 
-@register("common_types", f"{_SIDES} SELECT type FROM a INTERSECT SELECT type FROM b")
+@register("flat_features", f"{_SIDES} SELECT entity, type, label FROM a")
+def flat_features(spark, sf_dir):
+    return merge.flat_features(merge.features(_two(spark, sf_dir)[0].df, DATA))
+
+
+@register("common_types", f"{_SIDES} SELECT DISTINCT type FROM a")
 def common_types(spark, sf_dir):
     a, b = _two(spark, sf_dir)
     return merge.common_types(a.df, b.df, DATA)
 
 
-@register("type_clusters", f"{_SIDES}, l AS (SELECT type, string_agg(entity, ' ' ORDER BY entity) AS x FROM a GROUP BY type), r AS (SELECT type, string_agg(entity, ' ' ORDER BY entity) AS y FROM b GROUP BY type) SELECT coalesce(l.type, r.type) AS type, coalesce(x, '') AS left_side, coalesce(y, '') AS right_side FROM l FULL JOIN r ON l.type = r.type")
+@register("type_clusters", f"{_SIDES} SELECT type, string_agg(entity, ' ' ORDER BY entity) AS left_side, string_agg(other, ' ' ORDER BY other) AS right_side FROM a GROUP BY type")
 def type_clusters(spark, sf_dir):
     a, b = _two(spark, sf_dir)
     return merge.clusters(merge.features(a.df, DATA), merge.features(b.df, DATA)).select("type", F.array_join("left", " ").alias("left_side"), F.array_join("right", " ").alias("right_side"))
@@ -719,43 +720,40 @@ def unify(spark, sf_dir):
     return merge.unify(m.triples(spark, sf_dir, "customer", only=("inNation",)), mapping)
 
 
-@register("link_alone", f"{_SIDES}, x AS (SELECT type, count(*) AS n, min(entity) AS l FROM a GROUP BY type), y AS (SELECT type, count(*) AS n, min(entity) AS r FROM b GROUP BY type) SELECT l AS \"left\", r AS \"right\", 1.0::DOUBLE AS score FROM x JOIN y USING (type) WHERE x.n = 1 AND y.n = 1")
-def link_alone(spark, sf_dir):
-    a, b = _two(spark, sf_dir)
-    return merge.link(merge.features(a.df, DATA), merge.features(b.df, DATA), threshold=1.0)
+#: Labels that differ link at the mean of an equal name and of a label with one letter more.
+_LINKS = f"{_SIDES} SELECT entity, other, CASE WHEN k % 10 = 3 THEN round((1 + length(label) / (length(label) + 1)) / 2, 6) ELSE 1.0 END::DOUBLE AS score FROM a"
 
 
-def _two_whole(spark, sf_dir) -> tuple[Graph, Graph]:
-    """All customers in two namespaces, their segments as types."""
+@register("link_alone", f'{_SIDES} SELECT entity AS "left", other AS "right", 1.0::DOUBLE AS score FROM a')
+def link_alone(spark, sf_dir):
+    """Types with one entity on either side link whatever their names: each customer is a type of its own."""
     t = m.table(spark, sf_dir, "customer")
-    side = lambda at: Graph(m.triples_of(t, F.concat(F.lit(f"<{DATA}{at}/"), "c_custkey", F.lit(">")), [(TYPE, F.concat(F.lit(f"<{DATA}seg/"), "c_mktsegment", F.lit(">"))), (LABEL, terms.to_literal(F.col("c_name")))]))
-    return side("c"), side("d")
+    side = lambda at: t.select(F.concat(F.lit(f"<{DATA}{at}/"), "c_custkey", F.lit(">")).alias("entity"), F.array(F.col("c_custkey").cast("string")).alias("types"), F.array(F.lit(at)).alias("labels"))
+    return merge.link(side("c"), side("d"), threshold=1.0)
 
 
-_WHOLE = f"WITH a AS (SELECT '<{DATA}c/' || c_custkey || '>' AS entity, '<{DATA}d/' || c_custkey || '>' AS other, '<{DATA}seg/' || c_mktsegment || '>' AS type, c_name AS label FROM customer)"
-
-
-@register("features_whole", f"{_WHOLE} SELECT entity, type AS types, label AS labels FROM a")
-def features_whole(spark, sf_dir):
-    return merge.features(_two_whole(spark, sf_dir)[0].df, DATA).select("entity", F.array_join("types", "|").alias("types"), F.array_join("labels", "|").alias("labels"))
+@register("link_scored", f'WITH l AS ({_LINKS}) SELECT entity AS "left", other AS "right", score FROM l')
+def link_scored(spark, sf_dir):
+    a, b = _two(spark, sf_dir)
+    return merge.link(merge.features(a.df, DATA), merge.features(b.df, DATA))
 
 
-@register("common_types_whole", f"{_WHOLE} SELECT DISTINCT type FROM a")
-def common_types_whole(spark, sf_dir):
-    a, b = _two_whole(spark, sf_dir)
-    return merge.common_types(a.df, b.df, DATA)
+@register("merge_graphs", f"""{_SIDES} SELECT entity AS s, '{TYPE}' AS p, type AS o FROM a UNION SELECT entity, '{LABEL}', '"' || label || '"' FROM a UNION SELECT entity, '{LABEL}', '"' || label || 'x"' FROM a WHERE k % 10 = 3""")
+def merged(spark, sf_dir):
+    a, b = _two(spark, sf_dir)
+    return merge.merge_graphs(a, b, DATA).df
 
 
-@register("type_clusters_whole", f"{_WHOLE} SELECT type, string_agg(entity, ' ' ORDER BY entity) AS left_side, string_agg(other, ' ' ORDER BY other) AS right_side FROM a GROUP BY type")
-def type_clusters_whole(spark, sf_dir):
-    a, b = _two_whole(spark, sf_dir)
-    return merge.clusters(merge.features(a.df, DATA), merge.features(b.df, DATA)).select("type", F.array_join("left", " ").alias("left_side"), F.array_join("right", " ").alias("right_side"))
+@register("merge_known_links", f"""{_SIDES} SELECT entity AS s, '{TYPE}' AS p, type AS o FROM a UNION SELECT entity, '{LABEL}', '"' || label || '"' FROM a UNION SELECT entity, '{LABEL}', '"' || label || 'x"' FROM a WHERE k % 10 = 3""")
+def merged_by_links(spark, sf_dir):
+    a, b = _two(spark, sf_dir)
+    links = m.table(spark, sf_dir, "customer").select(F.concat(F.lit(f"<{DATA}c/"), "c_custkey", F.lit(">")).alias("left"), F.concat(F.lit(f"<{DATA}d/"), "c_custkey", F.lit(">")).alias("right"))
+    return merge.merge_graphs(a, b, DATA, links=links).df
 
 
-@register("link_whole", f'{_WHOLE} SELECT entity AS "left", other AS "right", 1.0::DOUBLE AS score FROM a')
-def link_whole(spark, sf_dir):
-    a, b = _two_whole(spark, sf_dir)
-    return merge.link(merge.features(a.df, DATA), merge.features(b.df, DATA))
+@register("unify_entities", f"SELECT {e('customer', 'c_custkey')} AS s, '{prop('inNation')}' AS p, CASE WHEN c_nationkey = 3 THEN {e('nation', '4')} ELSE {e('nation', 'c_nationkey')} END AS o FROM customer")
+def unify_entities(spark, sf_dir):
+    return merge.unify_entities(Graph(m.triples(spark, sf_dir, "customer", only=("inNation",))), f"<{DATA}nation/4>", f"<{DATA}nation/3>").df
 
 
 def _site(spark, sf_dir) -> DataFrame:
