@@ -20,6 +20,9 @@ from .plans.compile import run_query
 from .sources import rdf
 
 HERE = os.path.dirname(__file__)
+NEWEST = "1.0"
+#: Name under which a collection keeps the bundled vocabulary.
+VOCABULARY = "<urn:tessera:building>"
 
 
 def as_term(x) -> str:
@@ -122,9 +125,21 @@ class Graph:
         return out
 
     @classmethod
-    def building(cls, spark: SparkSession) -> "Graph":
-        """The bundled example vocabulary: a class tree with tags, equivalents and inverses."""
-        return cls.load(spark, os.path.join(HERE, "data", "building.ttl"))
+    def building(cls, spark: SparkSession, version: str | None = None, source: str | None = None) -> "Graph":
+        """The bundled example vocabulary (a class tree with tags, equivalents and inverses) in a version, or one from ``source``.
+
+        ``source``: a path or URL that Spark's file systems read; the newest is what stands there.
+        """
+        if source is None and version not in (None, *Graph.versions()):
+            raise ValueError(f"no version {version}: {', '.join(Graph.versions())}")
+        tail = "" if version in (None, NEWEST) else f"-{version}"
+        return cls.load(spark, source or os.path.join(HERE, "data", f"building{tail}.ttl"))
+
+    @staticmethod
+    def versions() -> list[str]:
+        """Versions of the vocabulary that are bundled, the newest last."""
+        old = glob.glob(os.path.join(HERE, "data", "building-*.ttl"))
+        return sorted(os.path.basename(p)[len("building-") : -len(".ttl")] for p in old) + [NEWEST]
 
     @staticmethod
     def extensions(folder: str = os.path.join(HERE, "data", "extensions")) -> list[str]:
@@ -133,6 +148,14 @@ class Graph:
     def load_extension(self, name: str, folder: str = os.path.join(HERE, "data", "extensions")) -> "Graph":
         return self.load_file(os.path.join(folder, name + ".ttl"))
 
+    @staticmethod
+    def alignments(folder: str = os.path.join(HERE, "data", "alignments")) -> list[str]:
+        """Names of the alignments with other vocabularies that can be loaded."""
+        return Graph.extensions(folder)
+
+    def load_alignment(self, name: str, folder: str = os.path.join(HERE, "data", "alignments")) -> "Graph":
+        return self.load_extension(name, folder)
+
     # algebra
 
     def add(self, *triples) -> "Graph":
@@ -269,6 +292,18 @@ class GraphCollection:
     def empty(cls, spark: SparkSession) -> "GraphCollection":
         return cls(spark.createDataFrame([], QUAD))
 
+    @classmethod
+    def building(cls, spark: SparkSession, version: str | None = None) -> "GraphCollection":
+        """A collection that holds the vocabulary under its fixed name."""
+        return cls.empty(spark).add_graph(VOCABULARY, Graph.building(spark, version))
+
+    def load_alignment(self, name: str) -> "GraphCollection":
+        """With an alignment as a graph of its own."""
+        return self.add_graph(f"<urn:tessera:alignment/{name}>", Graph.empty(self.spark).load_alignment(name))
+
+    def load_extension(self, name: str) -> "GraphCollection":
+        return self.add_graph(f"<urn:tessera:extension/{name}>", Graph.empty(self.spark).load_extension(name))
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "GraphCollection":
         return cls(spark.read.parquet(path))

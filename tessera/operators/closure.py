@@ -11,7 +11,7 @@ import tempfile
 from collections import defaultdict
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DRIVER_EDGES = 20_000
@@ -19,19 +19,27 @@ DRIVER_PAIRS = 400_000
 MOST_PARTS = 24
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Evaluate once and cut the lineage, in ``spark.checkpoint.dir``.
+def shared(spark: SparkSession) -> str:
+    """Folder that all executors see: ``spark.checkpoint.dir``.
 
     Where the setting is absent a folder of this machine serves on a local master; a cluster raises.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
-            shared = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        context.setCheckpointDir(shared)
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Evaluate once and cut the lineage, in the shared folder."""
+    shared(df.sparkSession)
     # strings are computed anew: otherwise constant columns carry constraints on attributes that are gone, which later unions trip over
     fresh = [F.concat(F.col(f"`{c}`"), F.lit("")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes]
     return df.select(*fresh).checkpoint(eager=True)

@@ -10,20 +10,36 @@ from ..namespaces import EQUIPMENT, HAS_ASSOCIATED_TAG, HAS_TAG, POINT, SUBCLASS
 from .closure import transitive
 
 GENERIC = ["Point", "Equipment", "Location"]
-#: Device-model markers and the tags they stand for.
-TAG_MAP = {
-    "ahu": ["AHU"], "air": ["Air"], "cmd": ["Command"], "cool": ["Cool"], "cooling": ["Cool"], "damper": ["Damper"], "discharge": ["Discharge", "Supply"],
-    "elec": ["Electrical"], "equip": ["Equipment"], "exhaust": ["Exhaust"], "fan": ["Fan"], "flow": ["Flow"], "heat": ["Heat"], "heating": ["Heat"],
-    "humidity": ["Humidity"], "outside": ["Outside"], "point": ["Point"], "pressure": ["Pressure"], "return": ["Return"], "sensor": ["Sensor"],
-    "sp": ["Setpoint"], "temp": ["Temperature"], "valve": ["Valve"], "water": ["Water"], "zone": ["Zone"],
+#: Tags of the vocabulary and the device-model markers (in lower case) that stand for them.
+_MARKERS = {
+    "AHU": "ahu airhandlingequip", "Air": "air", "Average": "avg", "CO": "co", "CO2": "co2", "Chiller": "chillermechanismtype", "Command": "cmd", "Compressor": "rotaryscrew",
+    "Condenser": "condenserlooptype", "Cool": "cool cooling coolingonly", "Cool Coil Equipment": "coolingcoil", "Cool Tower Equipment": "coolingtower", "Damper": "damper",
+    "Differential": "delta", "Discharge Supply": "discharge", "Economizer": "economizing", "Electrical": "elec", "Equipment": "device equip", "Evaporative": "evaporator",
+    "Exhaust": "exhaust", "FCU": "fcu", "Fan": "fan", "Flow": "flow", "Frequency": "freq", "Fuel Oil": "fueloil", "Fume Hood": "fumehood", "HVAC": "hvac",
+    "Heat": "elecheat fueloilheating heat heating steamheating", "Heat Coil Equipment": "heatingcoil", "Heat Exchanger Equipment": "heatexchanger heatpump", "Heat Wheel": "heatwheel",
+    "Humidity": "humidity", "Lighting": "lights lightsgroup", "Lighting Equipment": "lighting", "Luminance": "luminous", "Meter Equipment": "meterscopetype sitemeter submeter",
+    "Mixed": "mixing", "Natural Gas": "naturalgas", "Occupied": "occ", "Outside": "outside", "Point": "point", "Power": "apparent", "Pressure": "atmospheric barometric pressure",
+    "RTU": "rtu", "Rain": "precipitation", "Real": "active", "Return": "return", "Rooftop": "roof rooftop", "Sensor": "sensor", "Setpoint": "sp", "Status": "state",
+    "Temperature": "temp", "Terminal Unit": "airterminalunit", "Unoccupied": "unocc", "VAV": "variableairvolume vav", "Valve": "valve", "Voltage": "volt", "Water": "water", "Zone": "zone",
 }
+TAG_MAP = {marker: tags.split() for tags, markers in _MARKERS.items() for marker in markers.split()}
+#: Abbreviations in point names and the words they stand for.
 ABBREVIATIONS = {
-    "ahu": ["AHU"], "chw": ["Chilled", "Water"], "cmd": ["Command"], "co2": ["CO2"], "da": ["Discharge", "Air"], "ea": ["Exhaust", "Air"], "hum": ["Humidity"],
-    "hw": ["Hot", "Water"], "ma": ["Mixed", "Air"], "oa": ["Outside", "Air"], "ra": ["Return", "Air"], "sa": ["Supply", "Air"], "sp": ["Setpoint"], "sts": ["Status"],
-    "tmp": ["Temperature"], "vav": ["VAV"], "vlv": ["Valve"], "zn": ["Zone"],
+    k: v.split()
+    for k, v in {
+        "ahu": "AHU", "chw": "Chilled Water", "chwst": "Chilled Water Supply Temperature", "cmd": "Command", "co2": "CO2", "da": "Discharge Air", "dpr": "Damper", "ea": "Exhaust Air",
+        "hum": "Humidity", "hw": "Hot Water", "ma": "Mixed Air", "oa": "Outside Air", "occ": "Occupied", "pres": "Pressure", "ra": "Return Air", "sa": "Supply Air", "sp": "Setpoint", "sts": "Status",
+        "tmp": "Temperature", "vav": "VAV", "vfd": "VFD", "vlv": "Valve", "zn": "Zone", "znt": "Zone Temperature",
+    }.items()
 }
 
 
+def abbreviated(names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
+    """(id, tags): words of point names, split at anything but letters and digits and spelled out where they are abbreviations."""
+    words = F.filter(F.split(F.col(name_col), "[^A-Za-z0-9]+"), lambda x: x != "")
+    return translate(names.select(id_col, words.alias("tags")), ABBREVIATIONS, id_col)
+
+
 def tag_case(tags):
     """Each tag with its first letter in upper case."""
     return F.transform(tags, lambda x: F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2), F.length(x))))

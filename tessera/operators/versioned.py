@@ -59,6 +59,12 @@ def versions_before(log: DataFrame, times: DataFrame) -> DataFrame:
     return both.withColumn("before", before).where("kind = 0").select("key", F.col("t").alias("ts"), "before")
 
 
+def point_in_time(ts) -> str:
+    """A date and time (also as text) in UTC, without a zone, so that texts sort as times; what has no zone is UTC."""
+    at = ts if isinstance(ts, datetime) else datetime.fromisoformat(str(ts))
+    return (at if at.tzinfo is None else at.astimezone(timezone.utc).replace(tzinfo=None)).isoformat()
+
+
 class Changeset:
     """Additions and removals being gathered for one commit."""
 
@@ -94,21 +100,27 @@ class VersionedGraphs:
             base.select(*KEY).write.mode("overwrite").parquet(f"{self.path}/base")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        from pyspark.errors import AnalysisException
+        
+        for place in (f"{self.path}/{name}", f"{self.path}/{name}.old"):  # the second only between two steps of a replacement
+            where, fs = self._place(place)
+            if fs.exists(where):
+                return self.spark.read.schema(schema).parquet(place)
+        return self.spark.createDataFrame([], schema)
 
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+    def _place(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def _replace(self, name: str, df: DataFrame) -> None:
-        """Writes beside the old table and swaps, since a table can't be overwritten while it is read."""
-        place = f"{self.path}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(place)
-        self.spark.read.parquet(place).write.mode("overwrite").parquet(f"{self.path}/{name}")
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(place)
-        target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        """Writes the new table beside the old one, then swaps them by renaming; one of both is whole at any time."""
+        new, old = f"{self.path}/{name}-{uuid.uuid4().hex}", f"{self.path}/{name}.old"
+        df.write.parquet(new)
+        target, fs = self._place(f"{self.path}/{name}")
+        if fs.exists(target):
+            fs.delete(self._place(old)[0], True)
+            fs.rename(target, self._place(old)[0])
+        fs.rename(self._place(new)[0], target)
+        fs.delete(self._place(old)[0], True)
 
     @property
     def log(self) -> DataFrame:
@@ -131,7 +143,7 @@ class VersionedGraphs:
         return self.collection().graph(graph)
 
     def graph_at(self, timestamp=None, graph: str | None = None) -> Graph:
-        df = self.current(timestamp)
+        df = self.current(None if timestamp is None else point_in_time(timestamp))
         if graph is not None:
             df = df.where(F.col("g") == as_term(graph))
         return Graph(df.select("s", "p", "o").distinct(), self.prefixes)
@@ -143,7 +155,7 @@ class VersionedGraphs:
         return latest_version(self.log)
 
     def version_before(self, timestamp) -> DataFrame:
-        return version_before(self.log, timestamp)
+        return version_before(self.log, point_in_time(timestamp))
 
     def add_precommit_hook(self, hook) -> None:
         """``hook(collection)`` runs before a change is applied; a function of the same name replaces it."""
@@ -161,7 +173,7 @@ class VersionedGraphs:
         self.prefixes |= changes.prefixes
         for hook in self.before_commit.values():
             hook(self.collection())
-        stamp = ts or datetime.now(timezone.utc).isoformat()
+        stamp = point_in_time(ts or datetime.now(timezone.utc))
         now = self.current()
         rows = lambda xs: self.spark.createDataFrame([(name, *x) for x in xs], QUAD).distinct()
         added, removed = rows(changes.added), rows(changes.removed)

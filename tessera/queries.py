@@ -810,3 +810,5 @@ def json_results(spark, sf_dir):
 
 
 FLAGSHIP = "bgp_chain"
+
+from . import more_queries  # noqa: E402, F401  registers its queries too
