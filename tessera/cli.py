@@ -7,9 +7,10 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
-from .graph import Graph
+from .graph import HERE, Graph
 from .operators import etl
 from .sources.tables import read_table
 
@@ -33,7 +34,7 @@ def validate_command(a) -> int:
         graph = graph + Graph.building(spark)
     if a.meta:
         for k, g in enumerate(shapes):
-            ok, _, text = g.validate([Graph.empty(spark).load_extension("shape_rules")])
+            ok, _, text = g.validate([Graph.load(spark, os.path.join(HERE, "data", "shape_rules.ttl"))])
             if not ok:
                 print(f"shapes graph {k + 1} is malformed\n{text}")
                 return 255
