@@ -9,7 +9,8 @@ of a text is a window of as many positions as the longest piece and the backpoin
 * Merge-based models (``Codec``): scores are merge ranks, not weights, and the best sum is not what the model means.  The segmentation of
   every prefix is unique, and a sequence of pieces is the model's own exactly if each adjacent pair is what the merge procedure makes of
   the pair's concatenation; so each position carries the one backpointer that holds.  Two facts make this fast: no piece has a word-start mark after another character, so every such
-  mark is a boundary where all paths meet, and the ids of recurring stretches between marks are memoised.
+  mark is a boundary where all paths meet, as is any border of letters and other characters that no piece spells; the ids of recurring
+  stretches between boundaries are memoised, and so is the lattice over their first characters.
 
 Texts are normalised as the model file says: character map, squeezed white space, leading mark.
 
@@ -38,6 +39,7 @@ from .common import without
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MEMO = 700_000  # stretches of text whose ids a worker remembers
+HEAD, HEADS = 6, 200_000  # first characters of a stretch, and how many of them a worker remembers the lattice of
 
 
 def _fields(buf: bytes):
@@ -151,21 +153,26 @@ class Codec:
             raise ValueError("a piece runs over a word start")
         self._ids(pieces)
         self.memo: dict[str, bytes] = {}
-        self.pair_ok: dict[tuple[str, str], bool] = {}
+        self.heads: dict[str, bytes] = {}
         self.order = {p: k for k, p in enumerate(sorted(self.rank, key=lambda p: (-self.rank[p][0], self.rank[p][1])))}
         self.edges: tuple[dict, dict] = ({}, {})
         for p in [p for p in self.rank if len(p) > 1 and set(p) != {MARK} and self.merged(p) != [p]]:
             self.rank.pop(p)  # no merge ever makes it
-        # where letters and other characters share no piece, all paths meet between them too
-        self.stretch = WORDS if any(re.search(f"[^\\W_](?:[^\\w{MARK}]|_)|(?:[^\\w{MARK}]|_)[^\\W_]", p) for p in self.order) else CLASSES
+        # between letters and other characters all paths meet too, but within the pairs that some piece spells
+        self.stretch = _stretches({x for p in self.order for x in MIXED.findall(p)})
+        # lengths, longest first, of the pieces that a text ends with, by its last four, three or two characters
         tails: dict[str, set[int]] = {}
         for p in self.rank:
-            if len(p) > 1:
-                tails.setdefault(p[-2:], {1}).add(len(p))
-        self.tails = {k: sorted(v, reverse=True) for k, v in tails.items()}
-        for k, v in self.tails.items():
-            if 2 in v and k not in self.rank:
-                v.remove(2)
+            for size in (4, 3, 2):
+                if len(p) == size or (size == 4 and len(p) > 4):
+                    tails.setdefault(p[-size:], set()).add(len(p))
+        self.tails = {k: tuple(sorted(v.union(*[tails.get(k[-n:], ()) for n in range(2, len(k))]), reverse=True)) for k, v in tails.items()}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty memo of pairs: for each piece, which pieces it may follow."""
+        self.pair_ok: dict[str, dict[str, bool]] = {p: {} for p in self.rank if len(p) > 1}
+        self.pairs = 0
 
     def _ids(self, pieces: list[tuple[str, float, int]]) -> None:
         """Tables of ids and of what ids decode to."""
@@ -224,7 +231,7 @@ class Codec:
         Goes back in time through the states of the two pieces' facing edges; while two edges coexist, a
         merge of them would have to come no earlier than the merge that ends that state.
         """
-        ok = self.pair_ok.get((left, right))
+        ok = self.pair_ok.setdefault(right, {}).get(left)
         if ok is not None:
             return ok
         if left[-1] == MARK or right[:2] == MARK * 2:  # these pieces' scores tie
@@ -245,28 +252,37 @@ class Codec:
                 else:
                     limit = heads[j][0] + 0.5  # a merge further left goes first among equals
                     j += 1
-        if len(self.pair_ok) > MEMO:
-            self.pair_ok.clear()
-        self.pair_ok[left, right] = ok
+        if self.pairs > MEMO:
+            self._forget()
+        self.pair_ok.setdefault(right, {})[left] = ok
+        self.pairs += 1
         return ok
 
     def _whole(self, text: str) -> list[str]:
         """The lattice for a text no longer than the window, where nothing need be committed early."""
         tails, known, fits = self.tails, self.pair_ok, self._fits
-        last: list[str] = [""]
-        for end in range(1, len(text) + 1):
-            for size in tails.get(text[end - 2 : end], ONE) if end > 1 else ONE:
-                if size <= end:
-                    piece = text[end - size : end]
-                    if size > 2 and piece not in self.rank:
-                        continue
-                    if size == end:
-                        break
-                    before = last[end - size]
-                    ok = known.get((before, piece))
-                    if fits(before, piece) if ok is None else ok:
-                        break
+        head = text[:HEAD] if len(text) > HEAD else ""
+        sizes = self.heads.get(head, ONE) if head else ONE  # what prefixes end with depends on them alone
+        last: list[str] = ["", *[text[end - size : end] for end, size in enumerate(sizes, 1)]]
+        for end in range(len(last), len(text) + 1):
+            for size in (end > 3 and tails.get(text[end - 4 : end])) or (end > 2 and tails.get(text[end - 3 : end])) or tails.get(text[end - 2 : end], ()):
+                if size > end:
+                    continue
+                piece = text[end - size : end]
+                before = known.get(piece)
+                if before is None:
+                    continue
+                if size == end:
+                    break
+                left = last[end - size]
+                ok = before.get(left)
+                if fits(left, piece) if ok is None else ok:
+                    break
+            else:
+                piece = text[end - 1]  # no longer piece holds, so this one does
             last.append(piece)
+        if head and sizes is ONE and len(self.heads) < HEADS:
+            self.heads[head] = bytes(map(len, last[1 : HEAD + 1]))
         out, at = [], len(text)
         while at:
             out.append(last[at])
@@ -445,9 +461,20 @@ class Scored(Codec):
 
 
 codecs.register_error("one-each", lambda e: ("�" * (e.end - e.start), e.end))
-ONE = (1,)
+ONE = b"\1"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CLASSES = re.compile(f"{MARK}*[^\\W_]+|{MARK}*(?:[^\\w{MARK}]|_)+|{MARK}+")
+OTHER = f"(?:[^\\w{MARK}]|_)"
+MIXED = re.compile(f"(?=([^\\W_]{OTHER}|{OTHER}[^\\W_]))")
+PAIRS = 16  # pairs that the expression below looks for; models with more are cut at marks alone
+
+
+def _stretches(mixed: set[str]) -> re.Pattern:
+    """Finds the stretches of a text over whose ends no piece runs, if ``mixed`` has all pairs of a letter and another character in pieces."""
+    if len(mixed) > PAIRS:
+        return WORDS
+    run = f"(?:[^\\W_]+|{OTHER}+)"
+    held = "|".join(f"(?<={re.escape(a)})(?={re.escape(b)})" for a, b in sorted(mixed))
+    return re.compile(f"{MARK}*{run}" + (f"(?:(?:{held}){run})*" if held else "") + f"|{MARK}+")
 
 
 @lru_cache(maxsize=4)

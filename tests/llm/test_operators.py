@@ -67,6 +67,17 @@ def test_pieces_of_hard_texts():
         assert model.decode(model.encode(t)) == t
 
 
+def test_pieces_remember_words_without_their_punctuation():
+    import sentencepiece
+
+    library, model = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL), sp_codec.Codec(PIECE_MODEL)
+    assert model.stretch.findall("▁the.\nAnd▁m²._x") == ["▁the", ".\n", "And", "▁m²._", "x"]  # one piece spells "²."
+    words = ["".join(random.Random(k).choices("thenadorsí", k=9)) for k in range(50)]
+    texts = [" ".join(w + end for w in words) for end in ("", ".", ",", "!!", ".\nOn", "².", "²_")]
+    assert [model.encode(t) for t in texts] == [library.encode(t) for t in texts]
+    assert len(model.memo) <= 3 * len(words) + 20  # with marks at both ends alone: 7 a word
+
+
 def test_viterbi_commits_early():
     model = sp_codec.codec(PIECE_MODEL)
     text = sp_codec.MARK + "ab" * 5000
