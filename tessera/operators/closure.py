@@ -1,8 +1,9 @@
 """Transitive closures and connected components of edge DataFrames.
 
-Closures double path lengths each round (new pairs joined with all pairs so far), so chains of n edges take
-log n rounds; a round writes only its new pairs, and rounds go on until there are none.  Lineage is cut by reliable checkpoints.  Small inputs, checked by size, are closed on the
-driver instead, which saves the rounds' start-up.
+Closures double path lengths each round, so chains of n edges take log n rounds.  Nodes that reach each other are
+first made one node and spelled out at the end, so what they reach is found once for all of them.  Where a node has one
+way on, steps of 1, 2, 4, ... edges are kept and each pair is made once.  Lineage is cut by reliable checkpoints.
+Small inputs, checked by size, are closed on the driver instead, which saves the rounds' start-up.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 DRIVER_EDGES = 20_000
 DRIVER_PAIRS = 400_000
 MOST_PARTS = 24
+#: A node that so many edges end in is kept out of the rounds if none leaves it.
+HOT = 10_000
+#: Members of a group that one task pairs with all members.
+PAIRED = 1_000
 
 
 def shared(spark: SparkSession) -> str:
@@ -79,8 +84,11 @@ def reach(edges: list[tuple[str, str]], most: int = DRIVER_PAIRS, starts: list[s
     return out
 
 
-def transitive(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
-    """Distinct (s, o) pairs joined by one edge or more; ``edges`` has the columns s and o, cycles are fine."""
+def transitive(edges: DataFrame, driver_edges: int = DRIVER_EDGES, starts: DataFrame | None = None) -> DataFrame:
+    """Distinct (s, o) pairs joined by one edge or more; ``edges`` has the columns s and o, cycles are fine.
+
+    ``starts`` (s): the nodes asked for; pairs from others may be left out.
+    """
     spark = edges.sparkSession
     edges = edges.select("s", "o")
     few = edges.limit(driver_edges + 1).collect()
@@ -88,14 +96,115 @@ def transitive(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
         pairs = reach([tuple(r) for r in few])
         if pairs is not None:
             return spark.createDataFrame(pairs, "s string, o string")
-    delta = checkpoint(edges.distinct())
-    known = Grown(delta)
+    edges = checkpoint(distinct(edges))
+    rest, groups = edges.where("s <> o"), None
+    circles = checkpoint(rest.alias("a").join(rest.alias("b"), (F.col("a.s") == F.col("b.o")) & (F.col("a.o") == F.col("b.s")) & (F.col("a.s") < F.col("a.o"))).select("a.s", "a.o"))
+    while True:
+        if not circles.isEmpty():
+            new = checkpoint(components(circles))
+            groups = new if groups is None else checkpoint(regrouped(groups, new))
+            rest = checkpoint(distinct(_moved(rest, new).where("s <> o")))
+        pairs, circles = _paths(rest, starts if groups is None else None)
+        if pairs is not None:
+            break
+    alone = edges.where("s = o")
+    if groups is None:
+        return pairs.union(alone)
+    a, b = groups.select(F.col("root").alias("s"), F.col("node").alias("s2")), groups.select(F.col("root").alias("o"), F.col("node").alias("o2"))
+    between = pairs.join(a, "s", "left").join(b, "o", "left").select(F.coalesce("s2", "s").alias("s"), F.coalesce("o2", "o").alias("o"))
+    return between.union(products(groups)).union(alone.join(groups.select(F.col("node").alias("s")), "s", "left_anti"))
+
+
+def distinct(df: DataFrame) -> DataFrame:
+    """Distinct rows, for data with few repeats: rows move first, so no task holds all rows of a file in a hash table."""
+    return df.repartition(*df.columns).distinct()
+
+
+def regrouped(groups: DataFrame, new: DataFrame) -> DataFrame:
+    """(node, root) after the roots of ``groups`` were grouped once more."""
+    moved = groups.join(new.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left").select("node", F.coalesce("r2", "root").alias("root"))
+    return moved.union(new.join(groups, "node", "left_anti").select("node", "root"))
+
+
+def _moved(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges between roots."""
+    a, b = groups.select(F.col("node").alias("s"), F.col("root").alias("s2")), groups.select(F.col("node").alias("o"), F.col("root").alias("o2"))
+    return edges.join(a, "s", "left").join(b, "o", "left").select(F.coalesce("s2", "s").alias("s"), F.coalesce("o2", "o").alias("o"))
+
+
+def products(groups: DataFrame) -> DataFrame:
+    """(s, o): all pairs of nodes of one root, as they are asked for; large groups are shared among tasks."""
+    parts = groups.groupBy("root").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts"), F.count("*").alias("n"))
+    tasks = int((parts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0) / PAIRED**2) + 1
+    sized = groups.join(parts, "root")
+    left = sized.select("root", F.col("node").alias("s"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    right = sized.select("root", F.col("node").alias("o"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    if tasks > 1:  # by the pairs, which the bytes that are read don't tell
+        left, right = left.repartition(tasks, "root", "part"), right.repartition(tasks, "root", "part")
+    return left.join(right, ["root", "part"]).select("s", "o")
+
+
+def _paths(edges: DataFrame, starts: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(pairs, None), or (None, edges on circles) where there are any.  ``edges``: distinct, without loops.
+
+    With ``starts``, pairs from other nodes may be left out.
+    """
+    ahead, back = (edges.groupBy(c).agg(F.count("*").alias("n")) for c in ("s", "o"))
+    most = ahead.agg(F.max("n")).first()[0]
+    if most is None:
+        return edges, None
+    hot = checkpoint(back.where(F.col("n") > HOT).select("o").join(edges.select(F.col("s").alias("o")), "o", "left_anti"))  # few, as each takes many edges
+    last = None if hot.isEmpty() else checkpoint(edges.join(F.broadcast(hot), "o", "left_semi").select("s", "o"))
+    body = edges if last is None else checkpoint(edges.join(F.broadcast(hot), "o", "left_anti").select("s", "o"))
+    if most == 1:
+        pairs, circles = _steps(body, starts)
+    elif last is None and back.agg(F.max("n")).first()[0] == 1:
+        turn = lambda df: df.select(F.col("o").alias("s"), F.col("s").alias("o"))
+        pairs, circles = _steps(checkpoint(turn(body)), None)
+        pairs, circles = (None, circles) if pairs is None else (turn(pairs), None)
+    else:
+        pairs, circles = _doubled(body)
+    if pairs is None or last is None:
+        return pairs, circles
+    ends = pairs.alias("d").join(last.alias("e"), F.col("d.o") == F.col("e.s")).select("d.s", "e.o").union(last)
+    return pairs.union(ends if most == 1 else distinct(ends)), None
+
+
+def _steps(edges: DataFrame, starts: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """As _paths, where each node has one edge at most: pairs 1, 2, 4, ... edges apart are combined, so each pair comes up once."""
+    powers, n = [edges], edges.count()
+    while True:
+        step = checkpoint(powers[-1].alias("a").join(powers[-1].alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o"))
+        if step.isEmpty():
+            break
+        powers.append(step)
+        if 2 ** (len(powers) - 1) > n:  # longer than any path: all these ends are on circles
+            return None, edges.join(step.select(F.col("o").alias("s")).distinct(), "s", "left_semi").select("s", "o")
+    wanted = None if starts is None else checkpoint(starts.select("s").distinct())
+    parts: list[DataFrame] = []
+    for power in reversed(powers):
+        own = power if wanted is None else checkpoint(power.join(wanted, "s", "left_semi").select("s", "o"))
+        if parts:
+            far = reduce(DataFrame.union, parts)
+            parts.append(checkpoint(far.alias("d").join(power.alias("e"), F.col("d.o") == F.col("e.s")).select("d.s", "e.o")))
+        parts.append(own)
+    return reduce(DataFrame.union, parts), None
+
+
+def _doubled(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """As _paths, for any edges: all pairs so far are joined with those exactly 2^k edges apart."""
+    power, known = edges, Grown(edges)
     while True:
         everything = known.all()
-        step = delta.alias("d").join(everything.alias("e"), F.col("d.o") == F.col("e.s")).select(F.col("d.s").alias("s"), F.col("e.o").alias("o")).distinct()
-        delta = checkpoint(step.join(everything, ["s", "o"], "left_anti"))
-        if delta.isEmpty():
-            return everything
+        far = everything.withColumn("exact", F.lit(False)).union(power.withColumn("exact", F.lit(True)))
+        step = checkpoint(distinct(far.alias("d").join(power.alias("e"), F.col("d.o") == F.col("e.s")).select("d.s", "e.o", "d.exact")))
+        if not step.where("s = o").isEmpty():
+            every = everything.union(step.where("not exact").select("s", "o")).select(F.col("o").alias("s"), F.col("s").alias("o"))
+            return None, checkpoint(edges.join(every, ["s", "o"], "left_semi"))
+        delta = checkpoint(step.where("not exact").select("s", "o").join(everything, ["s", "o"], "left_anti"))
+        power = step.where("exact").select("s", "o")
+        if delta.isEmpty():  # paths of up to twice the length reach nothing more
+            return everything, None
         known.add(delta)
 
 
@@ -127,17 +236,14 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates hooking every larger neighbour to a node's least one with hooking the lesser ones.
     """
     at = checkpoint(edges.where("s <> o").select(F.greatest("s", "o").alias("u"), F.least("s", "o").alias("v")).distinct())
-    before = None
     while True:
+        ends = at.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(at.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            break  # every node hangs on a least one
         both = at.union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         at = checkpoint(low.select("u", F.col("m").alias("v")).union(rest).where("u <> v").distinct())
-        now = tuple(at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    roots = at.select(F.col("v").alias("node"), F.col("v").alias("root")).union(at.select(F.col("u").alias("node"), F.col("v").alias("root")))
-    return roots.distinct()
+    return at.select(F.col("u").alias("node"), F.col("v").alias("root")).union(at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

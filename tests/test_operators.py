@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions.terms import literal
 from tessera.graph import Graph
 from tessera.namespaces import BLD, EQUIPMENT, OWL, RDFS, SUBCLASS, TYPE, iri
-from tessera.operators import etl, haystack, merge, reason, relational, shacl, tags, versioned
+from tessera.operators import closure, etl, haystack, merge, reason, relational, shacl, tags, versioned
 from tessera.sources.tables import read_table
 from tessera.streaming import changes
 
@@ -315,3 +315,32 @@ def test_clean_up_and_headers(spark):
     assert etl.without_namespaces(g, ["urn:ph/"]).count() == 1
     rows = spark.createDataFrame([(0, "Name", "A/B"), (1, "title", None), (2, "Name", "A/B"), (3, "x", "1/2"), (4, "y", "3"), (5, "note", None)], "line bigint, c0 string, c1 string")
     assert [tuple(r) for r in rows_after_header(rows, "Name").collect()] == [("x", "1", "2"), ("y", "3", None)]
+
+
+# closures and memory
+
+
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [(f"n{k}", f"n{k + 1}") for k in range(20)],
+        [(f"n{k}", f"n{(k + 1) % 13}") for k in range(13)] + [("x", "n3"), ("y", "x"), ("y", "y")],
+        [(f"n{k}", "nil") for k in range(20)] + [(f"n{k}", f"n{k - 1}") for k in range(1, 20) if k % 5],
+        [("a", "a"), ("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("a", "d")],
+        [(f"n{k}", f"n{2 * k + j}") for k in range(8) for j in (1, 2)],
+    ],
+    ids=["chain", "ring", "shared end", "loops", "tree"],
+)
+def test_closures_of_every_kind(spark, monkeypatch, edges):
+    monkeypatch.setattr(closure, "HOT", 10)
+    got = [tuple(r) for r in closure.transitive(spark.createDataFrame(edges, "s string, o string"), driver_edges=0).collect()]
+    assert sorted(got) == sorted(closure.reach(edges))
+
+
+def test_circles_are_closed_as_one_node(spark, monkeypatch):
+    """Pairs in a circle are not joined with each other again, which is cubic."""
+    seen = []
+    monkeypatch.setattr(closure, "_paths", lambda edges, starts, f=closure._paths: seen.append(edges.count()) or f(edges, starts))
+    edges = [(a, b) for k in range(60) for a, b in ((f"s{k}", "n"), ("n", f"s{k}"))]
+    assert closure.transitive(spark.createDataFrame(edges, "s string, o string"), driver_edges=0).count() == 61 * 61
+    assert seen == [0]
