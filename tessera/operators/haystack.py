@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions.terms import local_name, to_literal
 from ..namespaces import BLD, EQUIPMENT, HAS_POINT, LABEL, POINT, SUBCLASS, TYPE, iri
-from .tags import below, most_likely, tag_case, translate
+from .closure import checkpoint, distinct
+from .tags import _small, below, most_likely, tag_case, translated
 
 POINT_TAGS = ["point", "sensor", "command", "cmd", "setpoint", "sp", "alarm", "status"]
 DROPPED = "^(?:his.*|.*Ref|cur.*|disMacro|navName|tz|mod|id)$"
@@ -53,24 +54,30 @@ def infer_entities(found: DataFrame, lookup: DataFrame, ontology: DataFrame, nam
     """
     markers = F.array(*map(F.lit, POINT_TAGS))
     site = F.array_contains("tags", "site") & ~F.array_contains("tags", "equip") & ~F.array_contains("tags", "point")
-    found = found.withColumn("site", site)
     has_ref = F.coalesce(F.col("equip_ref") != "", F.lit(False))
-    equips = translate(found.where(~F.col("site") & ~has_ref).select("id", F.array_union(F.array_except("tags", markers), F.array(F.lit("equip"))).alias("tags")))
-    points = translate(found.where(~F.col("site") & F.arrays_overlap("tags", markers)).select("id", F.array_except("tags", F.array(F.lit("equip"))).alias("tags")))
-    e = _likely(equips, lookup, below(ontology, EQUIPMENT))
-    p = _likely(points, lookup, below(ontology, POINT))
+    kinds = checkpoint(found.select("tags").distinct())  # entities with equal tags are looked up once
+    equips = checkpoint(kinds.select(F.col("tags").alias("id"), translated(F.array_union(F.array_except("tags", markers), F.array(F.lit("equip")))).alias("tags")))
+    points = checkpoint(kinds.where(F.arrays_overlap("tags", markers)).select(F.col("tags").alias("id"), translated(F.array_except("tags", F.array(F.lit("equip")))).alias("tags")))
+    e = _likely(equips, lookup, below(ontology, EQUIPMENT)).select(F.col("id").alias("tags"), F.col("class").alias("equip"))
+    p = _likely(points, lookup, below(ontology, POINT)).select(F.col("id").alias("tags"), F.col("class").alias("point"))
+    classes = _small(kinds.join(e, "tags", "left").join(p, "tags", "left"))
+    known = checkpoint(found.join(classes, "tags").select("id", "equip_ref", site.alias("site"), F.when(~site & ~has_ref, F.col("equip")).alias("equip"), F.when(~site, F.col("point")).alias("point")))
     safe = F.replace(F.col("id"), F.lit(" "), F.lit("_"))
     node = lambda end: F.concat(F.lit(f"<{namespace}"), safe, F.lit(f"{end}>"))
-    kind = F.concat(F.lit(f"<{class_namespace}"), F.col("class"), F.lit(">"))
-    types = F.lit(TYPE)
+    kind = lambda c: F.concat(F.lit(f"<{class_namespace}"), c, F.lit(">"))
     label = to_literal(F.col("id"))
-    out = found.where("site").select(node("").alias("s"), types.alias("p"), F.lit(iri(class_namespace + "Site")).alias("o"))
-    out = out.union(e.select(node("_equip"), types, kind)).union(e.select(node("_equip"), F.lit(LABEL), label))
-    out = out.union(p.select(node("_point"), types, kind)).union(p.select(node("_point"), F.lit(LABEL), label))
-    out = out.union(e.join(p.select("id"), "id").select(node("_equip"), F.lit(HAS_POINT), node("_point")))
-    refs = found.where(has_ref).select("id", F.col("equip_ref")).join(p.select("id"), "id").join(e.select(F.col("id").alias("equip_ref")), "equip_ref", "left_semi")
+    is_equip, is_point = F.col("equip").isNotNull(), F.col("point").isNotNull()
+    items = [
+        (F.col("site"), node(""), TYPE, F.lit(iri(class_namespace + "Site"))),
+        (is_equip, node("_equip"), TYPE, kind(F.col("equip"))), (is_equip, node("_equip"), LABEL, label),
+        (is_point, node("_point"), TYPE, kind(F.col("point"))), (is_point, node("_point"), LABEL, label),
+        (is_equip & is_point, node("_equip"), HAS_POINT, node("_point")),
+    ]
+    structs = F.array(*[F.when(test, F.struct(s.alias("s"), F.lit(q).alias("p"), o.alias("o"))) for test, s, q, o in items])
+    out = known.select(F.explode(F.filter(structs, lambda x: x.isNotNull())).alias("t")).select("t.*")
+    refs = known.where(has_ref & is_point).join(known.where(is_equip).select(F.col("id").alias("equip_ref")), "equip_ref", "left_semi")
     ref = F.concat(F.lit(f"<{namespace}"), F.replace(F.col("equip_ref"), F.lit(" "), F.lit("_")), F.lit("_equip>"))
-    return out.union(refs.select(ref, F.lit(HAS_POINT), node("_point"))).distinct()
+    return distinct(out.union(refs.select(ref, F.lit(HAS_POINT), node("_point"))))
 
 
 def infer_model(spark: SparkSession, model: dict, ontology, namespace: str) -> DataFrame:

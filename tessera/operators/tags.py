@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import local_name
 from ..namespaces import EQUIPMENT, HAS_ASSOCIATED_TAG, HAS_TAG, POINT, SUBCLASS, TYPE
-from .closure import transitive
+from .closure import checkpoint, transitive
 
+#: Tables of so many rows and characters at most are broadcast.
+SMALL_ROWS, SMALL_TEXT = 100_000, 16 << 20
 GENERIC = ["Point", "Equipment", "Location"]
 #: Tags of the vocabulary and the device-model markers (in lower case) that stand for them.
 _MARKERS = {
@@ -62,15 +64,36 @@ def exact(sets: DataFrame, lookup: DataFrame, id_col: str = "id") -> DataFrame:
 def approximate(sets: DataFrame, lookup: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, class_tags, classes, generic): candidates that contain or are contained in the tags with one generic tag added.
 
-    Contained candidates share a tag, so the join goes over tags instead of comparing all sets.
+    Equal tag sets are looked up once.  A candidate that is contained has its rarest tag among the tags, one that
+    contains them has the rarest of them, so the joins go over one tag of either.
     """
-    base = sets.select(id_col, F.array_distinct("tags").alias("tags"))
-    tried = base.select(id_col, F.explode(F.array(*map(F.lit, GENERIC))).alias("generic"), "tags").withColumn("tags", F.array_distinct(F.concat("tags", F.array("generic"))))
-    probe = tried.select(id_col, "generic", "tags", F.explode("tags").alias("tag"))
-    held = lookup.select(F.col("tags").alias("class_tags"), "classes", F.explode("tags").alias("tag"))
-    shared = probe.join(held, "tag").groupBy(id_col, "generic", "tags", "class_tags", "classes").agg(F.count("*").alias("n"))
-    fits = (F.col("n") == F.size("tags")) | (F.col("n") == F.size("class_tags"))
-    return shared.where(fits).select(id_col, "class_tags", "classes", "generic")
+    base = sets.select(id_col, F.array_sort(F.array_distinct("tags")).alias("own"))
+    held = checkpoint(lookup.select(F.array_distinct("tags").alias("class_tags"), "classes").where(~F.exists("class_tags", lambda x: x.isNull())))
+    tried = base.select("own").distinct().select("own", F.explode(F.array(*map(F.lit, GENERIC))).alias("generic")).withColumn("q", F.array_distinct(F.concat("own", F.array("generic"))))
+    seen = held.select("class_tags", "classes", F.explode("class_tags").alias("tag"))
+    often = checkpoint(seen.groupBy("tag").agg(F.count("*").alias("k")))
+    rarest = seen.join(often, "tag").groupBy("class_tags").agg(F.min_by("tag", F.struct("k", "tag")).alias("tag"))
+    inside = tried.select("own", "generic", "q", F.explode("q").alias("tag")).join(held.join(rarest, "class_tags"), "tag").where(F.size(F.array_except("class_tags", "q")) == 0)
+    known = tried.select("own", "generic", "q", F.explode("q").alias("tag")).join(often, "tag").groupBy("own", "generic", "q").agg(F.count("*").alias("n"), F.min_by("tag", F.struct("k", "tag")).alias("tag")).where(F.col("n") == F.size("q"))
+    around = known.join(seen, "tag").where((F.size("class_tags") > F.size("q")) & (F.size(F.array_except("q", "class_tags")) == 0))
+    columns = ["own", "class_tags", "classes", "generic"]
+    return base.join(_small(inside.select(columns).union(around.select(columns))), "own").select(id_col, "class_tags", "classes", "generic")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Evaluated once, and broadcast where its rows and text are few."""
+    df = checkpoint(df)
+    rows, text = df.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()
+    return F.broadcast(df) if rows <= SMALL_ROWS and (text or 0) <= SMALL_TEXT else df
+
+
+def _best(sets: DataFrame, lookup: DataFrame) -> DataFrame:
+    """(tags, all, first) of distinct tag sets that share a tag with a class."""
+    held = checkpoint(lookup.select(F.col("tags").alias("class_tags"), F.array_min("classes").alias("class")))
+    shared = sets.select("tags", F.explode("tags").alias("tag")).join(held.select("class_tags", "class", F.explode("class_tags").alias("tag")), "tag").groupBy("tags", "class_tags", "class").agg(F.count("*").alias("n"))
+    rank = F.rank().over(Window.partitionBy("tags").orderBy(F.desc("n"), F.size("class_tags") - F.col("n")))
+    best = shared.withColumn("place", rank).where("place = 1")
+    return best.groupBy("tags").agg(F.array_sort(F.collect_set("class")).alias("all"), F.min_by("class_tags", "class").alias("first"))
 
 
 def most_likely(sets: DataFrame, lookup: DataFrame, most: int | None = None, id_col: str = "id") -> DataFrame:
@@ -78,13 +101,8 @@ def most_likely(sets: DataFrame, lookup: DataFrame, most: int | None = None, id_
 
     Best: most tags in common, then fewest tags besides.  No match: no classes and all tags left over.
     """
-    base = sets.select(id_col, F.array_distinct("tags").alias("tags"))
-    held = lookup.select(F.col("tags").alias("class_tags"), "classes", F.explode("tags").alias("tag"))
-    shared = base.select(id_col, "tags", F.explode("tags").alias("tag")).join(held, "tag").groupBy(id_col, "tags", "class_tags", "classes").agg(F.count("*").alias("n"))
-    rank = F.rank().over(Window.partitionBy(id_col).orderBy(F.desc("n"), F.size("class_tags") - F.col("n")))
-    best = shared.withColumn("place", rank).where("place = 1").select(id_col, "class_tags", F.array_min("classes").alias("class"))
-    won = best.groupBy(id_col).agg(F.array_sort(F.collect_set("class")).alias("all"), F.min_by("class_tags", "class").alias("first"))
-    out = base.join(won, id_col, "left")
+    base = sets.select(id_col, F.array_sort(F.array_distinct("tags")).alias("tags"))
+    out = base.join(_small(_best(base.select("tags").distinct(), lookup)), "tags", "left")
     classes = F.coalesce("all", F.array().cast("array<string>"))
     if most is not None and most > 0:
         classes = F.slice(classes, 1, most)
@@ -122,11 +140,15 @@ def is_equipment(classes: DataFrame, triples: DataFrame) -> DataFrame:
 
 def translate(sets: DataFrame, mapping: dict[str, list[str]] | None = None, id_col: str = "id") -> DataFrame:
     """Tags replaced by those they stand for (keys in lower case); unknown tags stay."""
-    rows = [(k, v) for k, v in (mapping or TAG_MAP).items()]
-    table = sets.sparkSession.createDataFrame(rows, "key string, means array<string>")
-    each = sets.select(id_col, F.explode_outer("tags").alias("tag")).withColumn("key", F.lower("tag"))
-    out = each.join(table, "key", "left").select(id_col, F.explode_outer(F.coalesce("means", F.array("tag"))).alias("tag"))
-    return out.groupBy(id_col).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    each = sets.select(id_col, F.explode_outer(translated("tags", mapping)).alias("tag"))
+    return each.groupBy(id_col).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+
+
+def translated(tags, mapping: dict[str, list[str]] | None = None):
+    """The same of one column of tags: sorted, each tag once."""
+    table = F.create_map(*[x for k, v in (mapping or TAG_MAP).items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    each = F.transform(tags, lambda x: F.coalesce(F.try_element_at(table, F.lower(x)), F.array(x)))
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(each), lambda x: x.isNotNull())))
 
 
 def class_tags(triples: DataFrame) -> DataFrame:

@@ -344,3 +344,30 @@ def test_circles_are_closed_as_one_node(spark, monkeypatch):
     edges = [(a, b) for k in range(60) for a, b in ((f"s{k}", "n"), ("n", f"s{k}"))]
     assert closure.transitive(spark.createDataFrame(edges, "s string, o string"), driver_edges=0).count() == 61 * 61
     assert seen == [0]
+
+
+def test_approximate_looks_equal_sets_up_once(spark):
+    """Candidates inside the tags, around them with the generic tag, and equal ones; rows with the same tags get the same."""
+    lookup = spark.createDataFrame([(["a"], ["A"]), (["a", "b", "Point"], ["B"]), (["a", "b", "c", "Point"], ["C"]), (["z"], ["Z"])], "tags array<string>, classes array<string>")
+    sets = spark.createDataFrame([(k, t) for k in range(0, 40, 2) for t in [["a", "b"], ["b", "a", "a"]]] + [(101, ["q"])], "id int, tags array<string>").withColumn("id", F.monotonically_increasing_id())
+    got = tags.approximate(sets, lookup)
+    assert {(r["generic"], *r["classes"]) for r in got.collect()} == {("Point", "A"), ("Equipment", "A"), ("Location", "A"), ("Point", "B"), ("Point", "C")}
+    assert got.count() == 40 * 5
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan, "nothing is gathered by row"
+
+
+def test_most_likely_gathers_by_tag_set(spark):
+    lookup = spark.createDataFrame([(["a", "b"], ["AB"]), (["b"], ["B"])], "tags array<string>, classes array<string>")
+    got = tags.most_likely(spark.range(50).select("id", F.array(F.lit("b"), F.lit("x"), F.lit("b")).alias("tags")), lookup)
+    assert {(tuple(r["classes"]), tuple(r["leftover"])) for r in got.collect()} == {(("B",), ("x",))} and got.count() == 50
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_loops_are_spread_before_they_unfold(spark, monkeypatch):
+    monkeypatch.setattr(closure, "TASK_ROWS", 100)
+    table = spark.range(40).repartition(1).select(F.col("id").alias("n"), F.lit(50).alias("m"))
+    config = {"operations": [{"template": "{% for i in range(value['m']) %} :N{{ value['n'] }}_{{ i }} a :T . {% endfor %}"}]}
+    df = etl.convert_table(table, config)
+    assert df.count() == 2000
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
