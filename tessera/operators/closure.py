@@ -22,6 +22,8 @@ MOST_PARTS = 24
 HOT = 10_000
 #: Members of a group that one task pairs with all members.
 PAIRED = 1_000
+#: Rows that one task makes of the rows of a table.
+TASK_ROWS = 500_000
 
 
 def shared(spark: SparkSession) -> str:
@@ -120,6 +122,12 @@ def distinct(df: DataFrame) -> DataFrame:
     return df.repartition(*df.columns).distinct()
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """For rows that become ``rows`` rows each in the step that follows: so many partitions that none makes too many."""
+    parts = -(-df.count() * rows // TASK_ROWS)
+    return df.repartition(parts, *[F.col(f"`{c}`") for c in df.columns]) if parts > 1 else df
+
+
 def regrouped(groups: DataFrame, new: DataFrame) -> DataFrame:
     """(node, root) after the roots of ``groups`` were grouped once more."""
     moved = groups.join(new.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left").select("node", F.coalesce("r2", "root").alias("root"))
@@ -132,16 +140,27 @@ def _moved(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return edges.join(a, "s", "left").join(b, "o", "left").select(F.coalesce("s2", "s").alias("s"), F.coalesce("o2", "o").alias("o"))
 
 
-def products(groups: DataFrame) -> DataFrame:
-    """(s, o): all pairs of nodes of one root, as they are asked for; large groups are shared among tasks."""
-    parts = groups.groupBy("root").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts"), F.count("*").alias("n"))
-    tasks = int((parts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0) / PAIRED**2) + 1
-    sized = groups.join(parts, "root")
-    left = sized.select("root", F.col("node").alias("s"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
-    right = sized.select("root", F.col("node").alias("o"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    if tasks > 1:  # by the pairs, which the bytes that are read don't tell
-        left, right = left.repartition(tasks, "root", "part"), right.repartition(tasks, "root", "part")
-    return left.join(right, ["root", "part"]).select("s", "o")
+def products(groups: DataFrame, first: DataFrame | None = None, on=None) -> DataFrame:
+    """(s, o): pairs of nodes of one root, of rows ``first`` (a, default: all) with all rows (b) where ``on`` holds.
+
+    They are made as they are asked for; large groups are shared among tasks.
+    """
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
+    large = checkpoint(sizes.where(F.col("n") > PAIRED).withColumn("parts", F.ceil(F.col("n") / PAIRED).cast("int")))
+    tasks = int((large.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0) / PAIRED**2)
+    left = (groups if first is None else first).withColumnRenamed("node", "s")
+    right = groups.withColumnRenamed("node", "o")
+    if tasks == 0:
+        pairs = left.alias("a").join(right.alias("b"), "root")
+        return (pairs if on is None else pairs.where(on)).select("a.s", "b.o")
+    parts = large.select("root", "parts")  # a row for thousands of nodes
+    one = F.coalesce("parts", F.lit(1))
+    left = left.join(F.broadcast(parts), "root", "left").withColumn("part", F.pmod(F.xxhash64("s"), one).cast("int")).drop("parts")
+    right = right.join(F.broadcast(parts), "root", "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    # by the pairs, which the bytes that are read don't tell
+    tasks = max(tasks, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = left.repartition(tasks, "root", "part").alias("a").join(right.repartition(tasks, "root", "part").alias("b"), ["root", "part"])
+    return (pairs if on is None else pairs.where(on)).select("a.s", "b.o")
 
 
 def _paths(edges: DataFrame, starts: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
@@ -156,9 +175,12 @@ def _paths(edges: DataFrame, starts: DataFrame | None) -> tuple[DataFrame | None
     hot = checkpoint(back.where(F.col("n") > HOT).select("o").join(edges.select(F.col("s").alias("o")), "o", "left_anti"))  # few, as each takes many edges
     last = None if hot.isEmpty() else checkpoint(edges.join(F.broadcast(hot), "o", "left_semi").select("s", "o"))
     body = edges if last is None else checkpoint(edges.join(F.broadcast(hot), "o", "left_anti").select("s", "o"))
-    if most == 1:
+    meets = body.groupBy("o").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    if most == 1 and meets == 1:
+        pairs, circles = _chains(body, starts)
+    elif most == 1:
         pairs, circles = _steps(body, starts)
-    elif last is None and back.agg(F.max("n")).first()[0] == 1:
+    elif last is None and meets == 1:
         turn = lambda df: df.select(F.col("o").alias("s"), F.col("s").alias("o"))
         pairs, circles = _steps(checkpoint(turn(body)), None)
         pairs, circles = (None, circles) if pairs is None else (turn(pairs), None)
@@ -166,15 +188,42 @@ def _paths(edges: DataFrame, starts: DataFrame | None) -> tuple[DataFrame | None
         pairs, circles = _doubled(body)
     if pairs is None or last is None:
         return pairs, circles
-    ends = pairs.alias("d").join(last.alias("e"), F.col("d.o") == F.col("e.s")).select("d.s", "e.o").union(last)
+    ends = _met(pairs, last).select("d.s", "e.o").union(last)
     return pairs.union(ends if most == 1 else distinct(ends)), None
 
 
+def _met(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """``a`` as d with ``b`` as e where d.o is e.s; sorted by a hash first, as IRIs of one kind begin alike."""
+    return a.withColumn("h", F.xxhash64("o")).alias("d").join(b.withColumn("h", F.xxhash64("s")).alias("e"), (F.col("d.h") == F.col("e.h")) & (F.col("d.o") == F.col("e.s")), how)
+
+
+def _chains(edges: DataFrame, starts: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """As _paths, where each node has one edge at most either way: each node's chain and distance to its end make the pairs."""
+    open_, ended, n, span = edges.withColumn("far", F.lit(1).cast("bigint")), None, None, 1
+    while True:
+        everything = open_ if ended is None else open_.union(ended)
+        step = checkpoint(_met(open_, everything, "left").select("d.s", F.coalesce("e.o", "d.o").alias("o"), (F.col("d.far") + F.coalesce("e.far", F.lit(0))).alias("far"), F.col("e.o").isNotNull().alias("on")))
+        done = step.where("not on").drop("on")
+        ended = done if ended is None else ended.union(done)
+        open_ = step.where("on").drop("on")
+        if open_.isEmpty():
+            break
+        span *= 2
+        n = edges.count() if n is None else n
+        if span > 2 * n:  # a round after the longest path could end: all these ends are on circles
+            return None, edges.join(open_.select(F.col("o").alias("s")).distinct(), "s", "left_semi").select("s", "o")
+    # rows (chain, node, far); a chain's end is its name and has no row yet
+    rows = ended.select(F.col("o").alias("root"), F.col("s").alias("node"), "far").union(ended.select("o", "o", F.lit(0).cast("bigint")).distinct())
+    rows = checkpoint(rows)
+    before = rows.where("far > 0") if starts is None else rows.where("far > 0").join(starts.select(F.col("s").alias("node")), "node", "left_semi").select("root", "node", "far")
+    return products(rows, before, F.col("a.far") > F.col("b.far")), None
+
+
 def _steps(edges: DataFrame, starts: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
     """As _paths, where each node has one edge at most: pairs 1, 2, 4, ... edges apart are combined, so each pair comes up once."""
     powers, n = [edges], edges.count()
     while True:
-        step = checkpoint(powers[-1].alias("a").join(powers[-1].alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o"))
+        step = checkpoint(_met(powers[-1], powers[-1]).select("d.s", "e.o"))
         if step.isEmpty():
             break
         powers.append(step)
@@ -186,7 +235,7 @@ def _steps(edges: DataFrame, starts: DataFrame | None) -> tuple[DataFrame | None
         own = power if wanted is None else checkpoint(power.join(wanted, "s", "left_semi").select("s", "o"))
         if parts:
             far = reduce(DataFrame.union, parts)
-            parts.append(checkpoint(far.alias("d").join(power.alias("e"), F.col("d.o") == F.col("e.s")).select("d.s", "e.o")))
+            parts.append(checkpoint(_met(far, power).select("d.s", "e.o")))
         parts.append(own)
     return reduce(DataFrame.union, parts), None
 
@@ -197,7 +246,7 @@ def _doubled(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     while True:
         everything = known.all()
         far = everything.withColumn("exact", F.lit(False)).union(power.withColumn("exact", F.lit(True)))
-        step = checkpoint(distinct(far.alias("d").join(power.alias("e"), F.col("d.o") == F.col("e.s")).select("d.s", "e.o", "d.exact")))
+        step = checkpoint(distinct(_met(far, power).select("d.s", "e.o", "d.exact")))
         if not step.where("s = o").isEmpty():
             every = everything.union(step.where("not exact").select("s", "o")).select(F.col("o").alias("s"), F.col("s").alias("o"))
             return None, checkpoint(edges.join(every, ["s", "o"], "left_semi"))

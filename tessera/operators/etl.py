@@ -21,10 +21,12 @@ from ..functions.terms import TRIPLE
 from ..namespaces import PREFIXES, SUBCLASS, TYPE
 from ..plans.compile import Compiler, Solutions, template_triples
 from ..plans.parser import Parser
-from .closure import checkpoint, transitive
+from .closure import checkpoint, distinct, spread, transitive
 
 ARGUMENT = re.compile(r"(?<!\{)\{([^{}]+)\}(?!\})")
 MARK = re.compile(r"ZZ(\d+)ZZ")
+#: Triples that an operation makes of a row, about.
+ROW_TRIPLES = 16
 TRUE, FALSE = ["TRUE", "true", "True", "on", "ON"], ["FALSE", "false", "False", "off", "OFF"]
 
 
@@ -210,6 +212,11 @@ def data_triples(df: DataFrame, text: str, prefixes: dict[str, str], row) -> Dat
 
     ``row(name)`` gives a cell's column.
     """
+    return distinct(_data(df, text, prefixes, row))
+
+
+def _data(df: DataFrame, text: str, prefixes: dict[str, str], row) -> DataFrame:
+    """The same with repeats."""
     names: list[str] = []
 
     def mark(m) -> str:
@@ -229,7 +236,7 @@ def data_triples(df: DataFrame, text: str, prefixes: dict[str, str], row) -> Dat
         items.append(F.struct(*[c.alias(n) for c, n in zip(parts, "spo")]))
     present = reduce(lambda a, b: a & b, [F.length(c) > 0 for c in columns], F.lit(True))
     out = df.where(present).select(F.explode(F.array(*items)).alias("t")).select("t.*")
-    return out.where("s is not null and p is not null and o is not null").distinct()
+    return out.where("s is not null and p is not null and o is not null")
 
 
 def query_triples(df: DataFrame, text: str, prefixes: dict[str, str], row, triples: DataFrame) -> DataFrame:
@@ -303,6 +310,11 @@ def _arguments(text: str) -> list[str]:
 
 def template_rows(df: DataFrame, text: str, macros: list[str], prefixes: dict[str, str], row) -> DataFrame:
     """Triples of a ``template``: macro calls, ``for`` over ``range``, ``if`` on a condition and ``{{ cell }}``."""
+    return distinct(_template(df, text, macros, prefixes, row))
+
+
+def _template(df: DataFrame, text: str, macros: list[str], prefixes: dict[str, str], row) -> DataFrame:
+    """The same with repeats."""
     known = {m[1]: ([a.strip() for a in m[2].split(",") if a.strip()], m[3]) for x in macros for m in MACRO.finditer(x)}
 
     def call(m) -> str:
@@ -323,18 +335,20 @@ def template_rows(df: DataFrame, text: str, macros: list[str], prefixes: dict[st
             rest = text[: hit.start()] + "\n" + text[hit.end() :]
             return plain(df.where(test), hit[2], row) + (plain(df.where(~test), hit[3], row) if hit[3] else []) + plain(df, rest, row)
         fixed = CELL.sub(lambda m: m[1][1:-1] if m[1][:1] in "\"'" else "{" + re.sub(r"^value\[['\"](.*)['\"]\]$", r"\1", m[1]) + "}", text)
-        return [data_triples(df, fixed, prefixes, row)] if fixed.strip() else []
+        return [_data(df, fixed, prefixes, row)] if fixed.strip() else []
 
     out, at = [], 0
     for m in LOOP.finditer(text):
         out += plain(df, text[at : m.start()], row)
         bounds = [F.lit(int(x)) if x.isdigit() else row(re.sub(r"^value\[['\"](.*)['\"]\]$", r"\1", x)).try_cast("int") for x in _arguments(m[2])]
         low, high = (F.lit(0), bounds[0]) if len(bounds) == 1 else bounds[:2]
-        inner = df.where(high > low).withColumn("loop_index", F.explode(F.sequence(low, high - 1))).withColumn("loop_index", F.col("loop_index").cast("string"))
+        turns = df.where(high > low)
+        n, total = turns.agg(F.count("*"), F.sum((high - low).cast("bigint"))).first()
+        inner = spread(turns, -(-total // n) if n else 1).withColumn("loop_index", F.explode(F.sequence(low, high - 1))).withColumn("loop_index", F.col("loop_index").cast("string"))
         out += plain(inner, m[3], lambda n, v=m[1]: F.col("loop_index") if n == v else row(n))
         at = m.end()
     out += plain(df, text[at:], row)
-    return reduce(DataFrame.union, out).distinct() if out else df.sparkSession.createDataFrame([], TRIPLE)
+    return reduce(DataFrame.union, out) if out else df.sparkSession.createDataFrame([], TRIPLE)
 
 
 def rewrite_prefixes(config: dict, building: tuple[str, str] | None = None, site: tuple[str, str] | None = None) -> dict:
@@ -351,7 +365,7 @@ def rewrite_prefixes(config: dict, building: tuple[str, str] | None = None, site
 def convert_table(df: DataFrame, config: dict, triples: DataFrame | None = None) -> DataFrame:
     """Triples of a table under a configuration; operations run in order over all rows."""
     prefixes = {"bldg": "urn:tessera:site/"} | PREFIXES | (config.get("namespace_prefixes") or {})
-    table = clean_table(df, config)
+    table = clean_table(spread(df, ROW_TRIPLES), config)
     names = {c.strip().lower(): c for c in table.columns}
 
     def row(name: str) -> Column:
@@ -364,12 +378,12 @@ def convert_table(df: DataFrame, config: dict, triples: DataFrame | None = None)
         for text in op.get("conditions") or []:
             rows = rows.where(condition(text, row))
         if op.get("data"):
-            out = out.union(data_triples(rows, op["data"], prefixes, row))
+            out = out.union(_data(rows, op["data"], prefixes, row))
         if op.get("template"):
-            out = out.union(template_rows(rows, op["template"], config.get("macros") or [], prefixes, row))
+            out = out.union(_template(rows, op["template"], config.get("macros") or [], prefixes, row))
         if op.get("query"):
-            out = query_triples(rows, op["query"], prefixes, row, out)
-    return out.distinct()
+            out = query_triples(rows, op["query"], prefixes, row, distinct(out))
+    return distinct(out)
 
 
 def convert_graph(triples: DataFrame, config: dict) -> tuple[DataFrame, list[str]]:
@@ -424,7 +438,7 @@ def minify(triples: DataFrame, ontology: DataFrame) -> DataFrame:
     pairs = transitive(edges).where("s <> o")
     strict = pairs.join(pairs.select(F.col("o").alias("s"), F.col("s").alias("o")), ["s", "o"], "left_anti")
     types = triples.where(F.col("p") == TYPE)
-    low = types.select("s", F.col("o").alias("c")).join(strict.select(F.col("s").alias("c"), F.col("o").alias("up")), "c").select("s", F.lit(TYPE).alias("p"), F.col("up").alias("o")).distinct()
+    low = types.select("s", F.col("o").alias("c")).join(strict.select(F.col("s").alias("c"), F.col("o").alias("up")), "c").select("s", F.lit(TYPE).alias("p"), F.col("up").alias("o"))
     return triples.join(low, ["s", "p", "o"], "left_anti").join(ontology, ["s", "p", "o"], "left_anti")
 
 
