@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..functions.terms import TRIPLE
 from ..namespaces import CLASS, DOMAIN, EQUIVALENT, FIRST, INVERSE, NIL, NOTHING, OWL, RANGE, RDF, RDFS, RESOURCE, REST, SAME, SUBCLASS, SUBPROPERTY, THING, TYPE, XSD, iri
-from .closure import Grown, checkpoint, components, reach, transitive
+from .closure import Grown, checkpoint, components, distinct, products, reach, regrouped, transitive
 
 #: Largest schema that the driver closes.
 SCHEMA_TRIPLES = 500_000
@@ -298,8 +298,10 @@ def closure(triples: DataFrame, owl: bool = False) -> DataFrame:
     extra = schema.entailed() + [(i, TYPE, c) for c, i in schema.one_of]
     if extra:
         base = base.union(spark.createDataFrame(extra, TRIPLE))
-    delta = checkpoint(base.distinct())
+    delta = checkpoint(distinct(base))
     known = Grown(delta)
+    #: Properties that rules derive pairs of.
+    made = {q for _, what, q in schema.property_rules() if what in ("same", "swap")} | {x["onProperty"] for x in r.values() if "onProperty" in x} | {p for p, _ in schema.chains}
     equal = bool(owl) and (bool(schema.functional or schema.inverse_functional or schema.keys or any("maxCardinality" in x or "maxQualifiedCardinality" in x for x in r.values())) or not triples.where(F.col("p") == SAME).isEmpty())
     reps: DataFrame | None = None
     begun = True
@@ -307,23 +309,30 @@ def closure(triples: DataFrame, owl: bool = False) -> DataFrame:
         everything = known.all()
         found = _emit(delta, everything, schema, spark, tables)
         step = reduce(DataFrame.union, found) if found else delta.limit(0)
+        apart: list[DataFrame] = []
         for p in sorted(schema.transitive):
-            if begun:  # closed whole by path doubling
-                step = step.union(transitive(everything.where(F.col("p") == p)).select("s", F.lit(p).alias("p"), "o"))
-            else:  # what is known is closed but for the last round's pairs, which extend it at either end
+            if begun:  # closed whole
+                closed = transitive(everything.where(F.col("p") == p))
+                if p in made:
+                    step = step.union(closed.select("s", F.lit(p).alias("p"), "o"))
+                else:  # distinct, and nothing else gives such pairs: only what is stated is taken out
+                    apart.append(closed.join(everything.where(F.col("p") == p).select("s", "o"), ["s", "o"], "left_anti").select("s", F.lit(p).alias("p"), "o"))
+            elif p in made:  # what is known is closed but for the last round's pairs, which extend it at either end
                 new, old = (df.where(F.col("p") == p).select("s", "o") for df in (delta, everything))
                 for a, b in ((new, old), (old, new)):
                     step = step.union(a.alias("a").join(b.alias("b"), F.col("a.o") == F.col("b.s")).select(F.col("a.s").alias("s"), F.lit(p).alias("p"), F.col("b.o").alias("o")))
         begun = False
-        delta = checkpoint(step.distinct().join(everything, ["s", "p", "o"], "left_anti"))
-        grew = not delta.isEmpty()
+        grew = bool(found or apart or schema.transitive & made)
+        if grew:
+            delta = checkpoint(reduce(DataFrame.union, [distinct(step).join(everything, ["s", "p", "o"], "left_anti"), *apart]))
+            grew = not delta.isEmpty()
         if grew:
             known.add(delta)
         if equal and not grew:
             pairs = _same(everything, schema, spark)
             if not pairs.isEmpty():
-                new = components(pairs)
-                reps = new if reps is None else checkpoint(reps.join(new.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left").select("node", F.coalesce("r2", "root").alias("root")).union(new.join(reps, "node", "left_anti").select("node", "root")))
+                new = checkpoint(components(pairs))
+                reps = new if reps is None else checkpoint(regrouped(reps, new))
                 delta = checkpoint(_renamed(everything.where(F.col("p") != SAME), new))
                 known, begun, grew = Grown(delta), True, True
         if not grew:
@@ -331,8 +340,8 @@ def closure(triples: DataFrame, owl: bool = False) -> DataFrame:
     everything = known.all()
     if reps is not None:
         everything = _members(everything, reps)
-    if owl:
-        return everything.distinct()
+    if owl:  # rounds add only what is new, and members are of one group each; a rule's value may be no representative
+        return everything.distinct() if reps is not None and any("hasValue" in x for x in r.values()) else everything
     # every term that is used is a resource, every predicate a property
     nodes = everything.select("s").union(everything.where(~terms.is_literal(F.col("o"))).select("o"))
     predicates = everything.select("p").distinct()
@@ -349,9 +358,9 @@ def _renamed(triples: DataFrame, reps: DataFrame) -> DataFrame:
 def _members(triples: DataFrame, reps: DataFrame) -> DataFrame:
     """Triples of representatives spelled out for all members, with the equalities."""
     a, b = reps.select(F.col("root").alias("s"), F.col("node").alias("s2")), reps.select(F.col("root").alias("o"), F.col("node").alias("o2"))
-    spread = triples.join(a, "s", "left").join(b, "o", "left").select(F.coalesce("s2", "s").alias("s"), "p", F.coalesce("o2", "o").alias("o"))
-    pairs = reps.select(F.col("node").alias("s"), "root").join(reps.select(F.col("node").alias("o"), "root"), "root").select("s", F.lit(SAME).alias("p"), "o")
-    return spread.union(pairs)
+    spread = triples.where(F.col("p") != SAME).join(a, "s", "left").join(b, "o", "left").select(F.coalesce("s2", "s").alias("s"), "p", F.coalesce("o2", "o").alias("o"))
+    own = triples.where(F.col("p") == SAME).join(reps.select(F.col("node").alias("s")), "s", "left_anti").select("s", "p", "o")  # of nodes that equal only themselves
+    return spread.union(own).union(products(reps).select("s", F.lit(SAME).alias("p"), "o"))
 
 
 def inconsistencies(triples: DataFrame) -> DataFrame:

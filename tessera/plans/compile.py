@@ -143,12 +143,13 @@ class Compiler:
             closed = inner.distinct() if kind == "opt" else transitive(inner)
             if kind != "plus":
                 triples = self.source(graph)
-                nodes = triples.select("s").union(triples.select("o"))
-                closed = closed.union(nodes.select("s", F.col("s").alias("o"))).distinct()
+                nodes = triples.select("s").union(triples.select("o")).distinct()
+                closed = closed.where("s <> o").union(nodes.select("s", F.col("s").alias("o")))
             self.paths[key] = closed
         return self.paths[key]
 
-    def path_pattern(self, s: tuple, path: tuple, o: tuple, graph) -> Solutions:
+    def path_pattern(self, s: tuple, path: tuple, o: tuple, graph, starts: DataFrame | None = None) -> Solutions:
+        """``starts`` (s): the subjects that are asked for, nodes of the graph; pairs of others may be left out."""
         if graph and graph[0] == "var":  # each graph has its own nodes and paths
             got, self.count = None, self.count + 1
             for r in self.quads.select("g").where("g <> ''").distinct().limit(PATH_GRAPHS + 1).collect():
@@ -175,6 +176,10 @@ class Compiler:
                 pairs = pairs.union(seed.select("s", F.col("s").alias("o"))).distinct()
             if back:
                 pairs = pairs.select(F.col("o").alias("s"), F.col("s").alias("o"))
+        if pairs is None and starts is not None and path[0] in ("plus", "star"):
+            pairs = transitive(self.pairs(path[1], graph), starts=starts)
+            if path[0] == "star":
+                pairs = pairs.where("s <> o").union(starts.distinct().select("s", F.col("s").alias("o")))
         if pairs is None:
             pairs = self.pairs(path, graph)
         names = {}
@@ -267,15 +272,20 @@ class Compiler:
             constants = [(t[0][0] == "term") * 4 + (t[2][0] == "term") * 3 + (t[1][0] == "term") * (1 if t[1][1:] == (TYPE,) and t[2][0] != "term" else 2) for t in item[0]]
             return (linked, max(constants), sum(constants))
 
-        out = left
+        out, nodes = left, set()  # nodes: variables bound to subjects or objects of the graph
         while todo:
             best = max(todo, key=rank)
             todo.remove(best)
             (first, *_), one = best
-            if one is None:
-                one = self.scan(*first, graph) if first[1][0] in ("term", "var") else self.path_pattern(*first, graph)
+            if one is None and first[1][0] in ("term", "var"):
+                one = self.scan(*first, graph)
+            elif one is None:
+                s = first[0]
+                known = s[0] == "var" and first[2][0] == "var" and s[1] in nodes and s[1] not in out.raw and not (graph and graph[0] == "var")
+                one = self.path_pattern(*first, graph, out.df.select(col(s[1]).alias("s")) if known else None)
             out = self.join(out, one)
             bound |= one.all
+            nodes |= {x[1] for t in best[0] for x in (t[0], t[2]) if x[0] == "var"} & out.certain
         return out
 
     def join(self, a: Solutions, b: Solutions, how: str = "inner", condition=None) -> Solutions:
