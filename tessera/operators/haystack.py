@@ -55,6 +55,7 @@ def infer_entities(found: DataFrame, lookup: DataFrame, ontology: DataFrame, nam
     markers = F.array(*map(F.lit, POINT_TAGS))
     site = F.array_contains("tags", "site") & ~F.array_contains("tags", "equip") & ~F.array_contains("tags", "point")
     has_ref = F.coalesce(F.col("equip_ref") != "", F.lit(False))
+    found = checkpoint(found)
     kinds = checkpoint(found.select("tags").distinct())  # entities with equal tags are looked up once
     equips = checkpoint(kinds.select(F.col("tags").alias("id"), translated(F.array_union(F.array_except("tags", markers), F.array(F.lit("equip")))).alias("tags")))
     points = checkpoint(kinds.where(F.arrays_overlap("tags", markers)).select(F.col("tags").alias("id"), translated(F.array_except("tags", F.array(F.lit("equip")))).alias("tags")))
