@@ -60,8 +60,8 @@ def link(a: DataFrame, b: DataFrame, threshold: float = 0.9, most_rounds: int =
     A type with one entity on each side links at 1.0.  Other pairs score by
     name and label; best pairs link first (ties to the lesser left, then right name), until no pair is left at the threshold.
 
-    Pairs of score 1 are found by equality and linked first; only entities that are still free are compared with one another
-    inside their types, lengths that rule a pair out before its edit distance is taken.
+    Pairs of score 1 are found by equality and linked first.  Entities that are still free are compared inside their types where
+    names or labels are near enough for the threshold (see ``_keys``), lengths that rule a pair out before its edit distance is taken.
     """
     name = lambda c: F.regexp_extract(c, "([^#/:]*)>$", 1)
     left, right = (df.select("entity", F.explode("types").alias("type"), F.array_min("labels").alias("label")).withColumn("name", name(F.col("entity"))) for df in (a, b))
@@ -74,14 +74,72 @@ def link(a: DataFrame, b: DataFrame, threshold: float = 0.9, most_rounds: int =
     if threshold >= 1:
         return first
     free = lambda df, side: df.join(first.select(F.col(side).alias("entity")), "entity", "left_anti")
-    l, r = free(left, "left").alias("l"), free(right, "right").alias("r")
     lengths = lambda x, y: F.when(F.greatest(F.length(x), F.length(y)) == 0, 1.0).otherwise(F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y)))
     both = lambda how: F.when(nameless, how(F.col("l.name"), F.col("r.name"))).otherwise((how(F.col("l.name"), F.col("r.name")) + how(F.col("l.label"), F.col("r.label"))) / 2)
-    pairs = l.join(r, (F.col("l.type") == F.col("r.type")) & (both(lengths) >= threshold - 1e-6))
+    free_l, free_r = checkpoint(free(left, "left")), checkpoint(free(right, "right"))
+    l, r = free_l.alias("l"), free_r.alias("r")
+    alike = (F.col("l.type") == F.col("r.type")) & (both(lengths) >= threshold - 1e-6)
+    near, loose = [], []
+    for c in ("name", "label"):  # the mean is at the threshold only if one of them is
+        named = [x if c == "name" else x.where("label <> 'None'") for x in (free_l, free_r)]
+        a, b = (_keys(x, named[0].union(named[1]), c, 1 - threshold) for x in named)
+        if c == "label":  # near labels are many where labels repeat: then the names are within twice the share
+            a, b = (x.withColumn("also", F.explode(_near_name(2 - 2 * threshold))) for x in (a, b))
+        near.append(a.alias("a").join(b.alias("b"), ["type", "key", *(["also"] if c == "label" else [])]).select("type", F.col("a.entity").alias("e"), F.col("b.entity").alias("f")))
+        loose.append(_loose(c, 1 - threshold))
+    near = near[0].union(near[1]).distinct()
+    odd = loose[0] | loose[1]
+    pairs = near.join(l, (F.col("l.type") == near["type"]) & (F.col("l.entity") == F.col("e"))).join(r, (F.col("r.type") == near["type"]) & (F.col("r.entity") == F.col("f"))).where(alike).select("l.*", F.struct("r.*").alias("r"))
+    rest = free_l.where(odd).alias("l").join(r, alike).select("l.*", F.struct("r.*").alias("r")).union(l.join(free_r.where(odd).alias("r"), alike).select("l.*", F.struct("r.*").alias("r")))
+    pairs = pairs.union(rest).select(F.struct("entity", "type", "label", "name").alias("l"), "r")
     scored = pairs.select(F.col("l.entity").alias("left"), F.col("r.entity").alias("right"), F.round(both(similarity), 6).alias("score")).where(F.col("score") >= threshold).distinct()
     return first.union(_rounds(checkpoint(scored), most_rounds))
 
 
+def _edits(c: str, share: float):
+    """Edits allowed to a pair whose longer text is this one, and to one whose shorter text it is."""
+    return F.floor(F.length(c) * share + 1e-9), F.floor(F.length(c) * share / max(1 - share, 1e-9) + 1e-9)
+
+
+def _grams(c: str):
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
+
+
+def _loose(c: str, share: float):
+    """Texts too short for their edits to leave three letters whole: nothing shorter than a comparison finds their pairs."""
+    most = _edits(c, share)[1]
+    return (most >= 2) & (F.size(_grams(c)) < 3 * most + 1)
+
+
+def _keys(df: DataFrame, everyone: DataFrame, c: str, share: float) -> DataFrame:
+    """(type, entity, key): two texts within ``share`` of the longer one's length in edits have a key in common, unless one is loose.
+
+    One edit: both without one letter, or as they are.  More: k edits change 3k runs of three letters at most, so
+    the 3k + 1 rarest of each have one in common.
+    """
+    least, most = _edits(c, share)
+    one = df.where(least <= 1).select("type", "entity", "name", F.explode(_without(c, share)).alias("key"))
+    runs = df.where((most >= 2) & ~_loose(c, share)).select("type", "entity", "name", (3 * most + 1).alias("n"), F.explode(_grams(c)).alias("gram"))
+    often = everyone.where(most >= 2).select("type", F.explode(_grams(c)).alias("gram")).groupBy("type", "gram").agg(F.count("*").alias("k"))
+    place = F.row_number().over(Window.partitionBy("type", "entity", "n").orderBy("k", "gram"))
+    rare = runs.join(often, ["type", "gram"]).withColumn("place", place).where("place <= n").select("type", "entity", "name", F.concat(F.lit("3:"), "gram"))
+    return one.select("type", "entity", "name", F.concat(F.lit("1:"), "key").alias("key")).union(rare)
+
+
+def _without(c: str, share: float):
+    """The text, and where an edit is allowed the text without one letter."""
+    text, none = F.col(c), F.array().cast("array<string>")
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1, F.length(text))))
+    return F.array_distinct(F.concat(F.array(text), F.when(_edits(c, share)[1] >= 1, each).otherwise(none)))
+
+
+def _near_name(share: float):
+    """Keys of which two names within ``share`` have one in common; names that may differ by more edits have all the same one."""
+    least, most = _edits("name", share)
+    none = F.array().cast("array<string>")
+    return F.concat(F.when(least <= 1, F.transform(_without("name", share), lambda x: F.concat(F.lit("1:"), x))).otherwise(none), F.when(most >= 2, F.array(F.lit("*"))).otherwise(none))
+
+
 def _rounds(open_pairs: DataFrame, most_rounds: int) -> DataFrame:
     """One-to-one links of scored pairs.
 

@@ -371,3 +371,17 @@ def test_loops_are_spread_before_they_unfold(spark, monkeypatch):
     df = etl.convert_table(table, config)
     assert df.count() == 2000
     assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_link_compares_only_near_texts(spark, monkeypatch):
+    """Pairs of one type that have no key in common are never scored; near ones are, by edits in short and long texts."""
+    scored = []
+    monkeypatch.setattr(merge, "_rounds", lambda pairs, most, f=merge._rounds: scored.append(pairs.count()) or f(pairs, most))
+    keys = []
+    monkeypatch.setattr(merge, "_keys", lambda *a, f=merge._keys: keys.append(f(*a)) or keys[-1])
+    side = lambda at, end: spark.createDataFrame([(f"<urn:{at}/{k:05d}>", ["T"], [f"Customer#{k:09d}{end}"]) for k in range(0, 60)] + [(f"<urn:{at}/long>", ["T"], ["a rather long label of thirty and more letters" + end])], "entity string, types array<string>, labels array<string>")
+    got = {(r["left"], r["right"]) for r in merge.link(side("c", ""), side("d", "x")).collect()}
+    assert got == {(f"<urn:c/{k:05d}>", f"<urn:d/{k:05d}>") for k in range(60)} | {("<urn:c/long>", "<urn:d/long>")}
+    name_l, name_r = keys[:2]
+    pairs = name_l.alias("a").join(name_r.alias("b"), ["type", "key"]).select("a.entity", F.col("b.entity").alias("other")).distinct()
+    assert pairs.count() < 61 * 61 / 2
